@@ -70,13 +70,17 @@ def source_text(subject: Column, night: Column) -> Column:
 
 def agreement_band(kappa: Column) -> Column:
     """FN16: Landis and Koch wording for a kappa value."""
-    # fixed values: lower bounds of the published bands
-    return (
-        F.when(kappa.isNull() | F.isnan(kappa), F.lit(None).cast("string"))
-        .when(kappa < 0.0, "worse than chance")
-        .when(kappa < 0.2, "slight")
-        .when(kappa < 0.4, "fair")
-        .when(kappa < 0.6, "moderate")
-        .when(kappa < 0.8, "substantial")
-        .otherwise("almost perfect")
+    # fixed values: upper bounds and names of the published bands
+    bands = [
+        (0.2, "slight"),
+        (0.4, "fair"),
+        (0.6, "moderate"),
+        (0.8, "substantial"),
+        (1.0, "almost perfect"),
+    ]
+    expr = F.when(kappa.isNull() | F.isnan(kappa), F.lit(None).cast("string")).when(
+        kappa < 0.0, "poor"
     )
+    for upper, name in bands:
+        expr = expr.when(kappa <= upper, name)
+    return expr
