@@ -35,6 +35,10 @@ class PathSettings:
     def splits(self) -> str:
         return f"{self.processed_dir}/splits.json"
 
+    @property
+    def split_table(self) -> str:
+        return f"{self.processed_dir}/splits.parquet"
+
     def anchored(self, base_dir: str) -> "PathSettings":
         """Relative folders placed below ``base_dir``; absolute paths and URIs kept."""
 
