@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from epochwright import schema as S
+from epochwright.functions.arrays import half_even
 
 
 def _lookup(key: Column, table: dict) -> Column:
@@ -48,14 +49,19 @@ def recording_key(name: Column) -> Column:
     return F.substring(name, 1, 6)
 
 
+def whole_text(value: Column, unit: str) -> Column:
+    """FN15: a number without decimals (halves to even) and its unit; NULL stays NULL."""
+    return F.concat(half_even(value).cast("string"), F.lit(unit))
+
+
 def efficiency_text(percent: Column) -> Column:
     """FN15: sleep efficiency as whole percent."""
-    return F.concat(F.format_string("%.0f", percent), F.lit("%"))
+    return whole_text(percent, "%")
 
 
 def onset_text(minutes: Column) -> Column:
     """FN15: sleep onset in whole minutes, a dash when there was no sleep."""
-    return F.coalesce(F.concat(F.format_string("%.0f", minutes), F.lit(" min")), F.lit("—"))
+    return F.coalesce(whole_text(minutes, " min"), F.lit("—"))
 
 
 def source_text(subject: Column, night: Column) -> Column:

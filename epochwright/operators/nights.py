@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from epochwright import schema as S
 from epochwright.functions.arrays import display_order, share
-from epochwright.functions.labels import efficiency_text, onset_text, stage_name, stage_ypos
+from epochwright.functions.labels import (
+    efficiency_text,
+    onset_text,
+    stage_name,
+    stage_ypos,
+    whole_text,
+)
 
 
 def night_counts(df: DataFrame, stage: str, keys: list[str] = S.REC) -> DataFrame:
@@ -48,25 +54,25 @@ def sleep_stats(counts: DataFrame, epoch_sec: int, keys: list[str] = S.REC) -> D
 
 
 def summary_report(counts: DataFrame, epoch_sec: int, keys: list[str] = S.REC) -> DataFrame:
-    """SNK7: the stage table as shown to a reader, one decimal."""
+    """SNK7: the stage table as shown to a reader, one decimal, halves to even."""
     return stage_summary(counts, epoch_sec, keys).select(
         *keys,
         F.col("name").alias("Stage"),
         F.col("epochs").alias("Epochs"),
-        F.round("pct", 1).alias("%"),
-        F.round("minutes", 1).alias("Minutes"),
+        F.bround("pct", 1).alias("%"),
+        F.bround("minutes", 1).alias("Minutes"),
     )
 
 
 def summary_text(stats: DataFrame, keys: list[str] = S.REC) -> DataFrame:
     """FN15: one readable line of facts per recording."""
-    hours = F.format_string("%.1f", F.col("time_in_bed_min") / 60.0)
+    hours = F.bround(F.col("time_in_bed_min") / 60.0, 1).cast("string")
     return stats.select(
         *keys,
         F.concat(F.col("n_epochs").cast("string"), F.lit(" epochs, "), hours, F.lit(" h")).alias(
             "recording"
         ),
-        F.concat(F.format_string("%.0f", "total_sleep_min"), F.lit(" min")).alias("total_sleep"),
+        whole_text(F.col("total_sleep_min"), " min").alias("total_sleep"),
         efficiency_text(F.col("sleep_efficiency_pct")).alias("efficiency"),
         onset_text(F.col("sleep_onset_min")).alias("sleep_onset"),
     )

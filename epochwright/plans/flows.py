@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epochwright import schema as S
@@ -256,20 +256,26 @@ def stage_epochs(
     )
 
 
+def _name_key(path: str) -> Column:
+    return recording_key(F.substring_index(path, "/", -1))
+
+
 def stage_recordings(
     spark: SparkSession,
     settings: Settings,
     signal_path: str,
     annotation_path: str | None = None,
     model: str = "trees",
+    pairs: DataFrame | None = None,
     signal_glob: str = "*" + S.SIGNAL_SUFFIX,
     annotation_glob: str = "*" + S.ANNOTATION_SUFFIX,
     **edf_options,
 ) -> StagedRecordings:
     """Stage every signal file below a path on its grid from t = 0, one plan for all.
 
-    Annotation files, where given, belong to the signal file with the same
-    six-character name key.
+    Annotation files, where given, belong to the signal file ``pairs`` names
+    (``psg_path, hypnogram_path``), else to the one with the same six-character
+    name key.
     """
     dataset = settings.dataset
     headers = _checked_headers(spark, signal_path, settings, glob=signal_glob, **edf_options)
@@ -289,14 +295,19 @@ def stage_recordings(
     epochs = _epoch_rows(blocks.select("path", "block_idx", "samples"), plan, settings)
     expert = None
     if annotation_path is not None:
-        file_key = recording_key(F.substring_index("path", "/", -1)).alias("_key")
         grid = headers.select(
             "path", F.floor(F.col("n_samples") / dataset.epoch_samples).alias("n_epochs")
         )
         raw = read_edf(spark, annotation_path, "annotations", glob=annotation_glob)
-        owned = raw.select(file_key, "ann_no", "onset", "duration", "description").join(
-            grid.select("path", file_key), "_key"
-        )
+        raw = raw.withColumnRenamed("path", "hypnogram_path")
+        if pairs is not None:
+            owned = raw.join(
+                pairs.select("hypnogram_path", F.col("psg_path").alias("path")), "hypnogram_path"
+            )
+        else:
+            owned = raw.withColumn("_key", _name_key("hypnogram_path")).join(
+                grid.select("path", _name_key("path").alias("_key")), "_key"
+            )
         annotations = row_index(owned, _FILE, ["onset", "duration", "ann_no"], "ann_idx")
         expert = expert_grid(annotations, grid, dataset, _FILE)
     fitted = load_model(spark, settings, model)

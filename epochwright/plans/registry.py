@@ -772,11 +772,11 @@ def raw_signal_score(spark, sf):
 @query("q_stage_recordings")
 def stage_recordings(spark, sf):
     """ML4, J6, AGG13-AGG15: every file staged on its grid by a model fitted on the embeddings."""
-    folder, _ = B.recording_files(spark, sf)
+    folder, pairs = B.recording_files(spark, sf)
     home = scratch_path(spark, "models")
     settings = replace(B.FILE_SETTINGS, paths=replace(B.FILE_SETTINGS.paths, models_dir=home))
     train_trees(B.vector_epochs(spark, sf), QUERY_TREES).save(f"{home}/trees")
-    staged = flows.stage_recordings(spark, settings, folder, folder, "trees")
+    staged = flows.stage_recordings(spark, settings, folder, folder, "trees", pairs)
     return staged.stats.join(staged.metrics.drop("n_epochs"), "path").select(
         B.file_number(F.col("path")).alias("file_no"),
         "n_epochs",
