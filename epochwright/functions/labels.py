@@ -10,13 +10,12 @@ from epochwright.functions.arrays import half_even
 
 
 def _lookup(key: Column, table: dict) -> Column:
-    """CASE expression over a small fixed table: stays in codegen, needs no join."""
-    items = iter(table.items())
-    value, result = next(items)
-    expr = F.when(key == F.lit(value), F.lit(result))
-    for value, result in items:
-        expr = expr.when(key == F.lit(value), F.lit(result))
-    return expr
+    """Value for ``key`` in a small fixed table, else NULL.
+
+    A literal map: the key is evaluated once and no join is needed.
+    """
+    pairs = [F.lit(item) for entry in table.items() for item in entry]
+    return F.try_element_at(F.create_map(*pairs), key)
 
 
 def map_annotation(text: Column) -> Column:

@@ -1,15 +1,12 @@
 """Agreement between two stage columns (AGG7-AGG12, AGG17-AGG19, J9, FLT10).
 
-The rows are reduced to at most 25 counted cells per group in one
-pre-aggregated pass. The cells of a group then become one row holding the whole
-5 x 5 matrix, and every metric is an expression over that row: no grid join.
+The rows are reduced to a few counted cells per group in one pre-aggregated
+pass. The cells of a group then become one row holding the whole 5 x 5 matrix,
+and every metric is an expression over that row: no grid join.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,38 +14,80 @@ from epochwright import schema as S
 from epochwright.functions.arrays import share
 from epochwright.functions.labels import stage_name
 
+_CODES = S.N_STAGES + 1  # the stages, and one code for every other label or none
+
+
+def _code(label: Column) -> Column:
+    return F.when(label.between(0, S.N_STAGES - 1), label).otherwise(S.N_STAGES)
+
 
-def _total(columns: list[Column]) -> Column:
-    return reduce(add, columns)
+def _plus(terms) -> str:
+    return "(" + " + ".join(terms) + ")"
 
 
 def agreement(df: DataFrame, true: str, pred: str, by: list[str] = []) -> DataFrame:
-    """One row per ``by`` group with all counts the metrics need.
+    """One row per ``by`` group with everything the reports need.
 
-    ``cm``: 5 x 5 counts, rows true, columns predicted, labels outside 0..4
-    ignored (AGG7, completed to the full grid as in J9). ``n_epochs``/``hits``:
-    all rows and agreeing rows. ``true_n``/``pred_n``: totals per class.
+    ``n_epochs``, ``accuracy`` over all rows (AGG9); ``cm``: 5 x 5 counts, rows
+    true, columns predicted, labels outside 0..4 ignored (AGG7 on the full grid,
+    J9); ``scores``: per class precision, recall, F1, support (AGG8);
+    ``macro_f1``: mean F1 over the classes seen on either side (AGG10);
+    ``cohen_kappa`` from the matrix, NaN when chance agreement is total (AGG11).
+
+    Labels are folded to six codes before counting, so a group never has more
+    than 36 cells. Plain sums and arithmetic keep it all in generated code.
     """
-    cells = df.groupBy(*by, F.col(true).alias("_t"), F.col(pred).alias("_p")).agg(
-        F.count(F.lit(1)).alias("_n")
+    t, p = F.col(true), F.col(pred)
+    codes, stages = range(_CODES), S.STAGES
+    cells = df.groupBy(
+        *by, (_code(t) * _CODES + _code(p)).cast("int").alias("_cell")
+    ).agg(F.count(F.lit(1)).alias("_n"), F.count_if(t == p).alias("_hits"))
+    counted = cells.groupBy(*by).agg(
+        F.expr("coalesce(sum(_n), 0L)").alias("n_epochs"),
+        F.expr("coalesce(sum(_hits), 0L)").alias("_hits"),
+        *[
+            F.expr(f"coalesce(sum(if(_cell = {i * _CODES + j}, _n, 0L)), 0L)").alias(f"c{i}{j}")
+            for i in codes
+            for j in codes
+        ],
     )
-
-    def count_where(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, F.col("_n"))), F.lit(0).cast("long"))
-
-    t, p = F.col("_t"), F.col("_p")
-    matrix = F.array(
+    sums = counted.select(
+        "*",
+        *[F.expr(_plus(f"c{s}{j}" for j in codes)).alias(f"t{s}") for s in stages],
+        *[F.expr(_plus(f"c{i}{s}" for i in codes)).alias(f"p{s}") for s in stages],
+    )
+    scored = sums.select(
+        "*",
         *[
-            F.array(*[count_where((t == i) & (p == j)) for j in S.STAGES])
-            for i in S.STAGES
-        ]
+            F.expr(f"coalesce(try_divide(2D * c{s}{s}, t{s} + p{s}), 0D)").alias(f"f{s}")
+            for s in stages
+        ],
+    )
+    matrix = [[f"c{i}{j}" for j in stages] for i in stages]
+    total = _plus(f"double({c})" for row in matrix for c in row)
+    agreed = _plus(f"double(c{s}{s})" for s in stages)
+    chance = _plus(
+        f"double({_plus(matrix[s])}) * double({_plus(row[s] for row in matrix)})" for s in stages
     )
-    return cells.groupBy(*by).agg(
-        count_where(F.lit(True)).alias("n_epochs"),
-        count_where(t == p).alias("hits"),
-        matrix.alias("cm"),
-        F.array(*[count_where(t == i) for i in S.STAGES]).alias("true_n"),
-        F.array(*[count_where(p == i) for i in S.STAGES]).alias("pred_n"),
+    gain, ceiling = f"{total} * {agreed} - {chance}", f"{total} * {total} - {chance}"
+    scores = ", ".join(
+        f"named_struct('precision', coalesce(try_divide(double(c{s}{s}), p{s}), 0D), "
+        f"'recall', coalesce(try_divide(double(c{s}{s}), t{s}), 0D), 'f1', f{s}, 'support', t{s})"
+        for s in stages
+    )
+    present = _plus(f"if(t{s} + p{s} > 0, 1, 0)" for s in stages)
+    rows = ", ".join(f"array({', '.join(row)})" for row in matrix)
+    return scored.select(
+        *by,
+        "n_epochs",
+        share(F.col("_hits"), F.col("n_epochs")).alias("accuracy"),
+        # an absent class has F1 0 and so adds nothing to the sum
+        F.expr(f"coalesce(try_divide({_plus(f'f{s}' for s in stages)}, {present}), 0D)").alias(
+            "macro_f1"
+        ),
+        F.expr(f"coalesce(try_divide({gain}, {ceiling}), double('NaN'))").alias("cohen_kappa"),
+        F.expr(f"array({rows})").alias("cm"),
+        F.expr(f"array({scores})").alias("scores"),
     )
 
 
@@ -70,69 +109,28 @@ def confusion_wide(counted: DataFrame, by: list[str] = []) -> DataFrame:
     )
 
 
-def _class_scores(stage: int) -> Column:
-    """AGG8 for one class; 0 where a denominator is 0."""
-    hit = F.col("cm")[stage][stage]
-    true_n, pred_n = F.col("true_n")[stage], F.col("pred_n")[stage]
-    return F.struct(
-        share(hit, pred_n).alias("precision"),
-        share(hit, true_n).alias("recall"),
-        share(2 * hit, true_n + pred_n).alias("f1"),
-        true_n.alias("support"),
-    )
-
-
 def per_class(counted: DataFrame, by: list[str] = []) -> DataFrame:
     """AGG8 in long form: ``stage``, ``name``, ``precision``, ``recall``, ``f1``, ``support``."""
-    scores = counted.select(
-        *by, F.posexplode(F.array(*[_class_scores(s) for s in S.STAGES])).alias("stage", "_s")
-    )
-    return scores.select(*by, "stage", stage_name(F.col("stage")).alias("name"), "_s.*")
-
-
-def _macro_f1() -> Column:
-    """AGG10: mean F1 over the classes present in truth or prediction."""
-    present = [(F.col("true_n")[s] + F.col("pred_n")[s] > 0) for s in S.STAGES]
-    f1 = [_class_scores(s).getField("f1") for s in S.STAGES]
-    scored = _total([F.when(p, v).otherwise(0.0) for p, v in zip(present, f1)])
-    return share(scored, _total([p.cast("int") for p in present]))
-
-
-def _kappa() -> Column:
-    """AGG11 from the matrix: (po - pe) / (1 - pe), NaN when chance agreement is total."""
-    cell = [[F.col("cm")[i][j].cast("double") for j in S.STAGES] for i in S.STAGES]
-    total = _total([c for row in cell for c in row])
-    agreed = _total([cell[i][i] for i in S.STAGES])
-    chance = _total(
-        [_total(cell[i]) * _total([row[i] for row in cell]) for i in S.STAGES]
-    )
-    return F.coalesce(
-        F.try_divide(total * agreed - chance, total * total - chance), F.lit(float("nan"))
+    return counted.select(*by, F.posexplode("scores").alias("stage", "_s")).select(
+        *by, "stage", stage_name(F.col("stage")).alias("name"), "_s.*"
     )
 
 
 def headline(counted: DataFrame, by: list[str] = []) -> DataFrame:
     """AGG9-AGG11: ``n_epochs``, ``accuracy``, ``macro_f1``, ``cohen_kappa``."""
-    return counted.select(
-        *by,
-        "n_epochs",
-        share(F.col("hits"), F.col("n_epochs")).alias("accuracy"),
-        _macro_f1().alias("macro_f1"),
-        _kappa().alias("cohen_kappa"),
-    )
+    return counted.select(*by, "n_epochs", "accuracy", "macro_f1", "cohen_kappa")
 
 
 def metrics_document(counted: DataFrame, by: list[str] = []) -> DataFrame:
     """AGG17: every metric of a group as one nested row, in document order."""
     names = F.array(*[F.lit(n) for n in S.STAGE_NAMES])
+    stages = ", ".join(f"'{name}', scores[{i}]" for i, name in enumerate(S.STAGE_NAMES))
     return counted.select(
         *by,
-        share(F.col("hits"), F.col("n_epochs")).alias("accuracy"),
-        _macro_f1().alias("macro_f1"),
-        _kappa().alias("cohen_kappa"),
-        F.struct(
-            *[_class_scores(s).alias(name) for s, name in enumerate(S.STAGE_NAMES)]
-        ).alias("per_stage"),
+        "accuracy",
+        "macro_f1",
+        "cohen_kappa",
+        F.expr(f"named_struct({stages})").alias("per_stage"),
         F.col("cm").alias("confusion_matrix"),
         names.alias("class_names"),
         "n_epochs",
@@ -146,12 +144,8 @@ def scored_only(df: DataFrame, expert: str) -> DataFrame:
 
 def compare_models(counted: DataFrame, models: list[str]) -> DataFrame:
     """AGG19: one row per metric, one column per model (``counted`` is grouped by ``model``)."""
-    scores = [
-        ("accuracy", share(F.col("hits"), F.col("n_epochs"))),
-        ("macro_f1", _macro_f1()),
-        ("cohen_kappa", _kappa()),
-    ]
-    scores += [(f"f1_{n}", _class_scores(s).getField("f1")) for s, n in enumerate(S.STAGE_NAMES)]
+    scores = [(name, F.col(name)) for name in ("accuracy", "macro_f1", "cohen_kappa")]
+    scores += [(f"f1_{n}", F.col("scores")[i]["f1"]) for i, n in enumerate(S.STAGE_NAMES)]
     long = counted.select(
         "model",
         F.explode(

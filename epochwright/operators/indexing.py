@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from epochwright.session import materialize
 
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the row position in its low 33 bits
-_BLOCK_WIDTH = 65536
+_BLOCK_BITS = 16  # positions per block: 65,536
 
 
 def row_index(
@@ -68,10 +68,19 @@ def running_total(
     ``position`` is an integer, unique within ``keys``; fixed ranges of it bound
     the rows any one task sorts, however many rows the key has.
     """
-    ranged = df.withColumn("_block", F.floor(F.col(position) / _BLOCK_WIDTH)).withColumn(
-        "_value", value.cast("long")
-    )
     block = [*keys, "_block"]
+    inside = (
+        Window.partitionBy(*block)
+        .orderBy(position)
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    # written once: the rows are needed for the block totals and again for the join
+    ranged = materialize(
+        df.withColumn("_block", F.shiftright(F.col(position).cast("long"), _BLOCK_BITS))
+        .withColumn("_value", value.cast("long"))
+        .withColumn(out, F.coalesce(F.sum("_value").over(inside), F.lit(0))),
+        "running-total",
+    )
     earlier = (
         Window.partitionBy(*keys)
         .orderBy("_block")
@@ -82,14 +91,8 @@ def running_total(
         .agg(F.sum("_value").alias("_total"))
         .select(*block, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
     )
-    inside = (
-        Window.partitionBy(*block)
-        .orderBy(position)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
     return (
-        ranged.withColumn(out, F.coalesce(F.sum("_value").over(inside), F.lit(0)))
-        .join(offsets, block)
+        ranged.join(offsets, block)
         .withColumn(out, F.col(out) + F.col("_offset"))
-        .drop("_block", "_value", "_offset")
+        .select(*df.columns, out)
     )
