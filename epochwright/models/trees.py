@@ -88,7 +88,7 @@ def train_trees(epochs: DataFrame, settings: TreeSettings, balanced: bool = True
             stepSize=settings.learning_rate,
             seed=settings.seed,
         )
-        fitted = OneVsRest(classifier=trees, weightCol="weight", parallelism=2).fit(train)
+        fitted = OneVsRest(classifier=trees, weightCol="weight", parallelism=len(classes)).fit(train)
     finally:
         train.unpersist()
     return TreeModel(fitted, classes)
