@@ -7,11 +7,12 @@ block by division and slicing is an equi-join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epochwright import schema as S
 from epochwright.functions.arrays import zscore
+from epochwright.session import materialize
 
 
 def sample_stats(samples: DataFrame, value: str, keys: list[str] = S.REC) -> DataFrame:
@@ -83,39 +84,40 @@ def slice_blocks(
     """J3: the ``length`` samples from each plan row's ``start_sample``, as ``samples``.
 
     ``plan`` carries ``block_len`` and any further columns, which pass through;
-    ``keys`` + ``plan_idx`` identify its rows. An epoch inside one block needs
-    one join row and no regrouping, the usual case where epochs are aligned to
-    file records. Only an epoch that crosses blocks is cut into pieces and put
-    together again. Both cases join the same shuffled blocks. Slices that do
-    not fill an epoch are dropped (FLT6).
+    ``keys`` + ``plan_idx`` identify its rows. Slices that do not fill an epoch
+    are dropped (FLT6).
+
+    The blocks, by far the larger side, are read and shuffled once. The plan is
+    written first, so one look at it tells whether any epoch crosses blocks.
+    Where none does (epochs aligned to file records) a slice needs one join row
+    and is done; else epochs are cut into pieces and put together again.
     """
     first = F.floor(F.col("start_sample") / F.col("block_len"))
     last = F.floor((F.col("start_sample") + length - 1) / F.col("block_len"))
-    spans = plan.withColumn("_first", first).withColumn("_last", last)
+    spans = materialize(plan.withColumn("_first", first).withColumn("_last", last), "slices")
+    aligned = spans.filter(F.col("_first") < F.col("_last")).isEmpty()
     extra = [c for c in plan.columns if c not in [*keys, "plan_idx"]]
 
-    def part(index: Column) -> Column:
-        begin = index * F.col("block_len")
-        lo = F.greatest(F.col("start_sample") - begin, F.lit(0))
-        hi = F.least(F.col("start_sample") + length - begin, F.size("samples").cast("long"))
-        return F.slice("samples", (lo + 1).cast("int"), F.greatest(hi - lo, F.lit(0)).cast("int"))
+    begin = F.col("block_idx") * F.col("block_len")
+    lo = F.greatest(F.col("start_sample") - begin, F.lit(0))
+    hi = F.least(F.col("start_sample") + length - begin, F.size("samples").cast("long"))
+    part = F.slice("samples", (lo + 1).cast("int"), F.greatest(hi - lo, F.lit(0)).cast("int"))
 
-    inside = (
-        spans.filter(F.col("_first") == F.col("_last"))
-        .withColumnRenamed("_first", "block_idx")
+    block = F.col("_first") if aligned else F.explode(F.sequence("_first", "_last"))
+    parts = (
+        spans.withColumn("block_idx", block)
         .join(blocks, [*keys, "block_idx"])
-        .select(*keys, "plan_idx", *extra, part(F.col("block_idx")).alias("samples"))
+        .select(*keys, "plan_idx", *extra, "block_idx", part.alias("_part"))
     )
-    crossing = (
-        spans.filter(F.col("_first") < F.col("_last"))
-        .withColumn("block_idx", F.explode(F.sequence("_first", "_last")))
-        .join(blocks, [*keys, "block_idx"])
-        .select(*keys, "plan_idx", *extra, "block_idx", part(F.col("block_idx")).alias("_part"))
-        .groupBy(*keys, "plan_idx")
-        .agg(
-            *[F.first(c).alias(c) for c in extra],
-            F.array_sort(F.collect_list(F.struct("block_idx", "_part"))).alias("_parts"),
+    if aligned:
+        slices = parts.select(*keys, "plan_idx", *extra, F.col("_part").alias("samples"))
+    else:
+        slices = (
+            parts.groupBy(*keys, "plan_idx")
+            .agg(
+                *[F.first(c).alias(c) for c in extra],
+                F.array_sort(F.collect_list(F.struct("block_idx", "_part"))).alias("_parts"),
+            )
+            .select(*keys, "plan_idx", *extra, F.flatten(F.col("_parts._part")).alias("samples"))
         )
-        .select(*keys, "plan_idx", *extra, F.flatten(F.col("_parts._part")).alias("samples"))
-    )
-    return inside.unionByName(crossing).filter(F.size("samples") == length)
+    return slices.filter(F.size("samples") == length)

@@ -1,14 +1,15 @@
 """Interval annotations to labelled epochs (FLT2-FLT5, WIN1-WIN4, J5).
 
-The plan is computed on annotation rows, each carrying the array of epoch
-starts it yields. Positions and trimming work on counts per annotation, so the
-rows are multiplied only at the very end. Columns in: ``REC``, ``ann_idx``,
-``onset``, ``duration``, ``description``; a recordings table adds ``n_samples``.
+The plan is computed on annotation rows: how many epochs each yields, from
+which step on, and at which plan position. Trimming works on these numbers too,
+so rows are multiplied only at the very end. Columns in: the recording keys,
+``ann_idx``, ``onset``, ``duration``, ``description``; a recordings table adds
+``n_samples``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epochwright import schema as S
@@ -25,44 +26,50 @@ def map_stages(annotations: DataFrame) -> DataFrame:
     )
 
 
+def _start(step: Column, dataset: DatasetSettings) -> Column:
+    """First sample of an annotation's epoch number ``step``."""
+    seconds = F.col("onset") + step * F.lit(dataset.epoch_sec)
+    return half_even(seconds * F.lit(dataset.sample_rate))
+
+
 def plan_runs(
     annotations: DataFrame,
     recordings: DataFrame,
     dataset: DatasetSettings,
     keys: list[str] = S.REC,
+    carry: list[str] = [],
 ) -> DataFrame:
     """WIN1 + FLT4 + WIN2: one row per annotation that yields epochs.
 
-    Adds ``starts`` (start sample of each epoch, in order), ``n_epochs`` and
-    ``first_idx``, the plan position of its first epoch. Overlaps are kept.
+    Adds ``first_step`` and ``n_epochs``, the annotation's epochs within the
+    signal, and ``first_idx``, the plan position of the first one. Overlaps are
+    kept. Starts grow with the step, so the epochs inside the signal are one
+    range of steps; its ends are estimated by division and then settled by the
+    rounded starts themselves, at most one step away. ``carry`` names columns of
+    ``recordings`` to keep, so facts about a recording need no later join with
+    the far more numerous epochs.
     """
-    rate, sec, length = dataset.sample_rate, dataset.epoch_sec, dataset.epoch_samples
-    n_samples = F.col("n_samples")
-    # steps outside this range start before 0 or end past the signal, whatever
-    # the rounding; clipping first keeps a huge duration from making a huge array
-    lowest = F.greatest(F.lit(0), F.floor(-F.col("onset") / sec) - 1)
-    highest = F.least(
-        F.col("steps") - 1, F.ceil((n_samples / F.lit(float(rate)) - F.col("onset")) / sec) + 1
+    rate, sec = float(dataset.sample_rate), float(dataset.epoch_sec)
+    last_start = F.col("n_samples") - dataset.epoch_samples
+    low, high = F.col("_low"), F.col("_high")
+    first = F.when(_start(low - 1, dataset) >= 0, low - 1).when(
+        _start(low, dataset) >= 0, low
     )
-    starts = F.transform(
-        F.sequence("lowest", "highest"),
-        lambda k: half_even((F.col("onset") + k * F.lit(sec)) * F.lit(rate)),
+    last = F.when(_start(high + 1, dataset) <= last_start, high + 1).when(
+        _start(high, dataset) <= last_start, high
     )
     runs = (
         map_stages(annotations)
-        .withColumn("steps", half_even(F.col("duration") / F.lit(sec)))
-        .filter(F.col("steps") > 0)
-        .join(recordings.select(*keys, "n_samples"), keys)
-        .withColumn("lowest", lowest)
-        .withColumn("highest", highest)
-        .filter(F.col("lowest") <= F.col("highest"))
-        .withColumn(
-            "starts",
-            F.filter(starts, lambda s: (s >= 0) & (s + F.lit(length) <= n_samples)),
-        )
-        .withColumn("n_epochs", F.size("starts"))
+        .withColumn("_steps", half_even(F.col("duration") / F.lit(sec)))
+        .filter(F.col("_steps") > 0)
+        .join(recordings.select(*keys, "n_samples", *carry), keys)
+        .withColumn("_low", F.ceil(-F.col("onset") / sec))
+        .withColumn("_high", F.floor((last_start / F.lit(rate) - F.col("onset")) / sec))
+        .withColumn("first_step", F.greatest(F.lit(0), first.otherwise(low + 1)))
+        .withColumn("_last", F.least(F.col("_steps") - 1, last.otherwise(high - 1)))
+        .withColumn("n_epochs", F.col("_last") - F.col("first_step") + 1)
         .filter(F.col("n_epochs") > 0)
-        .select(*keys, "ann_idx", "stage", "starts", "n_epochs")
+        .select(*keys, *carry, "ann_idx", "stage", "onset", "first_step", "n_epochs")
     )
     return running_total(runs, keys, "ann_idx", F.col("n_epochs"), "first_idx")
 
@@ -87,30 +94,55 @@ def trim_runs(
     )
 
 
-def expand_runs(runs: DataFrame, keys: list[str] = S.REC) -> DataFrame:
-    """Plan rows ``(keys, plan_idx, start_sample, stage)`` of untrimmed runs."""
-    return runs.select(
-        *keys, "stage", "first_idx", F.posexplode("starts").alias("_pos", "start_sample")
-    ).select(
-        *keys, (F.col("first_idx") + F.col("_pos")).alias("plan_idx"), "start_sample", "stage"
+def _expand(
+    runs: DataFrame, dataset: DatasetSettings, first: Column, last: Column
+) -> DataFrame:
+    """Rows for the epochs ``first``..``last`` of each run, counted within the run."""
+    return (
+        runs.withColumn("_from", first)
+        .withColumn("_to", last)
+        .filter(F.col("_from") <= F.col("_to"))
+        .withColumn("_i", F.explode(F.sequence("_from", "_to")))
+        .withColumn("plan_idx", F.col("first_idx") + F.col("_i"))
+        .withColumn("start_sample", _start(F.col("first_step") + F.col("_i"), dataset))
     )
 
 
-def expand_trimmed(trimmed: DataFrame, keys: list[str] = S.REC) -> DataFrame:
+def expand_runs(
+    runs: DataFrame, dataset: DatasetSettings, keys: list[str] = S.REC
+) -> DataFrame:
+    """Plan rows ``(keys, plan_idx, start_sample, stage)`` of untrimmed runs."""
+    rows = _expand(runs, dataset, F.lit(0).cast("long"), F.col("n_epochs") - 1)
+    return rows.select(*keys, "plan_idx", "start_sample", "stage")
+
+
+def expand_trimmed(
+    trimmed: DataFrame,
+    dataset: DatasetSettings,
+    keys: list[str] = S.REC,
+    carry: list[str] = [],
+) -> DataFrame:
     """WIN4: kept plan rows with ``epoch_idx``, dense from 0 after trimming."""
-    plan = expand_runs(trimmed, [*keys, "lo", "hi"])
-    shift = F.greatest(F.coalesce(F.col("lo"), F.lit(0)), F.lit(0))
+    start = F.greatest(F.coalesce("lo", F.lit(0)), F.lit(0))
+    first = F.greatest(start - F.col("first_idx"), F.lit(0))
+    last = F.least(F.coalesce(F.col("hi") - F.col("first_idx"), F.col("n_epochs")), F.col("n_epochs") - 1)
     return (
-        plan.filter(F.col("lo").isNull() | F.col("plan_idx").between(F.col("lo"), F.col("hi")))
-        .withColumn("epoch_idx", (F.col("plan_idx") - shift).cast("int"))
-        .select(*keys, "epoch_idx", "plan_idx", "start_sample", "stage")
+        _expand(trimmed, dataset, first, last)
+        .withColumn("epoch_idx", (F.col("plan_idx") - start).cast("int"))
+        .select(*keys, *carry, "epoch_idx", "plan_idx", "start_sample", "stage")
     )
 
 
-def plan_epochs(annotations, recordings, dataset, keys=S.REC) -> DataFrame:
+def plan_epochs(
+    annotations: DataFrame,
+    recordings: DataFrame,
+    dataset: DatasetSettings,
+    keys: list[str] = S.REC,
+    carry: list[str] = [],
+) -> DataFrame:
     """Annotations to trimmed, labelled epochs: WIN1-WIN4 with FLT2-FLT5."""
-    runs = plan_runs(annotations, recordings, dataset, keys)
-    return expand_trimmed(trim_runs(runs, dataset, keys), keys)
+    runs = plan_runs(annotations, recordings, dataset, keys, carry)
+    return expand_trimmed(trim_runs(runs, dataset, keys), dataset, keys, carry)
 
 
 def expert_grid(

@@ -19,14 +19,14 @@ from epochwright.models.scoring import require_model_name
 from epochwright.models.trees import TreeModel, train_trees
 from epochwright.operators import checks, cohort, discovery, nights
 from epochwright.operators.agreement import agreement, metrics_document, scored_only
-from epochwright.operators.blocks import block_stats, grid_plan, slice_blocks
+from epochwright.operators.blocks import block_stats, grid_plan
 from epochwright.operators.indexing import row_index
 from epochwright.operators.planning import expert_grid, plan_epochs
 from epochwright.session import materialize
 from epochwright.settings import Settings
 from epochwright.sinks import tables as sinks
 from epochwright.sources import tables as sources
-from epochwright.sources.edf import read_edf
+from epochwright.sources.edf import read_edf, read_slices
 
 MODELS = ["trees", "raw"]
 _FILE = ["path"]  # recordings are keyed by file until an epoch is complete
@@ -57,11 +57,21 @@ def _checked_headers(spark: SparkSession, path: str, settings: Settings, **optio
     return headers.filter(F.col("channel") == dataset.channel)
 
 
-def _epoch_rows(blocks: DataFrame, plan: DataFrame, settings: Settings) -> DataFrame:
-    """Slices of the planned epochs with normalized signal and features in one Arrow pass."""
-    sliced = slice_blocks(blocks, plan, settings.dataset.epoch_samples, _FILE)
+def _epoch_rows(plan: DataFrame, settings: Settings) -> DataFrame:
+    """Planned epochs read from their files, with normalized signal and features.
+
+    The plan is written first: it holds the statistics, which took a scan.
+    """
+    dataset = settings.dataset
+    slices = read_slices(materialize(plan, "plan"), dataset.channel, dataset.epoch_samples)
     record = epoch_record(F.col("samples"), F.col("mean"), F.col("std"), settings)
-    return sliced.withColumn("_r", record).select("*", "_r.*").drop("_r", "samples")
+    return slices.withColumn("_r", record).select("*", "_r.*").drop("_r", "samples")
+
+
+def _signal_stats(spark: SparkSession, path: str, settings: Settings, **options) -> DataFrame:
+    """Mean and deviation of every signal file below ``path``: the first scan of the signal."""
+    blocks = read_edf(spark, path, "signal", channel=settings.dataset.channel, **options)
+    return block_stats(blocks, _FILE).select("path", "mean", "std")
 
 
 def epochs_from_files(
@@ -73,21 +83,17 @@ def epochs_from_files(
     annotation_glob: str = "*" + S.ANNOTATION_SUFFIX,
     **edf_options,
 ) -> DataFrame:
-    """The epoch table of every recording in ``manifest`` (UDF2), still lazy.
+    """The epoch table of every recording in ``manifest`` (UDF2).
 
-    The signal is scanned twice, for statistics and for slices, and shuffled
-    once. Recording facts ride on the small plan rows, so the signal is joined
-    with nothing but its own plan.
+    The signal is scanned twice, for statistics and for the planned epochs, and
+    never shuffled or joined: recording facts ride on the small plan rows.
     """
     dataset = settings.dataset
     headers = _checked_headers(spark, raw_dir, settings, glob=signal_glob, **edf_options)
-    blocks = read_edf(
-        spark, raw_dir, "signal", channel=dataset.channel, glob=signal_glob, **edf_options
-    )
-    stats = block_stats(blocks, _FILE).select("path", "mean", "std")
+    stats = _signal_stats(spark, raw_dir, settings, glob=signal_glob, **edf_options)
     recordings = (
         manifest.withColumnRenamed("psg_path", "path")
-        .join(headers.select("path", "n_samples", "block_len"), "path")
+        .join(headers.select("path", "n_samples"), "path")
         .join(stats, "path")
     )
     raw = read_edf(spark, raw_dir, "annotations", glob=annotation_glob, **edf_options)
@@ -96,11 +102,8 @@ def epochs_from_files(
     )
     # annotations take effect in time order, not in file order
     annotations = row_index(owned, _FILE, ["onset", "duration", "ann_no"], "ann_idx")
-    plan = plan_epochs(annotations, headers, dataset, _FILE).join(
-        recordings.select("path", *S.REC, "block_len", "mean", "std"), "path"
-    )
-    rows = _epoch_rows(blocks.select("path", "block_idx", "samples"), plan, settings)
-    return rows.select(*S.EPOCH_SCHEMA.names)
+    plan = plan_epochs(annotations, recordings, dataset, _FILE, carry=[*S.REC, "mean", "std"])
+    return _epoch_rows(plan, settings).select(*S.EPOCH_SCHEMA.names)
 
 
 def build_epochs(spark: SparkSession, settings: Settings, **edf_options) -> DataFrame:
@@ -282,17 +285,11 @@ def stage_recordings(
     checks.raise_on(
         checks.too_short(headers, dataset.epoch_samples, _FILE), "shorter than one epoch"
     )
-    blocks = read_edf(
-        spark, signal_path, "signal", channel=dataset.channel, glob=signal_glob, **edf_options
-    )
-    stats = block_stats(blocks, _FILE).select("path", "mean", "std")
-    plan = (
-        grid_plan(headers, dataset.epoch_samples, _FILE)
-        .withColumn("plan_idx", F.col("epoch_idx"))
-        .select("path", "plan_idx", "epoch_idx", "start_sample", "block_len")
-        .join(stats, "path")
+    stats = _signal_stats(spark, signal_path, settings, glob=signal_glob, **edf_options)
+    plan = grid_plan(headers.join(stats, "path"), dataset.epoch_samples, _FILE).select(
+        "path", "epoch_idx", "start_sample", "mean", "std"
     )
-    epochs = _epoch_rows(blocks.select("path", "block_idx", "samples"), plan, settings)
+    epochs = _epoch_rows(plan, settings)
     expert = None
     if annotation_path is not None:
         grid = headers.select(

@@ -136,7 +136,7 @@ def plan(spark, sf):
     """WIN1, WIN2, FLT4."""
     notes, recordings = B.annotations(spark, sf)
     runs = planning.plan_runs(notes, recordings, B.EVENT_DATASET, B.USER)
-    return planning.expand_runs(runs, B.USER)
+    return planning.expand_runs(runs, B.EVENT_DATASET, B.USER)
 
 
 @query("q_trim")
@@ -150,8 +150,7 @@ def trim(spark, sf):
 def stage_counts(spark, sf):
     """AGG2 over the trimmed plan of every recording."""
     notes, recordings = B.annotations(spark, sf)
-    runs = planning.plan_runs(notes, recordings, B.EVENT_DATASET, B.USER)
-    plan = planning.expand_trimmed(planning.trim_runs(runs, B.EVENT_DATASET, B.USER), B.USER)
+    plan = planning.plan_epochs(notes, recordings, B.EVENT_DATASET, B.USER)
     return nights.stage_counts(plan, B.USER).select("user_id", "stage", "name", "n", r6("pct"))
 
 
@@ -704,8 +703,7 @@ def file_signal(spark, sf):
     """SRC2, FN3: every record of every file, three records to a block."""
     folder = B.signal_files(spark, sf)
     rows = read_edf(
-        spark, folder, "signal", channel=B.FILE_SETTINGS.dataset.channel,
-        recordsPerBlock=3, splitBytes=4096,
+        spark, folder, "signal", channel=B.FILE_SETTINGS.dataset.channel, recordsPerBlock=3
     )
     values = rows.select(
         B.file_number(F.col("path")).alias("file_no"),

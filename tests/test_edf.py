@@ -105,3 +105,22 @@ def test_errors(spark, tmp_path):
         edf.read_edf(spark, str(tmp_path / "absent"), "header").collect()
     with pytest.raises(Exception, match="unknown mode"):
         edf.read_edf(spark, good, "everything").collect()
+
+
+def test_slices_read_from_files(spark, tmp_path):
+    """Any order of rows, gaps, overlaps, several files, epochs across records."""
+    rng = np.random.default_rng(8)
+    signals, rows = {}, []
+    for i in range(3):
+        digital = _signal(40, 64, i)
+        path = str(tmp_path / f"s{i}.edf")
+        _write(path, derived.edf_bytes(0.64, [("EOG", "uV", FULL, digital[:, :8]), (CHANNEL, "uV", FULL, digital)]))
+        signals[path] = _physical(digital).reshape(-1)
+        starts = rng.integers(0, 40 * 64 - 100 + 1, 120).tolist() + [0, 40 * 64 - 100]
+        rows += [(path, int(s), f"tag{s}") for s in starts]
+    plan = spark.createDataFrame(rows, "path string, start_sample long, tag string").repartition(5)
+    got = edf.read_slices(plan, CHANNEL, 100).collect()
+    assert sorted((r["path"], r["start_sample"], r["tag"]) for r in got) == sorted(rows)
+    for r in got:
+        want = signals[r["path"]][r["start_sample"] : r["start_sample"] + 100]
+        np.testing.assert_allclose(r["samples"], want, rtol=1e-12, atol=1e-9)

@@ -20,7 +20,7 @@ def _plan(spark, rows, n_samples, trimmed=False, **dataset):
         plan = planning.plan_epochs(notes, recs, settings, REC).orderBy("epoch_idx")
         return [(r["epoch_idx"], r["plan_idx"], r["start_sample"], r["stage"]) for r in plan.collect()]
     runs = planning.plan_runs(notes, recs, settings, REC)
-    rows = planning.expand_runs(runs, REC).orderBy("plan_idx").collect()
+    rows = planning.expand_runs(runs, settings, REC).orderBy("plan_idx").collect()
     assert [r["plan_idx"] for r in rows] == list(range(len(rows)))
     return [(r["start_sample"], r["stage"]) for r in rows]
 
@@ -52,10 +52,12 @@ def test_huge_duration_is_clipped(spark):
     assert len(_plan(spark, [(0, 1e13, S2)], 9000)) == 3
 
 
-@pytest.mark.parametrize("onset", [0.005, 12.345, 0.015, 29.995])
+@pytest.mark.parametrize("onset", [0.005, 12.345, 0.015, 29.995, -0.005, -30.004, -30.006])
 def test_starts_round_like_python(spark, onset):
-    want = [round((onset + k * 30) * 100) for k in range(4)]
-    assert [s for s, _ in _plan(spark, [(onset, 120, S1)], 20000)] == want
+    for n_samples in (14999, 15000, 15001):
+        starts = [round((onset + k * 30) * 100) for k in range(9)]
+        want = [s for s in starts if 0 <= s <= n_samples - 3000]
+        assert [s for s, _ in _plan(spark, [(onset, 270, S1)], n_samples)] == want
 
 
 def test_trim_keeps_a_pad_on_each_side(spark):
