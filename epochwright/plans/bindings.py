@@ -88,6 +88,20 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def long_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight embeddings in a row as one epoch of 512 samples, so a spectrum has segments."""
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.floor(F.col("vec_id") / 8).alias("epoch"),
+        (F.col("vec_id") % 8).alias("part"),
+        F.col("embedding").cast("array<double>").alias("signal"),
+    )
+    parts = F.array_sort(F.collect_list(F.struct("part", "signal")))
+    whole = rows.groupBy("epoch").agg(parts.alias("_p"))
+    return whole.select("epoch", F.flatten("_p.signal").alias("signal")).filter(
+        F.size("signal") == 512
+    )
+
+
 def vector_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same epochs in the layout of the epoch store, with their features."""
     rows = vectors(spark, sf_dir).withColumn("_f", feature_struct(F.col("signal"), VECTOR_SETTINGS))

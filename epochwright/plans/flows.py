@@ -18,7 +18,14 @@ from epochwright.models.raw_signal import RawModel, train_raw
 from epochwright.models.scoring import require_model_name
 from epochwright.models.trees import TreeModel, train_trees
 from epochwright.operators import checks, cohort, discovery, nights
-from epochwright.operators.agreement import agreement, metrics_document, scored_only
+from epochwright.operators.agreement import (
+    agreement,
+    confusion,
+    confusion_wide,
+    metrics_document,
+    per_class,
+    scored_only,
+)
 from epochwright.operators.blocks import block_stats, grid_plan
 from epochwright.operators.indexing import row_index
 from epochwright.operators.planning import expert_grid, plan_epochs
@@ -206,6 +213,19 @@ def evaluate(
     return report
 
 
+def confusion_report(
+    spark: SparkSession, settings: Settings, model: str, split: str = "test"
+) -> dict[str, DataFrame]:
+    """SNK8: counts, row shares and per-class scores of any split and model, as tables."""
+    scored = load_model(spark, settings, model).score(load_split(spark, settings, split))
+    counted = materialize(agreement(scored, "stage", "pred"), "agreement")
+    return {
+        "counts": confusion_wide(counted),
+        "shares": confusion(counted),
+        "per_class": per_class(counted),
+    }
+
+
 @dataclass
 class StagedRecordings:
     """Everything shown about staged recordings, keyed by ``path`` (or ``REC`` for samples)."""

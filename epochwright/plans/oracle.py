@@ -282,6 +282,13 @@ LEFT JOIN counts c ON c.user_id = u.user_id AND c.stage = s.stage"""
 
 SQL["q_expert_grid"] = f"WITH {GRID} SELECT * FROM grid"
 
+SQL["q_expert_predictions"] = f"""
+WITH {GRID}
+SELECT user_id, epoch_idx, ((epoch_idx * 7 + user_id) % 5)::INTEGER AS pred, expert FROM grid"""
+
+SQL["q_too_short"] = """
+SELECT user_id, count(*) AS n_samples FROM events GROUP BY 1 HAVING count(*) < 64"""
+
 SQL["q_scored_metrics"] = f"""
 WITH {STAGES}, {GRID},
 scored AS (
@@ -359,6 +366,47 @@ SELECT subject_id, night, epoch_idx,
                   ELSE 0 END, 6) AS feat_spec_entropy
 FROM shares GROUP BY 1, 2, 3"""
 
+# segments of 256 samples, 128 apart, averaged; bins of 100 / 256 Hz
+SQL["q_welch_segments"] = """
+WITH samples AS (
+  SELECT vec_id // 8 AS epoch, (vec_id % 8) * 64 + unnest(generate_series(0, 63)) AS i,
+         unnest(embedding::DOUBLE[]) AS x
+  FROM embeddings),
+whole AS (SELECT epoch FROM samples GROUP BY 1 HAVING count(*) = 512),
+segments AS (
+  SELECT epoch, g AS seg, i - 128 * g AS n, x
+  FROM samples JOIN whole USING (epoch), (SELECT unnest([0, 1, 2]) AS g)
+  WHERE i >= 128 * g AND i < 128 * g + 256),
+windowed AS (
+  SELECT epoch, seg, n,
+         (x - avg(x) OVER (PARTITION BY epoch, seg)) * (0.5 - 0.5 * cos(2 * pi() * n / 256)) AS v
+  FROM segments),
+bins AS (SELECT unnest(generate_series(0, 128)) AS b),
+spectra AS (
+  SELECT epoch, seg, b,
+         (pow(sum(v * cos(2 * pi() * ((b * n) % 256) / 256)), 2)
+          + pow(sum(v * sin(2 * pi() * ((b * n) % 256) / 256)), 2))
+           * CASE WHEN b IN (0, 128) THEN 1 ELSE 2 END AS p
+  FROM windowed, bins GROUP BY epoch, seg, b),
+psd AS (SELECT epoch, b, b * 100.0 / 256 AS hz, avg(p) AS p FROM spectra GROUP BY epoch, b),
+power AS (
+  SELECT epoch,
+         sum(p) FILTER (WHERE hz >= 0.5 AND hz <= 30) AS total,
+         sum(p) FILTER (WHERE hz >= 0.5 AND hz < 4) AS delta,
+         sum(p) FILTER (WHERE hz >= 4 AND hz < 8) AS theta,
+         sum(p) FILTER (WHERE hz >= 8 AND hz < 13) AS alpha,
+         sum(p) FILTER (WHERE hz >= 11 AND hz < 16) AS sigma,
+         sum(p) FILTER (WHERE hz >= 16 AND hz < 30) AS beta,
+         sum(p) FILTER (WHERE b > 0) AS ac
+  FROM psd GROUP BY 1),
+entropy AS (
+  SELECT epoch, -sum(p / ac * ln(p / ac)) / ln(count(*)) AS e
+  FROM psd JOIN power USING (epoch) WHERE b > 0 AND p > 0 GROUP BY 1)
+SELECT epoch, round(delta / total, 6) AS feat_bp_delta, round(theta / total, 6) AS feat_bp_theta,
+       round(alpha / total, 6) AS feat_bp_alpha, round(sigma / total, 6) AS feat_bp_sigma,
+       round(beta / total, 6) AS feat_bp_beta, round(e, 6) AS feat_spec_entropy
+FROM power JOIN entropy USING (epoch)"""
+
 SQL["q_hjorth"] = f"""
 WITH {DIFFS},
 mob AS (

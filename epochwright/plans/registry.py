@@ -161,6 +161,26 @@ def expert_grid(spark, sf):
     return planning.expert_grid(notes, recordings, B.EVENT_DATASET, B.USER)
 
 
+@query("q_expert_predictions")
+def expert_predictions(spark, sf):
+    """J6: a rule's predictions on the grid joined with the expert labels."""
+    notes, recordings = B.annotations(spark, sf)
+    grid = planning.expert_grid(notes, recordings, B.EVENT_DATASET, B.USER)
+    pred = ((F.col("epoch_idx") * 7 + F.col("user_id")) % 5).cast("int")
+    length = recordings.withColumn("n_samples", F.col("n_epochs") * 3000)
+    predicted = blocks.grid_plan(length, 3000, B.USER).select(
+        "user_id", "epoch_idx", pred.alias("pred")
+    )
+    return predicted.join(grid, ["user_id", "epoch_idx"])
+
+
+@query("q_too_short")
+def too_short(spark, sf):
+    """FLT15: users with fewer than 64 events, taken as samples."""
+    stats = blocks.sample_stats(B.table(spark, sf, "events"), "value", B.USER)
+    return checks.too_short(stats, 64, B.USER)
+
+
 @query("q_scored_metrics")
 def scored_metrics(spark, sf):
     """FLT10, AGG15: a rule's predictions against the expert grid, per recording."""
@@ -262,6 +282,15 @@ def rms(spark, sf):
     return _features(spark, sf).select(*EPOCH, r6("feat_rms"))
 
 
+@query("q_welch_segments")
+def welch_segments(spark, sf):
+    """FN4-FN6, WIN10: epochs of 512 samples, three overlapping segments each."""
+    features = feature_struct(F.col("signal"), B.VECTOR_SETTINGS)
+    rows = B.long_epochs(spark, sf).select("epoch", features.alias("_f")).select("epoch", "_f.*")
+    bands = [r6(f"feat_bp_{b}") for b in S.BAND_NAMES]
+    return rows.select("epoch", *bands, r6("feat_spec_entropy"))
+
+
 # --- cohort ----------------------------------------------------------------------
 
 

@@ -51,8 +51,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below :func:`shared_dir`."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in this application's part of :func:`shared_dir`."""
+    return f"{_scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _scratch_dir(spark: SparkSession) -> str:
+    application = spark.sparkContext.applicationId
+    return f"{shared_dir(spark).rstrip('/')}/epochwright-{application}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's scratch tables, once their results are no longer needed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:

@@ -140,6 +140,13 @@ def test_train_and_evaluate(spark, home, trees, model):
     assert night.count() == doc["n_epochs"]
 
 
+def test_confusion_report(spark, home, trees):
+    report = flows.confusion_report(spark, home, "trees", "val")
+    n = report["per_class"].agg(F.sum("support")).first()[0]
+    assert n == flows.load_split(spark, home, "val").count() > 0
+    assert report["counts"].count() == 5 and report["shares"].count() == 25
+
+
 def test_stage_recordings(spark, home, trees):
     raw = home.paths.raw_dir
     staged = flows.stage_recordings(spark, home, raw, raw, "trees")
