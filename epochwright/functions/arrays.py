@@ -13,6 +13,12 @@ def half_even(value: Column) -> Column:
     return F.rint(value).cast("long")
 
 
+def quotient(value: Column, divisor: Column | int) -> Column:
+    """Whole-number division of non-negative integers, exact at any size."""
+    by = F.lit(divisor) if isinstance(divisor, int) else divisor
+    return F.call_function("div", value, by)
+
+
 def share(part: Column, whole: Column) -> Column:
     """``part / whole`` as DOUBLE, 0 where the whole is 0."""
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))

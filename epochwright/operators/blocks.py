@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epochwright import schema as S
-from epochwright.functions.arrays import zscore
-from epochwright.session import materialize
+from epochwright.functions.arrays import quotient, zscore
+from epochwright.session import materialize, sized
 
 
 def sample_stats(samples: DataFrame, value: str, keys: list[str] = S.REC) -> DataFrame:
@@ -36,10 +36,10 @@ def block_stats(blocks: DataFrame, keys: list[str] = S.REC) -> DataFrame:
 def normalize_samples(samples: DataFrame, value: str, keys: list[str] = S.REC) -> DataFrame:
     """J2 + FN1 over one row per sample: adds ``mean``, ``std`` and ``z``.
 
-    The join side is left to AQE: it broadcasts the statistics when they turn
-    out small and splits a skewed recording when they do not.
+    The statistics are written first, so the samples are shuffled only if there
+    are too many recordings to broadcast.
     """
-    stats = sample_stats(samples, value, keys).drop("n_samples")
+    stats = sized(sample_stats(samples, value, keys).drop("n_samples"), "stats")
     return samples.join(stats, keys).withColumn(
         "z", zscore(F.col(value), F.col("mean"), F.col("std"))
     )
@@ -50,7 +50,7 @@ def to_blocks(
 ) -> DataFrame:
     """One row per sample to blocks of ``block_len`` samples (the tumbling window of WIN5)."""
     return (
-        samples.groupBy(*keys, F.floor(F.col(position) / block_len).alias("block_idx"))
+        samples.groupBy(*keys, quotient(F.col(position), block_len).alias("block_idx"))
         .agg(F.array_sort(F.collect_list(F.struct(position, value))).alias("_rows"))
         .select(*keys, "block_idx", F.col("_rows").getField(value).alias("samples"))
     )
@@ -68,7 +68,7 @@ def cut_epochs(
 
 def grid_plan(recordings: DataFrame, length: int, keys: list[str] = S.REC) -> DataFrame:
     """WIN5 as a plan for :func:`slice_blocks`: ``epoch_idx`` and ``start_sample`` from t = 0."""
-    n_epochs = F.floor(F.col("n_samples") / length)
+    n_epochs = quotient(F.col("n_samples"), length)
     return (
         recordings.filter(F.col("n_samples") >= length)
         .select("*", F.explode(F.sequence(F.lit(0).cast("long"), n_epochs - 1)).alias("_k"))
@@ -92,8 +92,8 @@ def slice_blocks(
     Where none does (epochs aligned to file records) a slice needs one join row
     and is done; else epochs are cut into pieces and put together again.
     """
-    first = F.floor(F.col("start_sample") / F.col("block_len"))
-    last = F.floor((F.col("start_sample") + length - 1) / F.col("block_len"))
+    first = quotient(F.col("start_sample"), F.col("block_len"))
+    last = quotient(F.col("start_sample") + length - 1, F.col("block_len"))
     spans = materialize(plan.withColumn("_first", first).withColumn("_last", last), "slices")
     aligned = spans.filter(F.col("_first") < F.col("_last")).isEmpty()
     extra = [c for c in plan.columns if c not in [*keys, "plan_idx"]]

@@ -13,7 +13,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from epochwright.session import materialize
+from epochwright.session import materialize, sized
 
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the row position in its low 33 bits
 _BLOCK_BITS = 16  # positions per block: 65,536
@@ -52,6 +52,7 @@ def row_index(
         (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
     )
     # null-safe, so rows with a null key are numbered too instead of lost
+    shifts = sized(shifts, "row-index-shifts")
     same_chunk = reduce(
         and_, [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in [*keys, "_part"]]
     )
@@ -92,7 +93,7 @@ def running_total(
         .select(*block, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
     )
     return (
-        ranged.join(offsets, block)
+        ranged.join(sized(offsets, "running-total-offsets"), block)
         .withColumn(out, F.col(out) + F.col("_offset"))
         .select(*df.columns, out)
     )

@@ -16,6 +16,7 @@ from epochwright import schema as S
 from epochwright.functions.arrays import half_even
 from epochwright.functions.labels import map_annotation
 from epochwright.operators.indexing import running_total
+from epochwright.session import sized
 from epochwright.settings import DatasetSettings
 
 
@@ -89,7 +90,7 @@ def trim_runs(
         (F.min(F.when(asleep, F.col("first_idx"))) - pad).alias("lo"),
         (F.max(F.when(asleep, last_idx)) + pad).alias("hi"),
     )
-    return runs.join(bounds, keys).filter(
+    return runs.join(sized(bounds, "trim-bounds"), keys).filter(
         F.col("lo").isNull() | ((last_idx >= F.col("lo")) & (F.col("first_idx") <= F.col("hi")))
     )
 

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epochwright import schema as S
+from epochwright.functions.arrays import quotient
 from epochwright.functions.spectral import feature_struct
 from epochwright.operators.indexing import row_index
 from epochwright.plans import derived
-from epochwright.session import scratch_path
+from epochwright.session import scratch_path, sized
 from epochwright.settings import DatasetSettings, Settings
 
 USER = ["user_id"]
@@ -73,7 +74,7 @@ def annotations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     recordings = table(spark, sf_dir, "events").groupBy("user_id").agg(
         (length * 3000).alias("n_samples"), (length + 8).alias("n_epochs")
     )
-    return rows, recordings
+    return rows, sized(recordings, "recordings")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,8 +82,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec = F.col("vec_id")
     return table(spark, sf_dir, "embeddings").select(
         F.concat(F.lit("SC"), F.lpad((vec % 20).cast("string"), 2, "0")).alias("subject_id"),
-        (1 + F.floor(vec / 20) % 2).cast("int").alias("night"),
-        F.floor(vec / 40).cast("int").alias("epoch_idx"),
+        (1 + quotient(vec, 20) % 2).cast("int").alias("night"),
+        quotient(vec, 40).cast("int").alias("epoch_idx"),
         (F.col("label") % 5).alias("stage"),
         F.col("embedding").cast("array<double>").alias("signal"),
     )
@@ -91,7 +92,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def long_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight embeddings in a row as one epoch of 512 samples, so a spectrum has segments."""
     rows = table(spark, sf_dir, "embeddings").select(
-        F.floor(F.col("vec_id") / 8).alias("epoch"),
+        quotient(F.col("vec_id"), 8).alias("epoch"),
         (F.col("vec_id") % 8).alias("part"),
         F.col("embedding").cast("array<double>").alias("signal"),
     )
@@ -144,7 +145,7 @@ def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.concat(
         F.lit("SC4"),
         F.lpad((cust % 100).cast("string"), 2, "0"),
-        (1 + F.floor(cust / 100) % 2).cast("string"),
+        (1 + quotient(cust, 100) % 2).cast("string"),
     )
     rows = table(spark, sf_dir, "customer").select(cust.alias("pos"), key.alias("key"))
     signal = rows.select(
@@ -161,7 +162,7 @@ def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vector_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as data records of files: ``file_no, file, record, stage, signal``."""
-    file_no = F.floor(F.col("vec_id") / RECORDS_PER_FILE)
+    file_no = quotient(F.col("vec_id"), RECORDS_PER_FILE)
     return table(spark, sf_dir, "embeddings").select(
         file_no.alias("file_no"),
         F.concat(F.lit("rec"), file_no.cast("string"), F.lit(S.SIGNAL_SUFFIX)).alias("file"),
@@ -222,7 +223,7 @@ def event_annotation_files(spark: SparkSession, sf_dir: str) -> str:
     """Events as annotation files of 100 annotations each; returns their folder."""
     folder = scratch_path(spark, "annotations")
     within = F.col("event_id") % ANNOTATIONS_PER_FILE
-    number = F.floor(F.col("event_id") / ANNOTATIONS_PER_FILE).cast("string")
+    number = quotient(F.col("event_id"), ANNOTATIONS_PER_FILE).cast("string")
     rows = described_events(spark, sf_dir).select(
         F.concat(F.lit("rec"), number, F.lit(S.ANNOTATION_SUFFIX)).alias("file"),
         within.cast("int").alias("record"),

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epochwright import schema as S
+from epochwright.functions.arrays import quotient
 from epochwright.functions.labels import recording_key
 from epochwright.functions.spectral import epoch_record, feature_struct
 from epochwright.models.raw_signal import RawModel, train_raw
@@ -29,7 +30,7 @@ from epochwright.operators.agreement import (
 from epochwright.operators.blocks import block_stats, grid_plan
 from epochwright.operators.indexing import row_index
 from epochwright.operators.planning import expert_grid, plan_epochs
-from epochwright.session import materialize
+from epochwright.session import materialize, sized
 from epochwright.settings import Settings
 from epochwright.sinks import tables as sinks
 from epochwright.sources import tables as sources
@@ -98,10 +99,11 @@ def epochs_from_files(
     dataset = settings.dataset
     headers = _checked_headers(spark, raw_dir, settings, glob=signal_glob, **edf_options)
     stats = _signal_stats(spark, raw_dir, settings, glob=signal_glob, **edf_options)
-    recordings = (
+    recordings = sized(
         manifest.withColumnRenamed("psg_path", "path")
         .join(headers.select("path", "n_samples"), "path")
-        .join(stats, "path")
+        .join(stats, "path"),
+        "recordings",
     )
     raw = read_edf(spark, raw_dir, "annotations", glob=annotation_glob, **edf_options)
     owned = raw.withColumnRenamed("path", "hypnogram_path").join(
@@ -313,7 +315,7 @@ def stage_recordings(
     expert = None
     if annotation_path is not None:
         grid = headers.select(
-            "path", F.floor(F.col("n_samples") / dataset.epoch_samples).alias("n_epochs")
+            "path", quotient(F.col("n_samples"), dataset.epoch_samples).alias("n_epochs")
         )
         raw = read_edf(spark, annotation_path, "annotations", glob=annotation_glob)
         raw = raw.withColumnRenamed("path", "hypnogram_path")

@@ -19,7 +19,7 @@ from epochwright.operators import agreement as agree
 from epochwright.operators import blocks, checks, cohort, discovery, nights, planning
 from epochwright.plans import bindings as B
 from epochwright.plans import flows
-from epochwright.session import materialize, scratch_path
+from epochwright.session import materialize, scratch_path, sized
 from epochwright.settings import RawModelSettings, TreeSettings
 from epochwright.sinks import tables as sinks
 from epochwright.sources import tables as sources
@@ -102,7 +102,7 @@ def manifest(spark, sf):
 @query("q_missing_files")
 def missing_files(spark, sf):
     """SRC11, J11: one file wanted per 100 events, one there per 50 embeddings."""
-    number = F.floor(F.col("event_id") / 100).cast("string")
+    number = arrays.quotient(F.col("event_id"), 100).cast("string")
     wanted = (
         B.table(spark, sf, "events")
         .select(F.concat(F.lit("rec"), number, F.lit(S.SIGNAL_SUFFIX)).alias("name"))
@@ -219,7 +219,7 @@ def zscore(spark, sf):
 def zscore_blocks(spark, sf):
     """AGG1 and FN1 on blocks: each epoch against its night's statistics."""
     epochs = B.vectors(spark, sf).withColumnRenamed("signal", "samples")
-    stats = blocks.block_stats(epochs)
+    stats = sized(blocks.block_stats(epochs), "stats")
     z = arrays.zscore_array(F.col("samples"), F.col("mean"), F.col("std"))
     return epochs.join(stats, S.REC).select(
         *EPOCH, F.transform(z, lambda x: F.round(x, 6)).alias("z")
@@ -236,9 +236,8 @@ def cut_epochs(spark, sf):
 @query("q_slice_blocks")
 def slice_blocks(spark, sf):
     """J3, FN2, FLT6: 8-sample epochs out of 5-sample blocks."""
-    events = materialize(B.indexed_events(spark, sf), "samples")
-    cut = blocks.to_blocks(events, "pos", "value", 5, B.USER)
-    recordings = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_samples"))
+    cut = blocks.to_blocks(B.indexed_events(spark, sf), "pos", "value", 5, B.USER)
+    recordings = blocks.sample_stats(B.table(spark, sf, "events"), "value", B.USER)
     plan = blocks.grid_plan(recordings, 8, B.USER).select(
         "user_id",
         F.col("epoch_idx").alias("plan_idx"),

@@ -66,6 +66,20 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sized(df: DataFrame, label: str = "side") -> DataFrame:
+    """The smaller side of a join, with a size the planner can rely on.
+
+    Spark broadcasts a side it estimates below its threshold. An aggregate over
+    a big table is estimated as big, however few rows it yields, and the other
+    side would be shuffled before the true size shows. Such a side is written
+    first: then it is broadcast if it is small, without moving the large side,
+    or else joined by a shuffle with skew handling.
+    """
+    threshold = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if estimate <= threshold else materialize(df, label)
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
