@@ -33,6 +33,26 @@ def block_stats(blocks: DataFrame, keys: list[str] = S.REC) -> DataFrame:
     return sample_stats(blocks.select(*keys, F.explode("samples").alias("sample")), "sample", keys)
 
 
+def merge_moments(parts: DataFrame, keys: list[str] = S.REC) -> DataFrame:
+    """AGG1 from partial statistics ``n``, ``mean``, ``m2`` of any pieces of a recording.
+
+    The overall mean comes first, then deviations about it: exact for signals
+    with a large offset, where sums of squares would cancel.
+    """
+    parts = materialize(parts.select(*keys, "n", F.col("mean").alias("_mean"), "m2"), "moments")
+    means = parts.groupBy(*keys).agg(
+        F.sum("n").alias("n_samples"),
+        (F.sum(F.col("n") * F.col("_mean")) / F.sum("n")).alias("mean"),
+    )
+    shift = F.col("_mean") - F.col("mean")
+    spread = F.sum(F.col("m2") + F.col("n") * shift * shift)
+    return (
+        parts.join(sized(means, "means"), keys)
+        .groupBy(*keys, "n_samples", "mean")
+        .agg(F.sqrt(spread / F.first("n_samples")).alias("std"))
+    )
+
+
 def normalize_samples(samples: DataFrame, value: str, keys: list[str] = S.REC) -> DataFrame:
     """J2 + FN1 over one row per sample: adds ``mean``, ``std`` and ``z``.
 

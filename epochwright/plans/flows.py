@@ -27,7 +27,7 @@ from epochwright.operators.agreement import (
     per_class,
     scored_only,
 )
-from epochwright.operators.blocks import block_stats, grid_plan
+from epochwright.operators.blocks import grid_plan, merge_moments
 from epochwright.operators.indexing import row_index
 from epochwright.operators.planning import expert_grid, plan_epochs
 from epochwright.session import materialize, sized
@@ -78,8 +78,8 @@ def _epoch_rows(plan: DataFrame, settings: Settings) -> DataFrame:
 
 def _signal_stats(spark: SparkSession, path: str, settings: Settings, **options) -> DataFrame:
     """Mean and deviation of every signal file below ``path``: the first scan of the signal."""
-    blocks = read_edf(spark, path, "signal", channel=settings.dataset.channel, **options)
-    return block_stats(blocks, _FILE).select("path", "mean", "std")
+    parts = read_edf(spark, path, "moments", channel=settings.dataset.channel, **options)
+    return merge_moments(parts, _FILE).select("path", "mean", "std")
 
 
 def epochs_from_files(

@@ -718,6 +718,12 @@ digital AS (
 SQL["q_file_signal"] = f"""
 WITH {_DIGITAL} SELECT file_no, sample, round(value, 6) + 0.0 AS value FROM digital"""
 
+SQL["q_file_stats"] = f"""
+WITH {_DIGITAL}
+SELECT file_no, count(*) AS n_samples, round(avg(value), 6) + 0.0 AS mean,
+       round(stddev_pop(value), 6) AS std
+FROM digital GROUP BY 1"""
+
 SQL["q_file_annotations"] = f"""
 WITH {TEXTS}
 SELECT event_id // 100 AS file_no, ((event_id % 100) * 30)::DOUBLE AS onset,

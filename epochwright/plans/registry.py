@@ -743,6 +743,17 @@ def file_signal(spark, sf):
     )
 
 
+@query("q_file_stats")
+def file_stats(spark, sf):
+    """AGG1 over files: partial statistics at the scan, merged."""
+    folder = B.signal_files(spark, sf)
+    parts = read_edf(spark, folder, "moments", channel=B.FILE_SETTINGS.dataset.channel)
+    stats = blocks.merge_moments(parts, ["path"])
+    return stats.select(
+        B.file_number(F.col("path")).alias("file_no"), "n_samples", r6("mean"), r6("std")
+    )
+
+
 @query("q_file_annotations")
 def file_annotations(spark, sf):
     """SRC3."""

@@ -4,6 +4,9 @@
 
 * ``signal``: one row per block of data records of ``option("channel")``, in
   micro-volts: ``path, channel, block_idx, start_sample, samples``;
+* ``moments``: one row per few megabytes of ``option("channel")``, the partial statistics
+  ``path, channel, n, mean, m2`` (sum of squared deviations), so that statistics over whole
+  files need no samples outside the scan;
 * ``header``: one row per channel: ``path, channel, sfreq, n_samples, block_len``;
 * ``annotations``: one row per annotation: ``path, ann_no, onset, duration, description``.
 
@@ -13,7 +16,7 @@ files become separate partitions and small files share one. A task reads the
 header of its file, then just the records that begin in its range.
 
 Options: ``channel``; ``recordsPerBlock`` (data records per block row, 1);
-``splitBytes`` (partition size, 64 MB); ``glob`` (file name pattern, ``*.edf``).
+``splitBytes`` (largest partition, 64 MB); ``minPartitions``; ``glob`` (file name pattern, ``*.edf``).
 """
 
 from __future__ import annotations
@@ -60,12 +63,14 @@ MICROVOLTS = {"uV": 1.0, "µV": 1.0, "mV": 1e3, "V": 1e6}
 
 _MAIN_BYTES = sum(width for _, width in MAIN_HEADER)
 _SIGNAL_BYTES = sum(width for _, width in SIGNAL_HEADER)
+_LEAST_SPLIT = 1024 * 1024
 _READ_BYTES = 4 * 1024 * 1024  # one read, and one Arrow batch, of a file
 _ANN_PER_RECORD_BITS = 20  # ann_no = record << 20 | position; a record holds far fewer texts
 
 SCHEMAS = {
     "signal": "path string, channel string, block_idx bigint, start_sample bigint, "
     "samples array<double>",
+    "moments": "path string, channel string, n bigint, mean double, m2 double",
     "header": "path string, channel string, sfreq double, n_samples bigint, block_len bigint",
     "annotations": "path string, ann_no bigint, onset double, duration double, "
     "description string",
@@ -182,19 +187,24 @@ class EdfReader(DataSourceReader):
         self.channel = options.get("channel")
         self.per_block = int(options.get("recordsperblock", 1))
         self.split_bytes = int(options.get("splitbytes", 64 * 1024 * 1024))
-        if mode == "signal" and not self.channel:
-            raise ValueError("mode 'signal' needs option 'channel'")
+        self.min_partitions = int(options.get("minpartitions", 1))
+        if mode in ("signal", "moments") and not self.channel:
+            raise ValueError(f"mode {mode!r} needs option 'channel'")
 
     def partitions(self):
+        files = _list_files(self.path, self.pattern)
+        # small inputs are still spread over the cores, down to _LEAST_SPLIT
+        even = sum(size for _, size in files) // self.min_partitions
+        split_bytes = min(self.split_bytes, max(even, _LEAST_SPLIT))
         packed, room = [], 0
-        for path, size in _list_files(self.path, self.pattern):
-            step = size if self.mode == "header" else self.split_bytes
+        for path, size in files:
+            step = size if self.mode == "header" else split_bytes
             for begin in range(0, max(size, 1), max(step, 1)):
                 end = min(begin + step, size)
                 cost = 64 * 1024 if self.mode == "header" else end - begin
                 if not packed or cost > room:
                     packed.append(FileRanges([]))
-                    room = self.split_bytes
+                    room = split_bytes
                 packed[-1].ranges.append((path, size, begin, end))
                 room -= cost
         return packed
@@ -202,6 +212,7 @@ class EdfReader(DataSourceReader):
     def read(self, partition):
         rows = {
             "signal": self._signal,
+            "moments": self._moments,
             "header": self._header,
             "annotations": self._annotations,
         }[self.mode]
@@ -238,12 +249,33 @@ class EdfReader(DataSourceReader):
         return range(first_at(begin), first_at(end))
 
     def _signal(self, path, handle, header, begin, end):
+        for blocks, width, samples in self._chunks(path, handle, header, begin, end):
+            # the last block of a file may be shorter
+            offsets = np.minimum(np.arange(len(blocks) + 1) * width, len(samples))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([path] * len(blocks)),
+                    pa.array([self.channel] * len(blocks)),
+                    pa.array(blocks, pa.int64()),
+                    pa.array(np.asarray(blocks, dtype=np.int64) * width),
+                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(samples)),
+                ],
+                names=["path", "channel", "block_idx", "start_sample", "samples"],
+            )
+
+    def _moments(self, path, handle, header, begin, end):
+        for _, _, samples in self._chunks(path, handle, header, begin, end):
+            mean = samples.mean()
+            spread = np.square(samples - mean).sum()
+            yield (path, self.channel, len(samples), float(mean), float(spread))
+
+    def _chunks(self, path, handle, header, begin, end):
+        """(block numbers, samples per block, samples) of the wanted channel, read by read."""
         labels = [s["label"] for s in header.signals]
         if self.channel not in labels:
             raise ValueError(f"channel {self.channel!r} not found in {path}; available: {labels}")
         index = labels.index(self.channel)
         signal, place = header.signals[index], header.position(index)
-        width = self.per_block * signal["samples"]
         owned = self._owned(header, begin, end, self.per_block)
         at_once = max(1, _READ_BYTES // (2 * header.record_samples * self.per_block))
         for start in range(owned.start, owned.stop, at_once):
@@ -251,22 +283,7 @@ class EdfReader(DataSourceReader):
             first = start * self.per_block
             count = min(len(blocks) * self.per_block, header.n_records - first)
             digital = self._records(handle, header, first, count)[:, place].reshape(-1)
-            # the last block of a file may be shorter
-            offsets = np.minimum(np.arange(len(blocks) + 1) * width, len(digital))
-            samples = pa.ListArray.from_arrays(
-                pa.array(offsets, pa.int32()), pa.array(to_microvolts(digital, signal))
-            )
-            index = pa.array(blocks, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([path] * len(blocks)),
-                    pa.array([self.channel] * len(blocks)),
-                    index,
-                    pa.array(np.asarray(blocks, dtype=np.int64) * width),
-                    samples,
-                ],
-                names=["path", "channel", "block_idx", "start_sample", "samples"],
-            )
+            yield blocks, self.per_block * signal["samples"], to_microvolts(digital, signal)
 
     def _annotations(self, path, handle, header, begin, end):
         places = [
@@ -380,4 +397,6 @@ class EdfDataSource(DataSource):
 def read_edf(spark: SparkSession, path: str, mode: str, **options):
     """``path`` (file or folder) in one of the modes above."""
     spark.dataSource.register(EdfDataSource)
-    return spark.read.format("edf").option("mode", mode).options(**options).load(path)
+    reader = spark.read.format("edf").option("mode", mode)
+    reader = reader.option("minPartitions", spark.sparkContext.defaultParallelism)
+    return reader.options(**options).load(path)

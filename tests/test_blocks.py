@@ -31,6 +31,19 @@ def test_statistics_of_a_split_recording(spark, signals):
         assert got[rec]["std"] == pytest.approx(x.std(), rel=1e-8)
 
 
+def test_merged_moments(spark, signals):
+    rows = [
+        (rec, len(p), float(p.mean()), float(((p - p.mean()) ** 2).sum()))
+        for rec, x in signals.items()
+        for p in np.split(x, [10, 11, 50])
+    ]
+    parts = spark.createDataFrame(rows, "rec string, n long, mean double, m2 double").repartition(4)
+    for r in blocks.merge_moments(parts, REC).collect():
+        x = signals[r["rec"]]
+        assert r["n_samples"] == len(x)
+        assert (r["mean"], r["std"]) == pytest.approx((x.mean(), x.std()), rel=1e-8)
+
+
 @pytest.mark.parametrize("block_len", [30, 70, 100, 250, 1000])
 def test_slices_equal_array_slices(spark, signals, block_len):
     starts = [0, 1, 69, 70, 100, 333, 850, 899, 900, 950]

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from epochwright.operators import checks
+from epochwright.operators.blocks import merge_moments
 from epochwright.plans import derived
 from epochwright.sources import edf
 
@@ -24,7 +25,7 @@ def _physical(digital, scale=FULL):
     return (digital.astype(float) - dmin) * (high - low) / (dmax - dmin) + low
 
 
-@pytest.mark.parametrize("split_bytes, per_block", [(10**9, 1), (700, 1), (700, 3), (1, 2), (5000, 5)])
+@pytest.mark.parametrize("split_bytes, per_block", [(10**9, 1), (700, 1), (700, 3), (150, 2), (5000, 5)])
 def test_signal_is_the_same_for_any_split(spark, tmp_path, split_bytes, per_block):
     files = {}
     for i, records in enumerate((12, 7, 1)):
@@ -39,13 +40,20 @@ def test_signal_is_the_same_for_any_split(spark, tmp_path, split_bytes, per_bloc
         spark, str(tmp_path), "signal", channel=CHANNEL, splitBytes=split_bytes, recordsPerBlock=per_block
     )
     rows = df.collect()
+    parts = edf.read_edf(
+        spark, str(tmp_path), "moments", channel=CHANNEL, splitBytes=split_bytes, recordsPerBlock=per_block
+    )
+    stats = {r["path"].split("/")[-1]: r for r in merge_moments(parts, ["path"]).collect()}
     for name, digital in files.items():
+        x = _physical(digital)
+        assert stats[name]["n_samples"] == x.size
+        assert (stats[name]["mean"], stats[name]["std"]) == pytest.approx((x.mean(), x.std()))
         own = sorted((r for r in rows if r["path"].endswith(name)), key=lambda r: r["block_idx"])
         assert [r["block_idx"] for r in own] == list(range(-(-len(digital) // per_block)))
         assert [r["start_sample"] for r in own] == [i * per_block * 100 for i in range(len(own))]
         got = np.concatenate([r["samples"] for r in own])
         np.testing.assert_allclose(got, _physical(digital).reshape(-1), rtol=1e-12, atol=1e-9)
-    if split_bytes == 1:
+    if split_bytes == 150:
         assert df.rdd.getNumPartitions() > 20
 
 
