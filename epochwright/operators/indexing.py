@@ -97,3 +97,57 @@ def running_total(
         .withColumn(out, F.col(out) + F.col("_offset"))
         .select(*df.columns, out)
     )
+
+
+def number_rows(
+    df: DataFrame,
+    keys: list[str],
+    order_by: list[str],
+    sums: dict[str, Column] | None = None,
+    out: str = "idx",
+) -> DataFrame:
+    """Position and exclusive prefix sums of each row within ``keys``, in ``order_by`` order.
+
+    ``sums`` maps an output column to the value it adds up (cast to bigint, null
+    counts as 0). One range shuffle and one write of the rows; count and sums
+    inside a (key, partition) chunk come from one window, and the chunks'
+    offsets from a table of their totals. ``df`` should carry only narrow
+    columns; ``order_by`` must order the rows of a key totally. ``keys`` may be
+    empty: then the whole table is numbered.
+    """
+    sums = sums or {}
+    sort = [*keys, *order_by]
+    values = [F.coalesce(value.cast("long"), F.lit(0)).alias(f"_v_{name}") for name, value in sums.items()]
+    placed = materialize(
+        df.select(*df.columns, *values)
+        .repartitionByRange(*sort)
+        .sortWithinPartitions(*sort)
+        .withColumn("_at", F.monotonically_increasing_id()),
+        "number-rows",
+    ).withColumn("_part", F.shiftright("_at", _POSITION_BITS))
+    chunk = [*keys, "_part"]
+    inside = Window.partitionBy(*chunk).orderBy("_at")
+    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_part").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(*chunk).agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.sum(f"_v_{name}").alias(f"_t_{name}") for name in sums]
+    )
+    offsets = totals.select(
+        *[F.col(c).alias(f"_key_{c}") for c in chunk],
+        *[
+            F.coalesce(F.sum(column).over(earlier), F.lit(0)).alias(f"_o_{name}")
+            for name, column in [(out, "_rows"), *[(name, f"_t_{name}") for name in sums]]
+        ],
+    )
+    same_chunk = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in chunk])
+    numbered = placed.select(
+        *df.columns,
+        "_part",
+        (F.row_number().over(inside) - 1).cast("long").alias(f"_i_{out}"),
+        *[F.coalesce(F.sum(f"_v_{name}").over(before), F.lit(0)).alias(f"_i_{name}") for name in sums],
+    )
+    return numbered.join(sized(offsets, "number-rows-offsets"), same_chunk).select(
+        *df.columns, *[(F.col(f"_i_{name}") + F.col(f"_o_{name}")).alias(name) for name in [out, *sums]]
+    )
