@@ -5,19 +5,52 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from epochwright.llm import exact_dedup, merkle, mixing, packing, simhash
-from epochwright.llm.common import table
+from epochwright.llm import (
+    exact_dedup,
+    langid,
+    licenses,
+    merkle,
+    mixing,
+    packing,
+    pseudonyms,
+    simhash,
+    toxicity,
+    url_rules,
+)
+from epochwright.llm.common import crc_of, table
+
+KEY = b"a key for tests; in production it comes from a secret store"
+
+
+def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonyms(table(spark, sf_dir, "documents"), KEY)
 
 
 def op2_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edit_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"), crc_of() % 4 == 2)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), crc_of() % 5 != 0)
+    return toxicity.scores(docs, model).select(
+        "doc_id",
+        (crc_of() % 5 == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -32,12 +65,25 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pseudonyms": op1_pseudonyms,
     "op2_merkle_fingerprints": op2_merkle_fingerprints,
+    "op3_language_id": op3_language_id,
     "op4_packing": op4_packing,
+    "op5_toxicity": op5_toxicity,
     "op6_source_mixing": op6_source_mixing,
     "op7_simhash_neardup": op7_simhash_neardup,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_url_rules": op9_url_rules,
+    "op10_license_scan": op10_license_scan,
 }
 
 SQL: dict[str, str] = {
