@@ -141,16 +141,17 @@ def next_documents(rows: DataFrame) -> DataFrame:
 def with_edits(docs: DataFrame) -> DataFrame:
     """Each document with its text, the start of the next one, and the next one's root and runs.
 
-    Texts are moved once, by id: the same exchange serves the rows themselves
-    and the join that sends each document's start to the one before it.
+    Texts are moved once, by id: the same exchange (of the same columns) serves
+    the rows themselves and the join that sends each document's start to the
+    one before it.
     """
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_id"),
         text_or_empty().alias("_text"),
     )
-    first = F.row_number().over(Window.partitionBy("_id").orderBy("_text"))
-    once = rows.select("_id", "_text", first.alias("_nth")).filter("_nth = 1")
+    # a test of the row before, as a limit on row numbers would be put below the exchange
+    before = F.lag(F.lit(1)).over(Window.partitionBy("_id").orderBy("_text"))
+    once = rows.withColumn("_before", before).filter(F.col("_before").isNull())
     heads = (
         once.join(sized(next_documents(rows), "next-documents"), "_id")
         .select(
@@ -160,7 +161,8 @@ def with_edits(docs: DataFrame) -> DataFrame:
         )
         .select("_id", "_head", root_hash(section_hashes(F.col("_tree"))).alias("_next_root"), runs_of(F.col("_tree")).alias("_next_runs"))
     )
-    return rows.join(heads, "_id")
+    doc_id = F.when(F.col("_id") != _NO_ID, F.col("_id")).alias("doc_id")
+    return rows.join(heads, "_id").select(doc_id, "_text", "_head", "_next_root", "_next_runs")
 
 
 def edit_fingerprints(docs: DataFrame) -> DataFrame:
