@@ -146,7 +146,10 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     made = made.withColumn("_list", F.col("recipe" if doubtful else "strong"))
     # the first row by (doc_id, row_no); a null doc_id comes last
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_no")).alias("_keep")
-    groups = made.groupBy(F.col("_list").alias("_of")).agg(first, F.count(F.lit(1)).alias("group_size"))
+    # written, so that the join's sides are shuffled apart and a hot group's rows can be split
+    groups = materialize(
+        made.groupBy(F.col("_list").alias("_of")).agg(first, F.count(F.lit(1)).alias("group_size")), "recipe-groups"
+    )
     return made.join(groups, F.col("_list") == F.col("_of")).select(
         "doc_id",
         F.col("_keep.doc_id").alias("keep_id"),
