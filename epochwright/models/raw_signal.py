@@ -23,7 +23,7 @@ _STEPS_PER_ROUND = 5
 
 
 def average_down(signal: Column, factor: int) -> Column:
-    """Means of ``factor`` consecutive samples; a trailing part is dropped."""
+    """Means of ``factor`` consecutive samples; ``factor`` divides the length (see :func:`train_raw`)."""
     if factor == 1:
         return signal.cast("array<double>")
     wide = signal.cast("array<double>")
@@ -52,7 +52,11 @@ class RawModel:
 
     def score(self, epochs: DataFrame) -> DataFrame:
         """ML4: adds ``pred`` and ``proba``."""
-        scored = self.model.transform(signal_view(epochs, self.factor))
+        return self.score_view(signal_view(epochs, self.factor))
+
+    def score_view(self, view: DataFrame) -> DataFrame:
+        """The same for rows that already are vectors."""
+        scored = self.model.transform(view)
         return (
             scored.withColumn("proba", vector_to_array("probability"))
             .withColumn("pred", argmax(F.col("proba")))
@@ -60,7 +64,7 @@ class RawModel:
         )
 
     def save(self, path: str) -> None:
-        """SNK9; the averaging factor follows from the stored input width."""
+        """SNK9; the averaging factor, a divisor of the epoch, follows from the stored input width."""
         self.model.write().overwrite().save(f"{path}/model")
 
     @classmethod
@@ -87,6 +91,8 @@ def train_raw(
     After a round the validation macro-F1 is taken; the best round is kept and
     ``patience`` rounds without a better one end the training.
     """
+    if epoch_samples % factor:
+        raise ValueError(f"averaging factor {factor} does not divide {epoch_samples} samples")
     if settings.class_weights == "auto":
         key = F.concat_ws(":", *S.REC, "epoch_idx")
         train = resample_by_weight(train, class_weights(train), key, seed)
@@ -94,6 +100,7 @@ def train_raw(
         F.col("stage").cast("double").alias("label"), "features"
     )
     rows = rows.persist()
+    checked = signal_view(val, factor).persist()  # read once, not once per round
     best, best_f1, stale, weights, history = None, -1.0, 0, None, []
     try:
         for _ in range(settings.rounds):
@@ -107,7 +114,7 @@ def train_raw(
             )
             model = trainer.fit(rows)
             weights = model.weights
-            f1 = macro_f1(RawModel(model, factor).score(val))
+            f1 = macro_f1(RawModel(model, factor).score_view(checked))
             history.append(f1)
             if f1 > best_f1:
                 best, best_f1, stale = model, f1, 0
@@ -117,4 +124,5 @@ def train_raw(
                 break
     finally:
         rows.unpersist()
+        checked.unpersist()
     return RawModel(best, factor, history)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import Callable, Iterator
 
 import numpy as np
@@ -9,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from epochwright import schema as S
 
 BATCH = 128  # fixed value: epochs per call of a predictor
 
@@ -25,7 +27,8 @@ def score_with(
 
     ``make_predictor`` runs on the worker, once per task, so a model is loaded
     there and reused for all batches of the task. Small fixed batches bound the
-    predictor's memory whatever the Arrow batch size.
+    predictor's memory whatever the Arrow batch size. Epochs of a task must be
+    equally long (FLT13): another length is an error, never a shifted sample.
     """
     out = T.StructType(
         [epochs.schema[k] for k in keys]
@@ -34,11 +37,15 @@ def score_with(
     n_keys = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predict = make_predictor()
+        predict, width = make_predictor(), None
         for batch in batches:
             for start in range(0, batch.num_rows, batch_size):
                 part = batch.slice(start, batch_size)
                 signal = part.column(n_keys)
+                lengths = np.unique(signal.value_lengths().to_numpy(zero_copy_only=False))
+                width = lengths[0] if width is None else width
+                if signal.null_count or (lengths != width).any():
+                    raise ValueError(f"epochs of unequal length: {sorted(set(lengths) | {width})}")
                 x = signal.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
                 proba = np.asarray(predict(x.reshape(part.num_rows, -1)), dtype=float)
                 offsets = np.arange(0, proba.size + 1, proba.shape[1], dtype=np.int32)
@@ -54,6 +61,18 @@ def score_with(
     return epochs.select(*keys, "signal").mapInArrow(run, out)
 
 
+@dataclass
+class PredictorModel:
+    """A predictor where the steps expect a fitted model."""
+
+    make_predictor: Callable[[], Predictor]
+
+    def score(self, epochs: DataFrame) -> DataFrame:
+        """ML4: the epochs' keys and stage, where there is one, with ``pred`` and ``proba``."""
+        kept = [c for c in epochs.columns if c != "signal" and c not in S.FEATURES]
+        return score_with(epochs, self.make_predictor, kept)
+
+
 def require_model_name(name: str, known: list[str]) -> str:
     """FLT17."""
     if name not in known:

@@ -29,8 +29,15 @@ def sample_stats(samples: DataFrame, value: str, keys: list[str] = S.REC) -> Dat
 
 
 def block_stats(blocks: DataFrame, keys: list[str] = S.REC) -> DataFrame:
-    """AGG1 over blocks. The exploded samples are aggregated as they are produced."""
-    return sample_stats(blocks.select(*keys, F.explode("samples").alias("sample")), "sample", keys)
+    """AGG1 over blocks: each is folded to count, mean and squared deviations where it lies."""
+    total = F.aggregate("samples", F.lit(0.0), lambda acc, x: acc + x)
+    sized_blocks = blocks.filter(F.size("samples") > 0).select(
+        *keys, "samples", F.size("samples").cast("long").alias("n"), (total / F.size("samples")).alias("mean")
+    )
+    m2 = F.aggregate(
+        "samples", F.lit(0.0), lambda acc, x: acc + (x - F.col("mean")) * (x - F.col("mean"))
+    )
+    return merge_moments(sized_blocks.select(*keys, "n", "mean", m2.alias("m2")), keys)
 
 
 def merge_moments(parts: DataFrame, keys: list[str] = S.REC) -> DataFrame:

@@ -9,6 +9,9 @@ from epochwright import schema as S
 from epochwright.functions.labels import parse_stem, recording_key
 
 
+MAX_BYTES = 200_000_000  # fixed value: largest file that is staged
+
+
 def listed_names(
     pages: DataFrame,
     page_key: str,
@@ -33,19 +36,21 @@ def _sides(names: DataFrame) -> DataFrame:
     """One row per recording key with the last signal and annotation name of each.
 
     Both sides come out of one aggregation; a join of two filtered scans would
-    read and shuffle the listing twice.
+    read and shuffle the listing twice. Positions restart on each page of a
+    listing, so where there is a ``page`` it counts first.
     """
+    at = F.struct("page", "pos") if "page" in names.columns else F.col("pos")
     is_signal = F.col("name").endswith(S.SIGNAL_SUFFIX)
     is_annotation = F.col("name").endswith(S.ANNOTATION_SUFFIX)
     return (
         names.filter(is_signal | is_annotation)
         .groupBy(recording_key(F.col("name")).alias("key"))
         .agg(
-            F.max_by(F.when(is_signal, F.col("name")), F.when(is_signal, F.col("pos"))).alias(
+            F.max_by(F.when(is_signal, F.col("name")), F.when(is_signal, at)).alias(
                 "psg_name"
             ),
             F.max_by(
-                F.when(is_annotation, F.col("name")), F.when(is_annotation, F.col("pos"))
+                F.when(is_annotation, F.col("name")), F.when(is_annotation, at)
             ).alias("hypnogram_name"),
         )
     )
@@ -54,7 +59,7 @@ def _sides(names: DataFrame) -> DataFrame:
 def pair_recordings(names: DataFrame) -> DataFrame:
     """J1 + FLT1: paired recordings ``(subject_id, night, psg_name, hypnogram_name)``.
 
-    ``names`` has ``name`` and its listing position ``pos``; a later name replaces
+    ``names`` has ``name`` and its listing position ``pos`` (and ``page``); a later name replaces
     an earlier one of the same key and side.
     """
     subject, night = parse_stem(F.substring("psg_name", 1, 8))
@@ -85,6 +90,6 @@ def missing_files(wanted: DataFrame, present: DataFrame) -> DataFrame:
     )
 
 
-def oversized_files(present: DataFrame, max_bytes: int = 200_000_000) -> DataFrame:
+def oversized_files(present: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     """FLT12: files above the size limit."""
     return present.filter(F.col("length") > max_bytes)

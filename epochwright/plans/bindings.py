@@ -90,7 +90,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def long_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight embeddings in a row as one epoch of 512 samples, so a spectrum has segments."""
+    """Eight embeddings in a row as one epoch, so a spectrum has segments; the last may be shorter."""
     rows = table(spark, sf_dir, "embeddings").select(
         quotient(F.col("vec_id"), 8).alias("epoch"),
         (F.col("vec_id") % 8).alias("part"),
@@ -98,9 +98,7 @@ def long_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     parts = F.array_sort(F.collect_list(F.struct("part", "signal")))
     whole = rows.groupBy("epoch").agg(parts.alias("_p"))
-    return whole.select("epoch", F.flatten("_p.signal").alias("signal")).filter(
-        F.size("signal") == 512
-    )
+    return whole.select("epoch", F.flatten("_p.signal").alias("signal"))
 
 
 def vector_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,6 @@ from typing import Sequence
 
 import numpy as np
 import pandas as pd
-import pyarrow.fs as fs
 from pyspark.sql import DataFrame
 
 from epochwright.sources import edf
@@ -71,7 +70,7 @@ def edf_bytes(
 
 def write_file(path: str, content: bytes) -> None:
     """Whole or not at all: write aside, then rename."""
-    filesystem, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    filesystem, name = edf.resolve(path)
     filesystem.create_dir(os.path.dirname(name), recursive=True)
     aside = f"{name}.{os.getpid()}.part"
     with filesystem.open_output_stream(aside) as out:

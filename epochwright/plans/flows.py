@@ -6,6 +6,7 @@ its result. Nothing but counts and at most a few metric rows reaches the driver.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,7 @@ from epochwright.functions.arrays import quotient
 from epochwright.functions.labels import recording_key
 from epochwright.functions.spectral import epoch_record, feature_struct
 from epochwright.models.raw_signal import RawModel, train_raw
-from epochwright.models.scoring import require_model_name
+from epochwright.models.scoring import PredictorModel, require_model_name
 from epochwright.models.trees import TreeModel, train_trees
 from epochwright.operators import checks, cohort, discovery, nights
 from epochwright.operators.agreement import (
@@ -34,7 +35,7 @@ from epochwright.session import materialize, sized
 from epochwright.settings import Settings
 from epochwright.sinks import tables as sinks
 from epochwright.sources import tables as sources
-from epochwright.sources.edf import read_edf, read_slices
+from epochwright.sources.edf import read_edf, read_listed, read_slices
 
 MODELS = ["trees", "raw"]
 _FILE = ["path"]  # recordings are keyed by file until an epoch is complete
@@ -50,10 +51,13 @@ def discover(
     return sources.read_manifest(spark, settings.paths.manifest)
 
 
-def _checked_headers(spark: SparkSession, path: str, settings: Settings, **options) -> DataFrame:
-    """SRC4 + FLT7: channel headers of the signal files, after the channel and rate checks."""
+def _checked_headers(read: Callable, settings: Settings) -> DataFrame:
+    """SRC4 + FLT7: channel headers of the signal files, after the channel and rate checks.
+
+    ``read`` takes a mode and options and returns the files' rows.
+    """
     dataset = settings.dataset
-    headers = materialize(read_edf(spark, path, "header", **options), "headers")
+    headers = materialize(read("header"), "headers")
     checks.raise_on(
         checks.missing_channel(headers, dataset.channel),
         f"channel {dataset.channel!r} not found",
@@ -76,37 +80,42 @@ def _epoch_rows(plan: DataFrame, settings: Settings) -> DataFrame:
     return slices.withColumn("_r", record).select("*", "_r.*").drop("_r", "samples")
 
 
-def _signal_stats(spark: SparkSession, path: str, settings: Settings, **options) -> DataFrame:
-    """Mean and deviation of every signal file below ``path``: the first scan of the signal."""
-    parts = read_edf(spark, path, "moments", channel=settings.dataset.channel, **options)
+def _signal_stats(read: Callable, settings: Settings) -> DataFrame:
+    """Mean and deviation of every signal file: the first scan of the signal."""
+    parts = read("moments", channel=settings.dataset.channel)
     return merge_moments(parts, _FILE).select("path", "mean", "std")
 
 
+def _reader_of(paths: DataFrame, options: dict) -> Callable:
+    """Reads the files that ``paths`` names in a given mode."""
+    return lambda mode, **more: read_listed(paths, mode, **{**options, **more})
+
+
 def epochs_from_files(
-    spark: SparkSession,
-    manifest: DataFrame,
-    raw_dir: str,
-    settings: Settings,
-    signal_glob: str = "*" + S.SIGNAL_SUFFIX,
-    annotation_glob: str = "*" + S.ANNOTATION_SUFFIX,
-    **edf_options,
+    spark: SparkSession, manifest: DataFrame, settings: Settings, **edf_options
 ) -> DataFrame:
     """The epoch table of every recording in ``manifest`` (UDF2).
 
-    The signal is scanned twice, for statistics and for the planned epochs, and
-    never shuffled or joined: recording facts ride on the small plan rows.
+    Exactly the files that the manifest names are read, and one that is missing
+    or unreadable is an error. The signal is scanned twice, for statistics and
+    for the planned epochs, and never shuffled or joined: recording facts ride
+    on the small plan rows.
     """
     dataset = settings.dataset
-    headers = _checked_headers(spark, raw_dir, settings, glob=signal_glob, **edf_options)
-    stats = _signal_stats(spark, raw_dir, settings, glob=signal_glob, **edf_options)
+    manifest = materialize(manifest, "manifest")
+    signals = _reader_of(manifest.select(F.col("psg_path").alias("path")), edf_options)
+    texts = _reader_of(manifest.select(F.col("hypnogram_path").alias("path")), edf_options)
+    headers = _checked_headers(signals, settings)
+    # the headers of the annotation files too: a file without a text must still be there
+    materialize(texts("header"), "annotation-headers")
+    stats = _signal_stats(signals, settings)
     recordings = sized(
         manifest.withColumnRenamed("psg_path", "path")
         .join(headers.select("path", "n_samples"), "path")
         .join(stats, "path"),
         "recordings",
     )
-    raw = read_edf(spark, raw_dir, "annotations", glob=annotation_glob, **edf_options)
-    owned = raw.withColumnRenamed("path", "hypnogram_path").join(
+    owned = texts("annotations").withColumnRenamed("path", "hypnogram_path").join(
         manifest.select("hypnogram_path", F.col("psg_path").alias("path")), "hypnogram_path"
     )
     # annotations take effect in time order, not in file order
@@ -118,7 +127,7 @@ def epochs_from_files(
 def build_epochs(spark: SparkSession, settings: Settings, **edf_options) -> DataFrame:
     """Manifest and files to the epoch store; returns epochs and percent per stage (AGG2, SRC8)."""
     manifest = sources.read_manifest(spark, settings.paths.manifest)
-    epochs = epochs_from_files(spark, manifest, settings.paths.raw_dir, settings, **edf_options)
+    epochs = epochs_from_files(spark, manifest, settings, **edf_options)
     sinks.write_epochs(epochs, settings.paths.epochs)
     return nights.stage_counts(sources.read_epochs(spark, settings.paths.epochs))
 
@@ -130,7 +139,7 @@ def make_split(
     val_frac: float | None = None,
     test_frac: float | None = None,
 ) -> DataFrame:
-    """Seeded, checked subject split, written as a table and, within its bound, a document."""
+    """Seeded, checked subject split, written as a table and a document."""
     chosen = settings.split
     given = {"seed": seed, "val_frac": val_frac, "test_frac": test_frac}
     chosen = replace(chosen, **{k: v for k, v in given.items() if v is not None})
@@ -141,9 +150,8 @@ def make_split(
     )
     cohort.check_splits(splits, stages)
     sinks.write_splits(splits, settings.paths.split_table)
-    if splits.limit(sinks.MAX_DOCUMENT_SUBJECTS + 1).count() <= sinks.MAX_DOCUMENT_SUBJECTS:
-        document = sinks.split_document(splits, chosen.seed, chosen.val_frac, chosen.test_frac)
-        sinks.write_document(document, settings.paths.splits)
+    document = sinks.split_document(splits, chosen.seed, chosen.val_frac, chosen.test_frac)
+    sinks.write_document(document, settings.paths.splits)
     return splits
 
 
@@ -185,8 +193,10 @@ def train(
     return fitted
 
 
-def load_model(spark: SparkSession, settings: Settings, model: str):
-    """SNK9: a saved model by name."""
+def load_model(spark: SparkSession, settings: Settings, model: str | Callable):
+    """SNK9: a saved model by name; a predictor factory (UDF4) is taken as it is."""
+    if callable(model):
+        return PredictorModel(model)
     require_model_name(model, MODELS)
     path = f"{settings.paths.models_dir}/{model}"
     if model == "trees":
@@ -194,11 +204,17 @@ def load_model(spark: SparkSession, settings: Settings, model: str):
     return RawModel.load(path, settings.dataset.epoch_samples)
 
 
+def model_name(model: str | Callable) -> str:
+    """What reports call a model: its name, or that of the predictor factory."""
+    return model if isinstance(model, str) else getattr(model, "__name__", "predictor")
+
+
 def evaluate(
-    spark: SparkSession, settings: Settings, model: str, split: str = "test"
+    spark: SparkSession, settings: Settings, model: str | Callable, split: str = "test"
 ) -> DataFrame:
     """Score one split (ML5), write the metrics document and first-night hypnogram."""
     fitted = load_model(spark, settings, model)
+    model = model_name(model)
     rows = checks.require_rows(
         load_split(spark, settings, split), f"the {split} split has no epochs"
     )
@@ -290,24 +306,31 @@ def stage_recordings(
     settings: Settings,
     signal_path: str,
     annotation_path: str | None = None,
-    model: str = "trees",
+    model: str | Callable = "trees",
     pairs: DataFrame | None = None,
     signal_glob: str = "*" + S.SIGNAL_SUFFIX,
     annotation_glob: str = "*" + S.ANNOTATION_SUFFIX,
+    max_bytes: int = discovery.MAX_BYTES,
     **edf_options,
 ) -> StagedRecordings:
     """Stage every signal file below a path on its grid from t = 0, one plan for all.
 
     Annotation files, where given, belong to the signal file ``pairs`` names
     (``psg_path, hypnogram_path``), else to the one with the same six-character
-    name key.
+    name key. A file above ``max_bytes`` is refused before anything is read
+    (FLT12).
     """
     dataset = settings.dataset
-    headers = _checked_headers(spark, signal_path, settings, glob=signal_glob, **edf_options)
+    present = sources.list_files(spark, signal_path, signal_glob)
+    checks.raise_on(discovery.oversized_files(present, max_bytes), "file too large")
+    signals = lambda mode, **more: read_edf(
+        spark, signal_path, mode, glob=signal_glob, **{**edf_options, **more}
+    )
+    headers = _checked_headers(signals, settings)
     checks.raise_on(
         checks.too_short(headers, dataset.epoch_samples, _FILE), "shorter than one epoch"
     )
-    stats = _signal_stats(spark, signal_path, settings, glob=signal_glob, **edf_options)
+    stats = _signal_stats(signals, settings)
     plan = grid_plan(headers.join(stats, "path"), dataset.epoch_samples, _FILE).select(
         "path", "epoch_idx", "start_sample", "mean", "std"
     )
@@ -317,7 +340,7 @@ def stage_recordings(
         grid = headers.select(
             "path", quotient(F.col("n_samples"), dataset.epoch_samples).alias("n_epochs")
         )
-        raw = read_edf(spark, annotation_path, "annotations", glob=annotation_glob)
+        raw = read_edf(spark, annotation_path, "annotations", glob=annotation_glob, **edf_options)
         raw = raw.withColumnRenamed("path", "hypnogram_path")
         if pairs is not None:
             owned = raw.join(
@@ -330,11 +353,11 @@ def stage_recordings(
         annotations = row_index(owned, _FILE, ["onset", "duration", "ann_no"], "ann_idx")
         expert = expert_grid(annotations, grid, dataset, _FILE)
     fitted = load_model(spark, settings, model)
-    return stage_epochs(epochs, fitted, _FILE, settings, model, expert)
+    return stage_epochs(epochs, fitted, _FILE, settings, model_name(model), expert)
 
 
 def stage_sample(
-    spark: SparkSession, settings: Settings, path: str, model: str = "trees"
+    spark: SparkSession, settings: Settings, path: str, model: str | Callable = "trees"
 ) -> StagedRecordings:
     """Stage a packaged night (SRC10); its stored stages, where present, are the expert."""
     night, _ = sources.read_sample(spark, path)
@@ -346,4 +369,4 @@ def stage_sample(
             *S.REC, "epoch_idx", F.coalesce("stage", F.lit(S.UNSCORED)).alias("expert")
         )
     fitted = load_model(spark, settings, model)
-    return stage_epochs(epochs, fitted, S.REC, settings, model, expert)
+    return stage_epochs(epochs, fitted, S.REC, settings, model_name(model), expert)

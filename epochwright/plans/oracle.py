@@ -206,8 +206,8 @@ CHANCES = (
     SAMPLES
     + """,
 parts AS (
-  SELECT subject_id, night, epoch_idx, stage, (i - 1) // 12 AS c, sum(abs(x)) AS s
-  FROM samples WHERE i <= 60 GROUP BY 1, 2, 3, 4, 5),
+  SELECT subject_id, night, epoch_idx, stage, (i - 1) // 13 AS c, sum(abs(x)) AS s
+  FROM samples GROUP BY 1, 2, 3, 4, 5),
 shares AS (
   SELECT subject_id, night, epoch_idx, stage, c::INTEGER AS c,
          s / sum(s) OVER (PARTITION BY subject_id, night, epoch_idx) AS p
@@ -222,7 +222,7 @@ chances AS (
 
 SQL["q_listing_names"] = """
 WITH found AS (
-  SELECT page_id AS page, regexp_extract_all(html, 'href="(/[a-z]+)', 1) AS names FROM pages),
+  SELECT page_id AS page, regexp_extract_all(html, 'href="([^"]*)"', 1) AS names FROM pages),
 hits AS (
   SELECT page, unnest(names) AS name, unnest(generate_series(0, len(names)::BIGINT - 1)) AS pos
   FROM found WHERE len(names) > 0)
@@ -372,11 +372,11 @@ WITH samples AS (
   SELECT vec_id // 8 AS epoch, (vec_id % 8) * 64 + unnest(generate_series(0, 63)) AS i,
          unnest(embedding::DOUBLE[]) AS x
   FROM embeddings),
-whole AS (SELECT epoch FROM samples GROUP BY 1 HAVING count(*) = 512),
+whole AS (SELECT epoch, count(*) AS samples FROM samples GROUP BY 1),
 segments AS (
   SELECT epoch, g AS seg, i - 128 * g AS n, x
   FROM samples JOIN whole USING (epoch), (SELECT unnest([0, 1, 2]) AS g)
-  WHERE i >= 128 * g AND i < 128 * g + 256),
+  WHERE i >= 128 * g AND i < 128 * g + 256 AND 128 * g + 256 <= whole.samples),
 windowed AS (
   SELECT epoch, seg, n,
          (x - avg(x) OVER (PARTITION BY epoch, seg)) * (0.5 - 0.5 * cos(2 * pi() * n / 256)) AS v
@@ -543,7 +543,8 @@ SELECT 'rule' AS model, n_epochs, round(accuracy, 6) AS accuracy, round(macro_f1
        round(cohen_kappa, 6) AS cohen_kappa,
        (SELECT round(f1, 6) FROM scores WHERE stage = 2) AS n2_f1,
        (SELECT true_n::BIGINT FROM scores WHERE stage = 4) AS rem_support,
-       (SELECT list(n ORDER BY t, p) FROM cm) AS cells, 'W,N1,N2,N3,REM' AS class_names
+       (SELECT list(n ORDER BY t, p) FROM cm) AS cells, 'W,N1,N2,N3,REM' AS class_names,
+       (SELECT list(DISTINCT subject_id ORDER BY subject_id) FROM p) AS test_subjects
 FROM head"""
 
 SQL["q_compare_models"] = f"""

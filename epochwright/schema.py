@@ -35,6 +35,7 @@ ZSCORE_EPS = 1e-8
 ANALYSIS_LOW_HZ = 0.5
 ANALYSIS_HIGH_HZ = 30.0
 
+# --- fixed values: names and layouts that files and tables share ------------
 SPLITS = ["train", "val", "test"]
 
 BAND_NAMES = ["delta", "theta", "alpha", "sigma", "beta"]

@@ -226,3 +226,42 @@ def test_night_arithmetic(spark):
     summary = {(r["subject_id"], r["name"]): r for r in nights.stage_summary(counts, 30).collect()}
     assert summary[("a", "N2")]["epochs"] == 3 and summary[("a", "N3")]["pct"] == 0.0
     assert nights.summary_text(nights.sleep_stats(counts, 30)).filter("subject_id = 'b'").first()["sleep_onset"] == "—"
+
+
+def _manifest(spark, home, **changed):
+    rows = [
+        (f"SC{s:02d}", 1, f"{home.paths.raw_dir}/SC4{s:02d}1E0-PSG.edf", f"{home.paths.raw_dir}/SC4{s:02d}1EC-Hypnogram.edf")
+        for s in range(2)
+    ]
+    rows[1] = (*rows[1][:2], changed.get("signal", rows[1][2]), changed.get("annotations", rows[1][3]))
+    return spark.createDataFrame(rows, S.MANIFEST_SCHEMA)
+
+
+def test_the_manifest_drives_the_scan(spark, home):
+    want = flows.epochs_from_files(spark, _manifest(spark, home), home).count()
+    assert want > 0
+    base = home.paths.raw_dir
+    # another spelling of a path is the same file; files beside the named ones are not read
+    derived.write_file(f"{base}/stray/notes-PSG.edf", b"not a recording")
+    again = _manifest(spark, home, signal=f"file:{base}//SC4011E0-PSG.edf")
+    assert flows.epochs_from_files(spark, again, home).count() == want
+
+
+@pytest.mark.parametrize("side", ["signal", "annotations"])
+def test_a_missing_file_is_an_error(spark, home, side):
+    lost = _manifest(spark, home, **{side: f"{home.paths.raw_dir}/lost.edf"})
+    with pytest.raises(Exception, match="lost.edf"):
+        flows.epochs_from_files(spark, lost, home).count()
+
+
+def test_oversized_files_are_refused(spark, home):
+    with pytest.raises(ValueError, match="too large"):
+        flows.stage_recordings(spark, home, home.paths.raw_dir, max_bytes=100)
+
+
+def test_a_predictor_serves_the_steps(spark, home, study):
+    def constant():
+        return lambda x: np.tile([0.1, 0.1, 0.6, 0.1, 0.1], (len(x), 1))
+
+    report = flows.evaluate(spark, home, constant).first()
+    assert report["model"] == "constant" and report["per_stage"]["N2"]["recall"] == 1.0

@@ -31,3 +31,9 @@ def test_model_names():
     assert require_model_name("trees", ["trees", "raw"]) == "trees"
     with pytest.raises(ValueError, match="unknown model"):
         require_model_name("x", ["trees"])
+
+
+def test_unequal_epochs_are_an_error(spark):
+    rows = spark.createDataFrame([(1, [0.0] * 6), (2, [0.0] * 10)], "k int, signal array<float>").coalesce(1)
+    with pytest.raises(Exception, match="unequal length"):
+        score_with(rows, lambda: lambda x: np.ones((len(x), 5)), ["k"]).collect()
