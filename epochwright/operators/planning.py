@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from epochwright import schema as S
 from epochwright.functions.arrays import half_even
 from epochwright.functions.labels import map_annotation
-from epochwright.operators.indexing import running_total
+from epochwright.operators.indexing import number_rows
 from epochwright.session import sized
 from epochwright.settings import DatasetSettings
 
@@ -33,12 +33,16 @@ def _start(step: Column, dataset: DatasetSettings) -> Column:
     return half_even(seconds * F.lit(dataset.sample_rate))
 
 
+_RUN = ["stage", "onset", "first_step", "n_epochs"]
+
+
 def plan_runs(
     annotations: DataFrame,
     recordings: DataFrame,
     dataset: DatasetSettings,
     keys: list[str] = S.REC,
     carry: list[str] = [],
+    order: list[str] = ["ann_idx"],
 ) -> DataFrame:
     """WIN1 + FLT4 + WIN2: one row per annotation that yields epochs.
 
@@ -48,7 +52,8 @@ def plan_runs(
     range of steps; its ends are estimated by division and then settled by the
     rounded starts themselves, at most one step away. ``carry`` names columns of
     ``recordings`` to keep, so facts about a recording need no later join with
-    the far more numerous epochs.
+    the far more numerous epochs. ``order`` puts a recording's annotations in
+    sequence; they need not have been numbered.
     """
     rate, sec = float(dataset.sample_rate), float(dataset.epoch_sec)
     last_start = F.col("n_samples") - dataset.epoch_samples
@@ -70,9 +75,9 @@ def plan_runs(
         .withColumn("_last", F.least(F.col("_steps") - 1, last.otherwise(high - 1)))
         .withColumn("n_epochs", F.col("_last") - F.col("first_step") + 1)
         .filter(F.col("n_epochs") > 0)
-        .select(*keys, *carry, "ann_idx", "stage", "onset", "first_step", "n_epochs")
+        .select(*keys, *carry, *order, *[c for c in _RUN if c not in order])
     )
-    return running_total(runs, keys, "ann_idx", F.col("n_epochs"), "first_idx")
+    return number_rows(runs, keys, order, {"first_idx": F.col("n_epochs")}, out="run_idx")
 
 
 def trim_runs(
@@ -140,9 +145,10 @@ def plan_epochs(
     dataset: DatasetSettings,
     keys: list[str] = S.REC,
     carry: list[str] = [],
+    order: list[str] = ["ann_idx"],
 ) -> DataFrame:
     """Annotations to trimmed, labelled epochs: WIN1-WIN4 with FLT2-FLT5."""
-    runs = plan_runs(annotations, recordings, dataset, keys, carry)
+    runs = plan_runs(annotations, recordings, dataset, keys, carry, order)
     return expand_trimmed(trim_runs(runs, dataset, keys), dataset, keys, carry)
 
 

@@ -119,8 +119,8 @@ def epochs_from_files(
         manifest.select("hypnogram_path", F.col("psg_path").alias("path")), "hypnogram_path"
     )
     # annotations take effect in time order, not in file order
-    annotations = row_index(owned, _FILE, ["onset", "duration", "ann_no"], "ann_idx")
-    plan = plan_epochs(annotations, recordings, dataset, _FILE, carry=[*S.REC, "mean", "std"])
+    in_time = ["onset", "duration", "ann_no"]
+    plan = plan_epochs(owned, recordings, dataset, _FILE, [*S.REC, "mean", "std"], in_time)
     return _epoch_rows(plan, settings).select(*S.EPOCH_SCHEMA.names)
 
 

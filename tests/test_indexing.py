@@ -3,7 +3,8 @@ import random
 from pyspark.sql import functions as F
 
 from epochwright.operators import indexing
-from epochwright.operators.indexing import row_index, running_total
+from epochwright.operators.indexing import number_rows, row_index, running_total
+from epochwright.session import materialize
 
 
 def _skewed(spark, n=3000):
@@ -59,3 +60,29 @@ def test_running_total_over_several_blocks(spark):
         for i in range(40):
             assert got[(k, i * step)] == total
             total += (i * 7) % 5
+
+
+def test_number_rows_counts_and_sums_in_one_pass(spark):
+    rows = [(None if i % 7 == 0 else i % 3, (i * 37) % 101, i, None if i % 5 == 0 else i % 4) for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, t int, id int, v int")
+    got = {r["id"]: (r["idx"], r["before"]) for r in number_rows(df, ["k"], ["t", "id"], {"before": F.col("v")}).collect()}
+    seen = {}
+    for k, t, i, v in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+        n, total = seen.get(k, (0, 0))
+        assert got[i] == (n, total)
+        seen[k] = (n + 1, total + (v or 0))
+    whole = number_rows(df, [], ["id"]).collect()
+    assert sorted((r["id"], r["idx"]) for r in whole) == [(i, i) for i in range(400)]
+
+
+def test_number_rows_spreads_a_hot_key(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(indexing, "materialize", lambda df, label: written.append(materialize(df, label)) or written[-1])
+    df = spark.range(40_000).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(0).alias("k"), "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        number_rows(df, ["k"], ["id"]).count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    hot = written[0].filter("k = 0").select(F.shiftright("_at", 33).alias("p")).groupBy("p").count().collect()
+    assert len(hot) > 1 and max(r["count"] for r in hot) < 26_000
