@@ -137,6 +137,35 @@ def metrics_document(counted: DataFrame, by: list[str] = []) -> DataFrame:
     )
 
 
+def metrics_text(stats: DataFrame, metrics: DataFrame, keys: list[str]) -> DataFrame:
+    """FN15: a readable line of metrics per recording of ``stats``, another where no expert scored it.
+
+    ``metrics`` are rows of :func:`metrics_document` by ``keys``.
+    """
+    fixed = lambda value, places: F.when(value.isNull() | F.isnan(value), F.lit("—")).otherwise(
+        F.format_string(f"%.{places}f", F.bround(F.round(value, 9), places))
+    )
+    per_stage = F.concat_ws(
+        " · ", *[F.concat(F.lit(f"{n} "), fixed(F.col(f"per_stage.{n}.f1"), 2)) for n in S.STAGE_NAMES]
+    )
+    line = F.concat(
+        F.lit("accuracy "),
+        fixed(F.col("accuracy") * 100, 1),
+        F.lit("%, macro-F1 "),
+        fixed(F.col("macro_f1"), 3),
+        F.lit(", kappa "),
+        fixed(F.col("cohen_kappa"), 3),
+        F.lit(" over "),
+        F.col("n_epochs").cast("string"),
+        F.lit(" scored epochs; F1 by stage: "),
+        per_stage,
+    )
+    lines = metrics.select(*keys, line.alias("metrics"))
+    return stats.select(*keys).join(lines, keys, "left").select(
+        *keys, F.coalesce("metrics", F.lit("no expert scoring to compare with")).alias("metrics")
+    )
+
+
 def scored_only(df: DataFrame, expert: str) -> DataFrame:
     """FLT10: rows an expert has scored."""
     return df.filter(F.col(expert).isNotNull() & (F.col(expert) != S.UNSCORED))

@@ -645,6 +645,34 @@ SELECT subject_id, night,
        'sample: ' || subject_id || ' night ' || night AS source
 FROM stats"""
 
+def _fixed(value: str, places: int) -> str:
+    return (
+        f"CASE WHEN {value} IS NULL OR isnan({value}) THEN '—' "
+        f"ELSE printf('%.{places}f', round_even(round({value}::DOUBLE, 9), {places})) END"
+    )
+
+
+SQL["q_metrics_text"] = f"""
+WITH {STAGES}, {ORDERS}, even AS (SELECT * FROM p WHERE subject_id % 2 = 0), {_metrics('even', 'subject_id')},
+lines AS (SELECT g, string_agg(name || ' ' || {_fixed('f1', 2)}, ' · ' ORDER BY stage) AS line
+  FROM scores GROUP BY g)
+SELECT s.subject_id,
+       coalesce('accuracy ' || {_fixed('accuracy * 100', 1)} || '%, macro-F1 ' || {_fixed('macro_f1', 3)}
+         || ', kappa ' || {_fixed('cohen_kappa', 3)} || ' over ' || n_epochs || ' scored epochs; F1 by stage: '
+         || line, 'no expert scoring to compare with') AS metrics
+FROM (SELECT DISTINCT subject_id FROM p) s LEFT JOIN head ON head.g = s.subject_id
+LEFT JOIN lines ON lines.g = s.subject_id"""
+
+SQL["q_listing_manifest"] = """
+WITH listed AS (
+  SELECT c_custkey AS page, 'SC4' || lpad((c_custkey % 100)::VARCHAR, 2, '0') || '1' AS stem,
+         chr((65 + c_custkey % 7)::INTEGER) AS mark FROM customer),
+first AS (SELECT stem, mark, min(page) AS page FROM listed GROUP BY 1, 2)
+SELECT 'SC' || substr(stem, 4, 2) AS subject_id, 1 AS night,
+       '/raw/' || stem || arg_max(mark, page) || '0-PSG.edf' AS psg_path,
+       '/raw/' || stem || 'EC-Hypnogram.edf' AS hypnogram_path
+FROM first GROUP BY stem"""
+
 SQL["q_hypnogram"] = f"""
 WITH {STAGES}, {ORDERS}
 SELECT n.subject_id, n.night, n.epoch_idx, round(n.epoch_idx * 30.0 / 3600.0, 6)::DOUBLE AS hours,

@@ -630,6 +630,29 @@ def summary_text(spark, sf):
     return lines.withColumn("source", labels.source_text(F.col("subject_id").cast("string"), F.col("night")))
 
 
+@query("q_metrics_text")
+def metrics_text(spark, sf):
+    """FN15: customers with an odd number count as not scored by an expert."""
+    rows = B.labelled_orders(spark, sf)
+    scored = agree.agreement(rows.filter(F.col("subject_id") % 2 == 0), "stage", "pred", ["subject_id"])
+    everyone = rows.select("subject_id").distinct()
+    return agree.metrics_text(everyone, agree.metrics_document(scored, ["subject_id"]), ["subject_id"])
+
+
+@query("q_listing_manifest")
+def listing_manifest(spark, sf):
+    """SRC1, J1, SNK1: pages that list files, each name on two pages, straight to manifest rows."""
+    users = B.table(spark, sf, "customer").select((F.col("c_custkey") % 100).alias("n"), "c_custkey")
+    stem = F.concat(F.lit("SC4"), F.lpad(F.col("n").cast("string"), 2, "0"), F.lit("1"))
+    mark = F.chr(65 + F.col("c_custkey") % 7)  # differs by page: the last page's name wins
+    html = F.concat(
+        F.lit("<a>"), stem, mark, F.lit("0-PSG.edf</a> <a>"), stem, F.lit("EC-Hypnogram.edf</a> <a>notes.txt</a>")
+    )
+    pages = users.select(F.col("c_custkey").alias("page_id"), html.alias("html"))
+    names = discovery.listed_names(pages, "page_id", "html")
+    return sinks.manifest_rows(discovery.pair_recordings(names), "/raw")
+
+
 @query("q_hypnogram")
 def hypnogram(spark, sf):
     """WIN11: every seventh order's truth counts as unscored."""
