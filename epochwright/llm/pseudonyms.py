@@ -37,7 +37,7 @@ KINDS = ("mail", "secret", "iban", "card", "phone", "ssn", "address", "date")
 _FIRST_DAY, _DAYS = date(1900, 1, 1), 73_049  # dates permuted: 1900 to 2099
 
 FIND = re.compile(
-    r"(?P<mail>[A-Za-z0-9._%+-]+(?=@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}))"
+    r"(?P<mail>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?=@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}))"
     r"|(?P<secret>\b(?=[0-9a-fA-F]*\d)(?:[0-9a-f]{32,}|[0-9A-F]{32,})\b)"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d))"
