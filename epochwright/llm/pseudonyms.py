@@ -14,7 +14,9 @@ dates, the local parts of mail addresses, and long hexadecimal secrets.
 Results for odd input: a null text stays null, an empty one empty; text outside
 matches is untouched; repeated rows get equal results; extra columns stay out;
 no rows give no rows. Where matches could overlap, the one that begins first
-and then the kind named first counts.
+and then the kind named first counts. A match that fails its check is tried in
+its shorter lengths, then as the other kinds, and then the search goes on one
+character further; the way back from such a place goes by its span.
 """
 
 from __future__ import annotations
@@ -36,18 +38,34 @@ ROUNDS = 10
 KINDS = ("mail", "secret", "iban", "card", "phone", "ssn", "address", "date")
 _FIRST_DAY, _DAYS = date(1900, 1, 1), 73_049  # dates permuted: 1900 to 2099
 
-FIND = re.compile(
-    r"(?P<mail>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?=@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}))"
-    r"|(?P<secret>\b(?=[0-9a-fA-F]*\d)(?:[0-9a-f]{32,}|[0-9A-F]{32,})\b)"
-    r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
-    r"|(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d))"
-    r"|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\w)"
-    r"|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w))"
-    r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<address>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d))"
-    r"|(?P<date>(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-])|(?<![\w/])\d{1,2}/\d{1,2}/\d{4}(?![\w/])"
-    r"|(?<![\w.])\d{1,2}\.\d{1,2}\.\d{4}(?!\w|\.\d))"
-)
+PATTERNS = {
+    "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?=@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})",
+    "secret": r"\b(?=[0-9a-fA-F]*\d)(?:[0-9a-f]{32,}|[0-9A-F]{32,})\b",
+    "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)",
+    "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\w)"
+    r"|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w)",
+    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
+    "address": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)",
+    "date": r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-])|(?<![\w/])\d{1,2}/\d{1,2}/\d{4}(?![\w/])"
+    r"|(?<![\w.])\d{1,2}\.\d{1,2}\.\d{4}(?!\w|\.\d)",
+}
+FIND = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS.items()))
+_EACH = {kind: re.compile(pattern) for kind, pattern in PATTERNS.items()}
+_CARD_LEAST = 13  # digits
+_IBAN_LEAST = 15  # signs
+# signs of an account number by country
+_IBAN_SIGNS = {
+    country: int(n)
+    for n, countries in re.findall(
+        r"(\d+):([A-Z ]+)",
+        "15:NO 16:BE 18:DK FI FO GL NL SD 19:MK SI 20:AT BA EE KZ LT LU MN XK 21:CH HR LI LV "
+        "22:BG BH CR DE GB GE IE ME RS VA 23:AE GI IL IQ OM SO TL 24:AD CZ DZ ES MD PK RO SA SE SK TN VG "
+        "25:LY PT ST 26:IS TR 27:BI DJ FR GR IT MC MR SM 28:AL AZ BY CY DO GT HU LB NI PL SV 29:BR EG PS QA UA "
+        "30:JO KW MU YE 31:MT SC 32:LC 33:RU",
+    )
+    for country in countries.split()
+}
 _MAY = re.compile(r"\d|@")
 
 
@@ -199,19 +217,44 @@ def replaced(kind: str, text: str, key: bytes, back: bool = False) -> str | None
     return _permute_date(permute, text, back)
 
 
+def _ends(kind: str, value: str) -> Iterator[int]:
+    """The whole match, then where a shorter value of its kind could end: before a sign that is no letter or digit."""
+    yield len(value)
+    if kind in ("card", "iban"):
+        least = _CARD_LEAST if kind == "card" else _IBAN_SIGNS.get(value[:2], _IBAN_LEAST)
+        most = _IBAN_SIGNS.get(value[:2], len(value)) if kind == "iban" else len(value)
+        for end in range(len(value) - 1, 0, -1):
+            if value[end - 1].isalnum() and not value[end].isalnum():
+                if least <= sum(c.isalnum() for c in value[:end]) <= most:
+                    yield end
+
+
+def _first_right(text: str, m: re.Match, key: bytes, back: bool) -> tuple[str | None, int, str | None]:
+    """(kind, end, new value) of what begins at ``m``: longest first within a kind, then the other kinds."""
+    for kind in KINDS[KINDS.index(m.lastgroup) :]:
+        match = m if kind == m.lastgroup else _EACH[kind].match(text, m.start())
+        if match:
+            for end in _ends(kind, match.group()):
+                new = replaced(kind, match.group()[:end], key, back)
+                if new is not None:
+                    return kind, m.start() + end, new
+    return None, m.start(), None
+
+
 def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, begin, end) of each in the new text."""
     if not _MAY.search(text):
         return text, []
-    out, spans, last, shift = [], [], 0, 0
-    for m in FIND.finditer(text):
-        new = replaced(m.lastgroup, m.group(), key, back)
+    out, spans, last, shift, at = [], [], 0, 0, 0
+    while m := FIND.search(text, at):
+        kind, end, new = _first_right(text, m, key, back)
         if new is None:
+            at = m.start() + 1
             continue
         out += [text[last : m.start()], new]
-        spans.append((m.lastgroup, m.start() + shift, m.start() + shift + len(new)))
-        shift += len(new) - (m.end() - m.start())
-        last = m.end()
+        spans.append((kind, m.start() + shift, m.start() + shift + len(new)))
+        shift += len(new) - (end - m.start())
+        last = at = end
     return "".join([*out, text[last:]]), spans
 
 

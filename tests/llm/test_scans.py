@@ -145,3 +145,24 @@ def test_mined_rules_against_counting(spark):
     frame = spark.createDataFrame(baskets, "tokens array<string>, label string")
     mined = {(tuple(r["tokens"]), r["label"]): r["support"] for r in url_rules.mine(frame, 10, 0.9).collect()}
     assert mined == {(("b",), "block"): 55, (("a", "c"), "allow"): 30}
+
+
+def test_card_or_account_before_other_signs():
+    for value, after in (
+        ("4111 1111 1111 1111", " 12/26"), ("4111 1111 1111 1111", " 4 5 61"), ("4111-1111-1111-1111", " 123"),
+        ("DE89 3704 0044 0532 0130 00", " 2024"), ("BE68 5390 0754 7034", " 2024"), ("BE68539007547034", " ABCD"),
+    ):
+        new, spans = pseudonymise_once("pay " + value + after)
+        assert value not in new and len(spans) == 1, value
+        kind, a, b = spans[0]
+        back = pseudonyms.replaced(kind, new[a:b], KEY, back=True)
+        assert new[:a] + back + new[b:] == "pay " + value + after
+    new, _ = pseudonymise_once("12 4111 1111 1111 1111")
+    assert "4111 1111 1111 1111" not in new
+    # a failed card that is another kind, and one inside a failed match
+    new, spans = pseudonymise_once("DE00 4111 1111 1111 1111")
+    assert "4111 1111 1111 1111" not in new and [k for k, _, _ in spans] == ["card"]
+
+
+def pseudonymise_once(text):
+    return pseudonyms.pseudonymise(text, KEY)
