@@ -18,6 +18,7 @@ packed once each; no rows give no pieces; other columns are not looked at.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -56,6 +57,22 @@ def slices(text: str) -> Iterator[str]:
     yield text[begin:]
 
 
+def added_tokens(tokenizer: str) -> dict[str, int]:
+    """Tokens a tokenizer's JSON file adds to its vocabulary, and their ids; they are matched inside text."""
+    with open(tokenizer, encoding="utf-8") as file:
+        return {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
+
+
+def _parts(text: str, encode, added: dict[str, int]) -> Iterator[list[int]]:
+    """Ids of ``text`` part by part: added tokens are found first, what lies between is sliced and encoded."""
+    pattern = "|".join(map(re.escape, sorted(added, key=len, reverse=True)))
+    for part in re.split(f"({pattern})", text) if added else [text]:
+        if part in added:
+            yield [added[part]]
+        elif part:
+            yield from map(encode, slices(part))
+
+
 def _encoder(vocabulary: str, pattern: str):
     import tiktoken
 
@@ -64,7 +81,7 @@ def _encoder(vocabulary: str, pattern: str):
     return tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def _tokenizer(vocabulary: str, pattern: str):
+def _tokenizer(vocabulary: str, pattern: str, added: dict[str, int]):
     made = []
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +90,7 @@ def _tokenizer(vocabulary: str, pattern: str):
             columns = [[] for _ in range(6)]
             for doc, row, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "row_no", "text"))):
                 start, open_crc, open_length, made = 0, 0, 0, []
-                for at, ids in _with_closing(slices(text or ""), encode):
+                for at, ids in _with_closing(_parts(text or "", encode, added)):
                     while at < len(ids):
                         take = min(CAPACITY - open_length, len(ids) - at)
                         open_crc = zlib.crc32(ids[at : at + take].tobytes(), open_crc)
@@ -93,18 +110,18 @@ def _tokenizer(vocabulary: str, pattern: str):
     return batches
 
 
-def _with_closing(parts: Iterator[str], encode) -> Iterator[tuple[int, np.ndarray]]:
-    for part in parts:
-        yield 0, np.array(encode(part), dtype="<u4")
+def _with_closing(parts: Iterator[list[int]]) -> Iterator[tuple[int, np.ndarray]]:
+    for ids in parts:
+        yield 0, np.array(ids, dtype="<u4")
     yield 0, np.array([CLOSING_ID], dtype="<u4")
 
 
-def cut_pieces(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+def cut_pieces(docs: DataFrame, vocabulary: str, pattern: str, added: dict[str, int]) -> DataFrame:
     """Full sequences from each document's start and its remainder, with each piece's checksum."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), "text"
     )
-    return map_once(rows, _tokenizer(vocabulary, pattern), PIECES, "token-pieces")
+    return map_once(rows, _tokenizer(vocabulary, pattern, added), PIECES, "token-pieces")
 
 
 def best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -214,15 +231,18 @@ def _ranges(spark: SparkSession, plan: list[tuple[dict[int, int], int]]) -> tupl
     return spark.createDataFrame([(s, r) for s, r in rows.items()], schema), first
 
 
-def pack(docs: DataFrame, vocabulary: str, pattern: str, grain: int = GRAIN) -> DataFrame:
+def pack(
+    docs: DataFrame, vocabulary: str, pattern: str, added: dict[str, int] | None = None, grain: int = GRAIN
+) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of every piece.
 
     ``vocabulary`` is a rank file of a byte-level tokenizer and ``pattern`` its
-    splitting expression; full pieces are sequences by themselves.
+    splitting expression; ``added`` has the ids of tokens matched before it. Full
+    pieces are sequences by themselves.
     """
     spark = docs.sparkSession
     size = (F.ceil(F.col("length") / grain) * grain).cast("long")
-    pieces = cut_pieces(docs, vocabulary, pattern).withColumn("_size", size)
+    pieces = cut_pieces(docs, vocabulary, pattern, added or {}).withColumn("_size", size)
     counts = pieces.groupBy("_size").agg(F.count(F.lit(1)).alias("n")).collect()
     histogram = {r["_size"] // grain: r["n"] for r in counts}
     plan = plan_patterns(histogram, CAPACITY // grain)
@@ -262,6 +282,7 @@ def pack_documents(docs: DataFrame) -> DataFrame:
     """:func:`pack` with the 50k byte-level vocabulary."""
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    added = added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added)
 
 

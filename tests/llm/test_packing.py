@@ -65,3 +65,14 @@ def test_plan_covers_all_pieces_near_the_bound():
 
 def test_no_rows(nothing):
     assert packing.pack_documents(nothing).count() == 0
+
+
+def test_added_tokens_inside_text(documents):
+    texts = ["a b <|endoftext|> c", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\ny  <|endoftext", "<|endoftext|> z" * 900]
+    tokenizer = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    want = []
+    for doc, text in enumerate(texts):
+        ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids + [1], dtype="<u4")
+        want += [(doc, a, zlib.crc32(ids[a : a + 2048].tobytes()), len(ids)) for a in range(0, len(ids), 2048)]
+    rows = packing.pack_documents(documents(list(enumerate(texts)))).collect()
+    assert sorted((r["doc_id"], r["start"], r["ids_crc32"], r["doc_tokens"]) for r in rows) == want
