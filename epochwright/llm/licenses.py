@@ -2,8 +2,8 @@
 
 Licence notices are kept as templates: their words with positions. How rare a
 template word is in the corpus (its inverse document frequency) is counted over
-all documents. For each document its rarest template words are looked up; each
-occurrence votes, through the postings (template, position), for a template
+all documents. For each document the rarest words of every template are looked
+up, so many that a match cannot miss two of them; each occurrence votes, through the postings (template, position), for a template
 that begins at a certain word of the document. Where votes agree, the
 template's words are compared one by one, and its mandatory phrase must stand
 in the matched stretch word by word.
@@ -62,7 +62,6 @@ TEMPLATES = (
      "creative commons attribution noncommercial"),
 )
 
-RAREST = 8  # template words looked up per document
 LEAST_VOTES = 2
 LEAST_MATCH = 0.7  # share of a template's words that must stand in place
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -112,13 +111,21 @@ def base_places(words: list[bytes], known: set[bytes]) -> list[tuple[int, str]]:
 
 def scan(words: list[bytes], known: set[bytes], made: Index, idf: dict[bytes, float]) -> list[tuple[str, int, float]]:
     """(label, first word, share in place) of every template that the words hold."""
-    present = sorted((w for w in made.postings if w in known), key=lambda w: (-idf.get(w, 0.0), w))[:RAREST]
-    if len(present) < LEAST_VOTES:
+    anchors, votes = defaultdict(list), Counter()
+    for t, notice in enumerate(made.words):
+        held = [q for q, word in enumerate(notice) if word in known]
+        # a match may lack this many of the held words
+        spare = len(held) - math.ceil(LEAST_MATCH * len(notice))
+        if spare < 0 or not all(word in known for word in made.phrases[t]):
+            continue
+        held.sort(key=lambda q: (-idf.get(notice[q], 0.0), notice[q], q))
+        for q in held[: spare + LEAST_VOTES]:
+            anchors[notice[q]].append((t, q))
+    if not anchors:
         return []
-    rare, votes = set(present), Counter()
     for at, word in enumerate(words):
-        if word in rare:
-            votes.update((t, at - q) for t, q in made.postings[word])
+        if word in anchors:
+            votes.update((t, at - q) for t, q in anchors[word])
     found = []
     for (t, begin), n in votes.items():
         notice = made.words[t]

@@ -166,3 +166,16 @@ def test_card_or_account_before_other_signs():
 
 def pseudonymise_once(text):
     return pseudonyms.pseudonymise(text, KEY)
+
+
+def test_all_notices_in_one_text():
+    made = licenses.index()
+    text = " and more words here. ".join(notice for _, notice, _ in licenses.TEMPLATES) + " affero mozilla granted binary"
+    words = licenses.words_of(text * 2)
+    for sign in (1, -1):
+        idf = {w: sign * len(p) for w, p in made.postings.items()}
+        found = {(label, begin) for label, begin, _ in licenses.scan(words, set(words), made, idf)}
+        assert {label for label, _ in found} == every_template(words, made)
+        assert len(found) >= 2 * len(licenses.TEMPLATES)
+        alone = {w: 1.0 for w in made.postings}
+        assert found == {(label, begin) for label, begin, _ in licenses.scan(words, set(words), made, alone)}
