@@ -7,6 +7,11 @@ shorter rule says the same as surely. Each mined rule is filed under its rarest
 token only, so a page meets the few rules filed under its own tokens, and a
 common token brings no crowd.
 
+The support is a number of pages, the same at every size: how many pages show
+that a combination is no chance does not depend on the table. That a seed word
+of a host blocks is known from the labelling itself, so these rules need no
+support.
+
 Labels for mining: a page with a seed word in its host is unwanted, others are
 not. Pages that a hand-written rule blocks for another reason (its region) are
 left out, as they say nothing about tokens.
@@ -37,8 +42,7 @@ RULES = (
 # fixed values: words in host names that mark unwanted sites
 SEEDS = ("casino", "bet", "bets", "pills", "spam", "adult", "xxx", "porn", "ads", "track", "loan", "viagra")
 
-SUPPORT_ROWS = 10  # labelled pages a combination must occur in
-SUPPORT_SHARE = 2e-4  # or this share of them, if that is more
+SUPPORT_ROWS = 10  # labelled pages a combination must occur in, however many there are
 CONFIDENCE = 0.95
 BLOCK, ALLOW = "=block", "=allow"  # labels as items
 
@@ -101,19 +105,29 @@ def seed_labels(rows: DataFrame, seeds=SEEDS) -> DataFrame:
     return rows.withColumn("label", F.when(seeded, "block").when(~by_hand, "allow"))
 
 
-def mine(labelled: DataFrame, support_rows: int = SUPPORT_ROWS, confidence: float = CONFIDENCE) -> DataFrame:
+def mine(
+    labelled: DataFrame, support_rows: int = SUPPORT_ROWS, confidence: float = CONFIDENCE, seeds=()
+) -> DataFrame:
     """(tokens, label, confidence, support): pruned rules from rows (tokens, label) by FP-growth.
 
-    A rule that a shorter one implies with no less confidence is dropped. The
+    Pages with a word of ``seeds`` in the host are labelled block, so each such
+    word that occurs is a rule, however rare. A rule that a shorter one implies with no less confidence is dropped. The
     longest combination has three tokens and the label.
     """
     items = F.concat("tokens", F.array(F.concat(F.lit("="), F.col("label"))))
     baskets = labelled.filter(F.col("label").isNotNull()).select(items.alias("items"))
     total = baskets.count()
-    empty = "tokens array<string>, label string, confidence double, support long"
+    words = F.array(*[F.lit(f"word:{s}") for s in seeds]).cast("array<string>")
+    known = (
+        labelled.filter("label = 'block'")
+        .select(F.explode(F.array_intersect("tokens", words)).alias("_word"))
+        .groupBy("_word")
+        .agg(F.count(F.lit(1)).alias("support"))
+        .select(F.array("_word").alias("tokens"), F.lit("block").alias("label"), F.lit(1.0).alias("confidence"), "support")
+    )
     if total < support_rows:
-        return labelled.sparkSession.createDataFrame([], empty)
-    least = max(SUPPORT_SHARE, support_rows / total)
+        return known
+    least = support_rows / total
     sets = materialize(
         FPGrowth(itemsCol="items", minSupport=least).fit(baskets).freqItemsets.filter(F.size("items") <= 4), "itemsets"
     )
@@ -127,7 +141,8 @@ def mine(labelled: DataFrame, support_rows: int = SUPPORT_ROWS, confidence: floa
     sure = with_label.join(plain, "tokens").select(
         "tokens", "label", (F.col("support") / F.col("n")).alias("confidence"), "support"
     )
-    sure = materialize(sure.filter(F.col("confidence") >= confidence), "url-rules")
+    sure = sure.filter(F.col("confidence") >= confidence).unionByName(known).dropDuplicates(["tokens", "label"])
+    sure = materialize(sure, "url-rules")
     # shorter rules each rule contains: drop one token, or all but one
     size = F.size("tokens")
     part = F.explode(
@@ -170,7 +185,7 @@ def judge(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
     rows = materialize(
         seed_labels(judged(pages, rules), seeds).withColumn("_row", F.monotonically_increasing_id()), "url-tokens"
     )
-    mined = materialize(filed(mine(rows)), "url-index")
+    mined = materialize(filed(mine(rows, seeds=seeds)), "url-index")
     open_rows = rows.filter(F.col("_by").isNull()).select("_row", "tokens", F.explode("tokens").alias("_key"))
     fits = (
         open_rows.join(sized(mined.withColumnRenamed("tokens", "_needs"), "url-index"), "_key")

@@ -179,3 +179,12 @@ def test_all_notices_in_one_text():
         assert len(found) >= 2 * len(licenses.TEMPLATES)
         alone = {w: 1.0 for w in made.postings}
         assert found == {(label, begin) for label, begin, _ in licenses.scan(words, set(words), made, alone)}
+
+
+def test_rare_seeded_host_is_blocked_at_every_size(spark):
+    rare = [f"http://cheap-viagra.example.org/p/{i}" for i in range(3)] + [f"http://loan.example.org/p/{i}" for i in range(12)]
+    for n in (5, 200, 70_000):
+        urls = rare + [f"http://site{chr(97 + i % 20)}.example.org/p/{i}" for i in range(n)]
+        pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+        rows = url_rules.judge(pages).collect()
+        assert all((r["verdict"] == "block") == (r["page_id"] < len(rare)) for r in rows)
