@@ -1,23 +1,28 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame functions only.
 
 Each source's documents are laid end to end and parted into blocks of equal
-size. Rounds of ``ROUND`` blocks give every source a whole number of blocks in
-proportion to its target weight; a source that runs out takes part in its last
-round with what it has left and then not at all, so the others' shares rise.
+size. While a source has blocks left it is due a share of the slots in
+proportion to its exact target weight; when one runs out, the others' shares
+rise. The schedule is cut into rounds of about ``ROUND`` blocks, and wherever a
+source runs out. How many blocks a source has had by the end of a round is what
+it is due by then over the whole schedule, rounded, so what a round rounds off
+is carried to the next and never adds up; a source due less than a block a
+round is left out of some.
+
 In a round of D slots a source with c blocks releases its i-th block at slot
 floor((i - 1) * D / c) and needs it done by slot ceil(i * D / c). Earliest
-deadline first, among released blocks, meets every deadline, and so no source
-is ever a whole block ahead of or behind its share. All rounds with the same
-block counts have the same schedule, and there are at most two kinds of rounds
-per source, so schedules are computed once per kind.
+deadline first, among released blocks, meets every deadline, so within a round
+no source is ever a whole block ahead of or behind its count; the rounding at a
+round's ends adds less than a block, besides its share of the few slots by
+which the roundings of all sources together move the round's end.
 
 Nothing is left out: the result is an order of all documents.
 
 Results for odd input: a null source is a source of its own; a null or empty
 text still counts as one unit of length; repeated rows are all placed; a
 document longer than a block takes the slot of its first block and leaves its
-other slots empty; sources without a given weight are scheduled with the least
-share; other columns are not looked at; no rows give no rows.
+other slots empty; sources without a given weight above 0 get the least given
+weight; other columns are not looked at; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from epochwright.operators.indexing import number_rows
 from epochwright.session import materialize, sized
 
 BLOCK_CHARS = 65_536
-ROUND = 256  # blocks of a round before rounding; a source gets at least one
+ROUND = 256  # blocks of a round before rounding
 FLATTEN = 0.5  # default target: share of a source to this power
 SEED = 11
 
@@ -60,48 +65,79 @@ def blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     )
 
 
-def shares(sizes: DataFrame, weights: DataFrame, block_chars: int, per_round: int) -> DataFrame:
-    """(source, share, blocks): blocks per round and in all. A row per source."""
-    total = Window.partitionBy(F.lit(0))
+def shares(sizes: DataFrame, weights: DataFrame, block_chars: int) -> DataFrame:
+    """(source, weight, blocks, ends, phase): a row per source.
+
+    A source is due ``weight`` blocks per unit of turn and runs out at turn
+    ``ends``; ``phase`` spreads the sources' roundings evenly over 0 to 1.
+    """
+    everything = Window.partitionBy(F.lit(0))
     joined = sizes.alias("s").join(
         weights.select(F.col("source").alias("_s"), "weight"), F.col("source").eqNullSafe(F.col("_s")), "left"
     )
-    weight = F.coalesce(F.greatest("weight", F.lit(0.0)), F.lit(0.0))
-    share = F.greatest(F.round(weight * per_round / F.greatest(F.sum(weight).over(total), F.lit(1e-300))), F.lit(1.0))
-    return joined.select(
-        "source", share.cast("long").alias("share"), F.ceil(F.col("chars") / block_chars).cast("long").alias("blocks")
+    given = F.when(F.col("weight") > 0, F.col("weight").cast("double"))
+    rows = joined.select(
+        "source",
+        F.coalesce(given, F.min(given).over(everything), F.lit(1.0)).alias("weight"),
+        F.ceil(F.col("chars") / block_chars).cast("long").alias("blocks"),
+    )
+    nth = F.row_number().over(everything.orderBy("source"))
+    return rows.select(
+        "*",
+        (F.col("blocks") / F.col("weight")).alias("ends"),
+        ((nth - 0.5) / F.count(F.lit(1)).over(everything)).alias("phase"),
     )
 
 
-def round_kinds(table: DataFrame) -> DataFrame:
-    """(from_round, counts): kinds of rounds and the round each begins with.
+def rounds(table: DataFrame, per_round: int) -> DataFrame:
+    """(round, until): the turn at which each round ends.
 
-    ``counts`` lists (source, count) of the sources taking part. Block counts
-    change only where a source has its last round or has had it. The table of
-    sources is small, and a kind's list has a row per source.
+    By turn v all sources together are due the sum of least(weight * v, blocks),
+    which is linear between the turns at which sources run out. So ends of
+    rounds are found piece by piece.
     """
-    last = F.floor((F.col("blocks") - 1) / F.col("share"))
-    everything = F.collect_list(F.struct("source", "share", "blocks")).over(Window.partitionBy(F.lit(0)))
-    kinds = (
-        table.select("source", "share", "blocks", F.sort_array(everything).alias("all"))
-        .select(F.explode(F.array(F.lit(0).cast("long"), last, last + 1)).alias("from_round"), "all")
-        .dropDuplicates(["from_round"])
-    )
-    taking = F.filter(
-        F.transform(
-            "all",
-            lambda s: F.struct(
-                s["source"].alias("source"),
-                F.least(s["share"], s["blocks"] - s["share"] * F.col("from_round")).alias("count"),
-            ),
-        ),
-        lambda s: s["count"] > 0,
+    by_end = Window.partitionBy(F.lit(0)).orderBy("ends")
+    earlier = by_end.rowsBetween(Window.unboundedPreceding, -1)
+    pieces = (
+        table.groupBy("ends")
+        .agg(F.sum("weight").alias("weight"))
+        .select(
+            "ends",
+            F.coalesce(F.lag("ends").over(by_end), F.lit(0.0)).alias("begins"),
+            # summed from the end, so nothing is left of sources that have run out
+            F.sum("weight").over(by_end.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("speed"),
+        )
+        .withColumn("after", F.sum((F.col("ends") - F.col("begins")) * F.col("speed")).over(by_end))
+        .withColumn("before", F.coalesce(F.lag("after").over(by_end), F.lit(0.0)))
+    )
+    first, last = F.floor(F.col("before") / per_round) + 1, F.floor(F.col("after") / per_round)
+    full = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+    full = F.transform(full, lambda r: F.col("begins") + (r * per_round - F.col("before")) / F.col("speed"))
+    inside = F.filter(full, lambda v: v < F.col("ends"))
+    until = pieces.select(F.explode(F.concat(inside, F.array("ends"))).alias("until")).distinct()
+    return until.select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("until")) - 1).cast("long").alias("round"), "until")
+
+
+def round_counts(table: DataFrame, ends: DataFrame) -> DataFrame:
+    """(from_round, counts): the (source, count, first block) of the sources with blocks in each round."""
+    due = F.least(F.col("weight") * F.col("until"), F.col("blocks").cast("double"))
+    # a source that has run out has had all its blocks, whatever the last digit of its turn
+    had = F.when(F.col("until") >= F.col("ends"), F.col("blocks")).otherwise(
+        F.least(F.floor(due + F.col("phase") + 1e-9).cast("long"), F.col("blocks"))
+    )
+    so_far = F.coalesce(F.lag("had").over(Window.partitionBy("source").orderBy("round")), F.lit(0).cast("long"))
+    return (
+        ends.crossJoin(table)
+        .select("round", "source", had.alias("had"))
+        .select(F.col("round").alias("from_round"), "source", (F.col("had") - so_far).alias("count"), so_far.alias("first"))
+        .filter("count > 0")
+        .groupBy("from_round")
+        .agg(F.sort_array(F.collect_list(F.struct("source", "count", "first"))).alias("counts"))
     )
-    return kinds.select("from_round", taking.alias("counts")).filter(F.size("counts") > 0)
 
 
 def schedule(kinds: DataFrame) -> DataFrame:
-    """(from_round, source, nth, slot, slots): earliest deadline first within a round of each kind."""
+    """(from_round, slots, slot, _source, count, first, nth): earliest deadline first within each round."""
     slots = F.aggregate("counts", F.lit(0).cast("long"), lambda n, s: n + s["count"])
     sized_kinds = kinds.select("*", slots.alias("slots"))
 
@@ -137,6 +173,8 @@ def schedule(kinds: DataFrame) -> DataFrame:
         "slots",
         F.col("slot").cast("long").alias("slot"),
         F.get("counts", F.col("i"))["source"].alias("_source"),
+        F.get("counts", F.col("i"))["count"].alias("count"),
+        F.get("counts", F.col("i"))["first"].alias("first"),
         nth.cast("long").alias("nth"),
     )
 
@@ -151,56 +189,30 @@ def mix(
     weight) defaults to :func:`default_weights`.
     """
     sizes = materialize(source_sizes(docs.select("source", "text")).select(F.col("source").cast("string").alias("source"), "chars"), "sources")
-    table = materialize(
-        shares(sizes, default_weights(sizes) if weights is None else weights, block_chars, per_round), "shares"
-    )
-    kinds = round_kinds(table)
-    plan = materialize(schedule(kinds), "schedule")
-    starts = plan.select("from_round", "slots").distinct()
-    # slots before each kind's first round: rounds of the kinds before it times their slots
-    in_order = Window.partitionBy(F.lit(0)).orderBy("from_round")
-    spans = starts.select(
-        "from_round", "slots", (F.lead("from_round").over(in_order) - F.col("from_round")).alias("rounds")
-    ).select(
-        "from_round",
-        "slots",
-        F.coalesce(
-            F.sum(F.col("rounds") * F.col("slots")).over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("before"),
-    )
-    members = plan.groupBy("from_round", F.col("_source").alias("_s")).agg(F.count(F.lit(1)).alias("count"))
-    turns = (
-        members.join(spans, "from_round")
-        .groupBy("_s")
-        .agg(F.sort_array(F.collect_list(F.struct("from_round", "slots", "before", "count"))).alias("_spans"))
-    )
-    named = table.join(turns, F.col("source").eqNullSafe(F.col("_s"))).select("_s", "share", "_spans")
-    timed = (
-        blocks(docs, block_chars)
-        .join(sized(named, "source-turns"), F.col("source").eqNullSafe(F.col("_s")))
-        .withColumn("round", F.floor(F.col("block") / F.col("share")))
-        .withColumn("_nth", F.col("block") % F.col("share"))
-        .withColumn("_span", F.element_at(F.filter("_spans", lambda s: s["from_round"] <= F.col("round")), -1))
-        .select("doc_id", "source", "block", "place", "round", "_nth", "_span.*")
-        .withColumn("_base", F.col("before") + (F.col("round") - F.col("from_round")) * F.col("slots"))
-    )
-    plan = plan.select(
-        F.col("from_round").alias("_from"), "_source", F.col("nth").alias("_k"), F.col("slot").alias("_slot")
-    )
-    scheduled = timed.join(
-        sized(plan, "slots"),
-        (F.col("from_round") == F.col("_from"))
-        & F.col("source").eqNullSafe(F.col("_source"))
-        & (F.col("_nth") == F.col("_k")),
-    ).select(
-        "doc_id",
-        "source",
-        "block",
-        "place",
+    table = materialize(shares(sizes, default_weights(sizes) if weights is None else weights, block_chars), "shares")
+    plan = materialize(schedule(round_counts(table, rounds(table, per_round))), "schedule")
+    in_order = Window.partitionBy(F.lit(0)).orderBy("from_round").rowsBetween(Window.unboundedPreceding, -1)
+    bases = (
+        plan.groupBy("from_round")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .select(F.col("from_round").alias("round"), F.coalesce(F.sum("_rows").over(in_order), F.lit(0)).alias("_base"))
+    )
+    # a row per block
+    timed = plan.join(sized(bases, "round-bases"), F.col("from_round") == F.col("round")).select(
+        F.col("_source"),
+        (F.col("first") + F.col("nth")).alias("_block"),
         "round",
-        (F.col("_base") + F.col("_slot")).alias("slot"),
-        (F.col("_base") + F.floor(F.col("_nth") * F.col("slots") / F.col("count"))).alias("release"),
-        (F.col("_base") + F.ceil((F.col("_nth") + 1) * F.col("slots") / F.col("count"))).alias("deadline"),
+        (F.col("_base") + F.col("slot")).alias("slot"),
+        (F.col("_base") + F.floor(F.col("nth") * F.col("slots") / F.col("count"))).alias("release"),
+        (F.col("_base") + F.ceil((F.col("nth") + 1) * F.col("slots") / F.col("count"))).alias("deadline"),
+    )
+    scheduled = (
+        blocks(docs, block_chars)
+        .join(
+            sized(timed, "slots"),
+            F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")),
+        )
+        .select("doc_id", "source", "block", "place", "round", "slot", "release", "deadline")
     )
     return number_rows(scheduled, [], ["slot", "place"], out="position").drop("place")
 

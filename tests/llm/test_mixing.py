@@ -47,3 +47,27 @@ def test_odd_rows(odd, nothing):
 def test_plan_has_no_python(odd):
     plan = mixing.mix(odd)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_exact_weights_over_many_rounds(documents):
+    counts = {"a": 900, "b": 540, "c": 360, "d": 10}
+    target = {"a": 0.5, "b": 0.3, "c": 0.195, "d": 0.005}  # per round of 16: 8, 4.8, 3.12 and 0.08 blocks
+    docs = documents([(i, "x" * 10, None, s) for i, s in enumerate(s for s, n in counts.items() for _ in range(n))])
+    weights = docs.select("source").distinct().select(
+        "source", F.element_at(F.create_map(*[F.lit(x) for pair in target.items() for x in pair]), F.col("source")).alias("weight")
+    )
+    blocks = check(mixing.mix(docs, weights, block_chars=10, per_round=16).collect())
+    assert Counter(s for s, _ in blocks) == Counter(counts)
+    seen, most = defaultdict(int), 0
+    for t, (source, _) in enumerate(sorted(blocks, key=blocks.get)[:1780], 1):  # b runs out at 1,800
+        seen[source] += 1
+        most = max(most, *(abs(seen[s] - t * target[s]) for s in target))
+    assert most < 3
+
+
+def test_weights_hold_until_a_source_runs_out(documents):
+    docs = documents([(i, "x" * 10, None, "a" if i < 60 else "b") for i in range(75)])
+    weights = docs.select("source").distinct().withColumn("weight", F.when(F.col("source") == "a", 2.0).otherwise(1.0))
+    blocks = check(mixing.mix(docs, weights, block_chars=10).collect())
+    first = Counter(s for s, _ in sorted(blocks, key=blocks.get)[:45])  # less than a round
+    assert first == {"a": 30, "b": 15}
