@@ -7,8 +7,9 @@ patterns (how many pieces of each length share a sequence) is solved by column
 generation: a revised simplex keeps the basis, and a knapsack by dynamic
 programming prices new patterns. Solutions are rounded down, and the few pieces
 left over are packed first-fit by decreasing length. Then pieces are ranked
-within their length, and rank ranges are assigned to patterns: only the
-histogram meets in one place, never the pieces.
+within their length, and the sequences of all patterns, spread evenly, take them
+in that order: only the histogram meets in one place, never the pieces. So the
+order of the pieces, such as a mix of sources, is that of the sequences.
 
 Results for odd input: a null or empty text is the closing id alone; a long
 text is tokenized in slices that end where a token must end; repeated rows are
@@ -25,16 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from epochwright.llm.common import map_once
 from epochwright.operators.indexing import number_rows
+from epochwright.session import materialize
 
 CAPACITY = 2048
 GRAIN = 8  # lengths are rounded up to this many tokens when patterns are made
 CLOSING_ID = 1
 SLICE = 1 << 20  # characters tokenized at a time
+_RUN = 1 << 13  # sequences of a pattern made from one row
+_RUN_TASKS = 16
 GAP = 1e-3  # column generation stops this near to its bound
 _WORD_START = re.compile(r"(?<=[^\W\d_]) (?=[^\W\d_])")
 
@@ -116,11 +120,12 @@ def _with_closing(parts: Iterator[list[int]]) -> Iterator[tuple[int, np.ndarray]
     yield 0, np.array([CLOSING_ID], dtype="<u4")
 
 
-def cut_pieces(docs: DataFrame, vocabulary: str, pattern: str, added: dict[str, int]) -> DataFrame:
+def cut_pieces(
+    docs: DataFrame, vocabulary: str, pattern: str, added: dict[str, int], place: Column | None = None
+) -> DataFrame:
     """Full sequences from each document's start and its remainder, with each piece's checksum."""
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), "text"
-    )
+    row_no = F.monotonically_increasing_id() if place is None else place
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_no.alias("row_no"), "text")
     return map_once(rows, _tokenizer(vocabulary, pattern, added), PIECES, "token-pieces")
 
 
@@ -216,73 +221,94 @@ def plan_patterns(histogram: dict[int, int], capacity: int) -> list[tuple[dict[i
     return plan
 
 
-def _ranges(spark: SparkSession, plan: list[tuple[dict[int, int], int]]) -> tuple[DataFrame, int]:
-    """Per size the rank ranges that each pattern takes: one row per size, bounded by the grain."""
-    taken, rows, first = {}, {}, 0
-    for pattern, times in plan:
-        slot = 0
-        for size, n in sorted(pattern.items(), reverse=True):
-            begin = taken.get(size, 0)
-            rows.setdefault(size, []).append((begin, times, first, slot))
-            taken[size] = begin + times * n
-            slot += n
-        first += times
-    schema = "_size long, _takes array<struct<begin: long, times: long, first: long, slot: long>>"
-    return spark.createDataFrame([(s, r) for s, r in rows.items()], schema), first
+def _slots(spark: SparkSession, plan: list[tuple[dict[int, int], int]]) -> DataFrame:
+    """(_size, _rank, _pattern, _nth, _slot): the place of each piece, by its rank within its size.
+
+    The sequences of a pattern are spread evenly over the whole order, and the
+    pieces of each size are handed out along it. So a sequence takes pieces
+    from about the same place of each size's ranking. The driver makes a row
+    per some thousand sequences of a pattern.
+    """
+    runs = [
+        (p, begin, min(begin + _RUN, times), times, [s for s, n in sorted(pattern.items(), reverse=True) for _ in range(n)])
+        for p, (pattern, times) in enumerate(plan)
+        for begin in range(0, times, _RUN)
+    ]
+    rows = spark.createDataFrame(runs, "_pattern long, begin long, end long, times long, sizes array<long>")
+    sequences = rows.repartition(_RUN_TASKS).select(
+        "_pattern", "times", "sizes", F.explode(F.sequence("begin", F.col("end") - 1)).alias("_nth")
+    )
+    slots = sequences.select(
+        "_pattern", "_nth", ((F.col("_nth") + 0.5) / F.col("times")).alias("_turn"), F.posexplode("sizes").alias("_slot", "_size")
+    )
+    return number_rows(slots, ["_size"], ["_turn", "_pattern", "_nth", "_slot"], out="_rank").drop("_turn")
 
 
 def pack(
-    docs: DataFrame, vocabulary: str, pattern: str, added: dict[str, int] | None = None, grain: int = GRAIN
+    docs: DataFrame,
+    vocabulary: str,
+    pattern: str,
+    added: dict[str, int] | None = None,
+    grain: int = GRAIN,
+    place: Column | None = None,
 ) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of every piece.
 
     ``vocabulary`` is a rank file of a byte-level tokenizer and ``pattern`` its
     splitting expression; ``added`` has the ids of tokens matched before it. Full
-    pieces are sequences by themselves.
+    pieces are sequences by themselves. Pieces are ranked by ``place`` of their
+    row (a number, by default the doc_id), and sequences numbered by their first.
     """
     spark = docs.sparkSession
     size = (F.ceil(F.col("length") / grain) * grain).cast("long")
-    pieces = cut_pieces(docs, vocabulary, pattern, added or {}).withColumn("_size", size)
+    pieces = cut_pieces(docs, vocabulary, pattern, added or {}, place).withColumn("_size", size)
     counts = pieces.groupBy("_size").agg(F.count(F.lit(1)).alias("n")).collect()
     histogram = {r["_size"] // grain: r["n"] for r in counts}
     plan = plan_patterns(histogram, CAPACITY // grain)
     if not plan:
         plan = []
     scaled = [({s * grain: n for s, n in p.items()}, times) for p, times in plan]
-    ranges, _ = _ranges(spark, scaled)
-    # ranked by document within each size; a size that a third of the pieces has is spread by ranges
+    order = ["doc_id", "row_no", "start"] if place is None else ["row_no", "doc_id", "start"]
+    # ranked within each size; a size that a third of the pieces has is spread by ranges
     ranked = number_rows(
         pieces.select("_size", "doc_id", "row_no", "start", "length", "ids_crc32", "doc_tokens"),
         ["_size"],
-        ["doc_id", "row_no", "start"],
+        order,
         out="_rank",
     )
-    take = F.element_at(F.filter("_takes", lambda t: t["begin"] <= F.col("_rank")), -1)
-    placed = (
-        ranked.join(F.broadcast(ranges), "_size")  # a row per size: at most CAPACITY / grain
-        .withColumn("_take", take)
-        .withColumn("_nth", F.col("_rank") - F.col("_take.begin"))
-        .withColumn("sequence_id", F.col("_take.first") + F.col("_nth") % F.col("_take.times"))
-        .withColumn("_slot", F.col("_take.slot") + F.floor(F.col("_nth") / F.col("_take.times")))
-    )
+    placed = materialize(ranked.join(_slots(spark, scaled), ["_size", "_rank"]), "placed-pieces")
+    sequence = ["_pattern", "_nth"]
+    firsts = placed.groupBy(*sequence).agg(F.min(F.struct(*order)).alias("_first"))
+    numbered = number_rows(firsts, [], ["_first", *sequence], out="sequence_id").drop("_first")
     # at most CAPACITY pieces share a sequence
-    before = Window.partitionBy("sequence_id").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.select(
-        "doc_id",
-        "start",
-        "length",
-        "ids_crc32",
-        "doc_tokens",
-        "sequence_id",
-        F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"),
+    before = Window.partitionBy(*sequence).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
+        .join(numbered, sequence)
+        .select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
     )
 
 
-def pack_documents(docs: DataFrame) -> DataFrame:
+def written_place(docs: DataFrame) -> Column:
+    """A number per row that grows in the order in which ``docs`` was written, or else is computed.
+
+    Spark packs files into partitions by size, so the order of a table read
+    from files is that of the files' names and of the rows in each.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        return F.monotonically_increasing_id()
+    files = sorted(r[0] for r in docs.select("_metadata.file_name").distinct().collect())
+    if not files:
+        return F.monotonically_increasing_id()
+    at = F.array_position(F.array(*map(F.lit, files)), F.col("_metadata.file_name")) - 1
+    return F.shiftleft(at.cast("long"), 33) + F.col("_metadata.row_index")
+
+
+def pack_documents(docs: DataFrame, place: Column | None = None) -> DataFrame:
     """:func:`pack` with the 50k byte-level vocabulary."""
     import public_tokenizers
 
     added = added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added)
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added, place=place)
 
 

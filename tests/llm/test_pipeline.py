@@ -39,3 +39,19 @@ def test_queries_are_registered(pipeline):
     names = set(queries())
     assert "pipeline" in names
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+
+
+def test_sequences_follow_the_mix(pipeline, spark, documents, tmp_path):
+    # the larger source has the smaller ids; targets are sizes to the power 0.5, so 2 : 1
+    text = "seven words stand here, some of 100 " * 83
+    docs = documents([(i, text + "x" * (i % 90), None, "a" if i < 1600 else "b") for i in range(2000)])
+    stages = dict(pipeline.STAGES)
+    stages["source_mixing"](spark, docs, "").write.parquet(str(tmp_path / "mixed"))
+    mixed = spark.read.parquet(str(tmp_path / "mixed"))
+    rows = stages["packing"](spark, mixed, "").collect()
+    assert len({r["doc_id"] for r in rows}) == 2000
+    last = max(r["sequence_id"] for r in rows)
+    for share in (0.2, 0.4, 0.55):  # the smaller source runs out at 0.6
+        part = [r for r in rows if r["sequence_id"] < share * last]
+        tokens = sum(r["length"] for r in part)
+        assert abs(sum(r["length"] for r in part if r["doc_id"] >= 1600) / tokens - 1 / 3) < 0.06
