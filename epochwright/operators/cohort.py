@@ -174,9 +174,10 @@ def weigh_rows(df: DataFrame, weights: DataFrame, stage: str = "stage") -> DataF
 
 def resample_by_weight(df: DataFrame, weights: DataFrame, key: Column, seed: int) -> DataFrame:
     """Class balance for trainers without a weight column (ML2): keep a row with
-    probability weight / largest weight, decided by a hash of its key."""
+    probability weight / largest weight, decided by an MD5 of seed and key, as splits are."""
     chance = weights.select("stage", F.col("relative").alias("weight"))
-    draw = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000)) / 1_000_000.0
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+    draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 2.0**32
     return weigh_rows(df, chance).filter(draw < F.col("weight")).drop("weight")
 
 

@@ -19,6 +19,7 @@ from epochwright.operators.indexing import number_rows
 from epochwright.session import sized
 from epochwright.settings import DatasetSettings
 
+_STRETCH_BITS = 12  # epochs of a stretch of a label grid: 4,096
 
 def map_stages(annotations: DataFrame) -> DataFrame:
     """FLT2 + FLT3: add ``stage``, drop annotations without one."""
@@ -152,6 +153,90 @@ def plan_epochs(
     return expand_trimmed(trim_runs(runs, dataset, keys), dataset, keys, carry)
 
 
+def _aligned_pieces(first: Column, last: Column) -> Column:
+    """An interval of a stretch as few aligned pieces of 1, 2, 4 ... epochs: array<struct<first, last>>.
+
+    From the finest level up, an odd first and an even last piece are split
+    off; what lies between goes on in pieces of twice the size.
+    """
+    none = F.array().cast("array<struct<first:int,last:int>>")
+
+    def piece(node: Column, level: Column) -> Column:
+        begin = F.call_function("shiftleft", node, level)
+        return F.array(
+            F.struct(begin.alias("first"), (F.call_function("shiftleft", node + 1, level) - 1).alias("last"))
+        )
+
+    def step(state: Column, level: Column) -> Column:
+        a, b = state["a"], state["b"]
+        odd, even = (a <= b) & (a % 2 == 1), (a <= b) & (b % 2 == 0)
+        a_next, b_next = a + odd.cast("int"), b - even.cast("int")
+        done = a_next > b_next
+        return F.struct(
+            F.when(done, F.lit(1)).otherwise(F.shiftright(a_next, 1)).alias("a"),
+            F.when(done, F.lit(0)).otherwise(F.shiftright(b_next, 1)).alias("b"),
+            F.concat(
+                state["pieces"], F.when(odd, piece(a, level)).otherwise(none), F.when(even, piece(b, level)).otherwise(none)
+            ).alias("pieces"),
+        )
+
+    begin = F.struct(first.cast("int").alias("a"), last.cast("int").alias("b"), none.alias("pieces"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(_STRETCH_BITS)), begin, step)["pieces"]
+
+
+def winning_stages(intervals: DataFrame, recordings: DataFrame, keys: list[str] = S.REC) -> DataFrame:
+    """(keys, stretch, stages): the stage of each epoch of a stretch, ``UNSCORED`` where no interval lies.
+
+    ``intervals`` (keys, from, to, ann_idx, stage) may overlap in any depth; the
+    one with the largest ``ann_idx`` wins. Recordings are cut into stretches of
+    4,096 epochs, intervals into aligned pieces of them. Equal pieces are
+    reduced to their winner before anything is moved, so a stretch is made of
+    fewer than 8,192 pieces however many annotations lie over each other, and a
+    long recording is many groups.
+    """
+    size = 1 << _STRETCH_BITS
+    begin = F.col("_stretch") * size
+    parts = (
+        intervals.select(
+            *keys, "from", "to", "ann_idx", "stage",
+            F.explode(F.sequence(F.shiftright("from", _STRETCH_BITS), F.shiftright("to", _STRETCH_BITS))).alias("_stretch"),
+        )
+        .select(
+            *keys, "_stretch", "ann_idx", "stage",
+            F.explode(
+                _aligned_pieces(F.greatest(F.col("from") - begin, F.lit(0)), F.least(F.col("to") - begin, F.lit(size - 1)))
+            ).alias("_piece"),
+        )
+        .groupBy(*keys, "_stretch", "_piece")
+        .agg(F.max(F.struct("ann_idx", "stage")).alias("_best"))
+        .select(*keys, "_stretch", F.struct("_best.ann_idx", "_best.stage", "_piece.first", "_piece.last").alias("_p"))
+    )
+    last = F.shiftright(F.col("n_epochs").cast("long") - 1, _STRETCH_BITS)
+    stretches = recordings.filter(F.col("n_epochs") > 0).select(
+        *keys,
+        F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_stretch"),
+        F.col("n_epochs").cast("long").alias("_n"),
+    )
+    grouped = (
+        parts.withColumn("_n", F.lit(None).cast("long"))
+        .unionByName(stretches, allowMissingColumns=True)
+        .groupBy(*keys, "_stretch")
+        .agg(F.max("_n").alias("_n"), F.sort_array(F.collect_list("_p")).alias("_pieces"))
+    )
+    here = F.least(F.col("_n") - begin, F.lit(size)).cast("int")
+
+    def paint(stages: Column, p: Column) -> Column:
+        """Later annotations over earlier ones."""
+        return F.concat(
+            F.slice(stages, F.lit(1), p["first"]),
+            F.array_repeat(p["stage"], p["last"] - p["first"] + 1),
+            F.slice(stages, p["last"] + 2, F.greatest(here - p["last"] - 1, F.lit(0))),
+        )
+
+    painted = F.aggregate("_pieces", F.array_repeat(F.lit(S.UNSCORED), here), paint)
+    return grouped.select(*keys, F.col("_stretch").alias("stretch"), painted.alias("stages"))
+
+
 def expert_grid(
     annotations: DataFrame,
     recordings: DataFrame,
@@ -160,37 +245,21 @@ def expert_grid(
 ) -> DataFrame:
     """J5: expert stage of each epoch on the grid from t = 0, ``UNSCORED`` where none.
 
-    ``recordings`` carries ``n_epochs``. The grid joins the labels as rows that
-    lose to any annotation, so one pre-aggregated shuffle does the work of an
-    outer join; among annotations the later one wins.
+    ``recordings`` carries ``n_epochs``. Annotations stay intervals until
+    :func:`winning_stages` has settled which one holds where; epochs are made
+    once, at the end.
     """
     sec = dataset.epoch_sec
-    grid = recordings.filter(F.col("n_epochs") > 0).select(
-        *keys,
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_epochs").cast("long") - 1)).alias(
-            "epoch_idx"
-        ),
-        F.lit(-1).cast("long").alias("ann_idx"),
-        F.lit(S.UNSCORED).alias("expert"),
-    )
     first = half_even(F.col("onset") / sec)
     steps = half_even(F.col("duration") / sec)
-    labels = (
+    intervals = (
         map_stages(annotations)
         .join(recordings.select(*keys, "n_epochs"), keys)
         .withColumn("from", F.greatest(first, F.lit(0)))
         .withColumn("to", F.least(first + steps, F.col("n_epochs").cast("long")) - 1)
         .filter(F.col("from") <= F.col("to"))
-        .select(
-            *keys,
-            F.explode(F.sequence("from", "to")).alias("epoch_idx"),
-            F.col("ann_idx").cast("long"),
-            F.col("stage").alias("expert"),
-        )
-    )
-    return (
-        grid.unionByName(labels)
-        .groupBy(*keys, "epoch_idx")
-        .agg(F.max_by("expert", "ann_idx").alias("expert"))
-        .withColumn("epoch_idx", F.col("epoch_idx").cast("int"))
+        .select(*keys, "from", "to", F.col("ann_idx").cast("long"), F.col("stage").cast("int"))
     )
+    return winning_stages(intervals, recordings, keys).select(
+        *keys, "stretch", F.posexplode("stages").alias("_at", "expert")
+    ).select(*keys, (F.col("stretch") * (1 << _STRETCH_BITS) + F.col("_at")).cast("int").alias("epoch_idx"), "expert")

@@ -201,7 +201,7 @@ def load_model(spark: SparkSession, settings: Settings, model: str | Callable):
     path = f"{settings.paths.models_dir}/{model}"
     if model == "trees":
         return TreeModel.load(spark, path)
-    return RawModel.load(path, settings.dataset.epoch_samples)
+    return RawModel.load(spark, path)
 
 
 def model_name(model: str | Callable) -> str:

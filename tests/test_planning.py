@@ -141,3 +141,30 @@ def test_grid_later_annotation_wins(spark):
 
 def test_grid_without_annotations(spark):
     assert _grid(spark, [(0, 30, UNK)], 2) == [-1, -1]
+
+
+def test_grid_of_a_thousand_nested_annotations(spark):
+    rng = np.random.default_rng(8)
+    rows = [(30.0 * i, 30.0 * (2000 - 2 * i), S2 if i % 2 else R) for i in range(1000)]  # each inside the one before
+    rows += [(30.0 * int(a), 30.0 * int(n), W) for a, n in zip(rng.integers(0, 9000, 300), rng.integers(1, 900, 300))]
+    n_epochs = 9000  # three stretches
+    want = np.full(n_epochs, -1)
+    for onset, duration, text in rows:
+        want[int(onset / 30) : int((onset + duration) / 30)] = {S2: 2, R: 4, W: 0}[text]
+    assert _grid(spark, rows, n_epochs) == want.tolist()
+
+
+def test_pieces_do_not_grow_with_depth(spark):
+    recs = spark.createDataFrame([("a", 1, 5000)], "subject_id string, night int, n_epochs long")
+    rows = [("a", 1, 0, 4999 - i % 3, i, i % 5) for i in range(5000)]
+    deep = spark.createDataFrame(rows, "subject_id string, night int, from long, to long, ann_idx long, stage int")
+    stages = planning.winning_stages(deep, recs).orderBy("stretch").collect()
+    assert [len(r["stages"]) for r in stages] == [4096, 904]
+    assert stages[0]["stages"] == [4] * 4096 and stages[1]["stages"][-3:] == [4, 4, 3]
+
+
+@pytest.mark.parametrize("first, last", [(0, 0), (0, 4095), (1, 4094), (7, 8), (5, 5), (100, 3001)])
+def test_aligned_pieces_cover_once(spark, first, last):
+    pieces = spark.range(1).select(planning._aligned_pieces(F.lit(first), F.lit(last)).alias("p")).first()["p"]
+    covered = sorted(e for p in pieces for e in range(p["first"], p["last"] + 1))
+    assert covered == list(range(first, last + 1)) and len(pieces) <= 24
