@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from epochwright.llm.common import map_once
+from epochwright.llm.common import map_once, row_key
 from epochwright.operators.indexing import number_rows
 from epochwright.session import materialize
 
@@ -121,10 +121,10 @@ def _with_closing(parts: Iterator[list[int]]) -> Iterator[tuple[int, np.ndarray]
 
 
 def cut_pieces(
-    docs: DataFrame, vocabulary: str, pattern: str, added: dict[str, int], place: Column | None = None
+    docs: DataFrame, vocabulary: str, pattern: str, added: dict[str, int], row_no: Column | None = None
 ) -> DataFrame:
     """Full sequences from each document's start and its remainder, with each piece's checksum."""
-    row_no = F.monotonically_increasing_id() if place is None else place
+    row_no = F.monotonically_increasing_id() if row_no is None else row_no
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_no.alias("row_no"), "text")
     return map_once(rows, _tokenizer(vocabulary, pattern, added), PIECES, "token-pieces")
 
@@ -250,35 +250,41 @@ def pack(
     pattern: str,
     added: dict[str, int] | None = None,
     grain: int = GRAIN,
-    place: Column | None = None,
+    order: DataFrame | None = None,
 ) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of every piece.
 
     ``vocabulary`` is a rank file of a byte-level tokenizer and ``pattern`` its
     splitting expression; ``added`` has the ids of tokens matched before it. Full
-    pieces are sequences by themselves. Pieces are ranked by ``place`` of their
-    row (a number, by default the doc_id), and sequences numbered by their first.
+    pieces are sequences by themselves. Pieces are ranked by the position of their
+    row in ``order`` (doc_id, row_key, position), by default by doc_id, and
+    sequences numbered by their first. Only the pieces' few numbers are joined with it.
     """
     spark = docs.sparkSession
     size = (F.ceil(F.col("length") / grain) * grain).cast("long")
-    pieces = cut_pieces(docs, vocabulary, pattern, added or {}, place).withColumn("_size", size)
+    pieces = cut_pieces(docs, vocabulary, pattern, added or {}, None if order is None else row_key()).withColumn("_size", size)
+    ranks = ["doc_id", "row_no", "start"]
+    if order is not None:
+        known = order.select(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_key"), F.col("position").alias("_place"))
+        same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("row_no") == F.col("_key"))
+        pieces = materialize(pieces.join(known, same, "left").drop("_doc", "_key"), "ordered-pieces")
+        ranks = ["_place", *ranks]
     counts = pieces.groupBy("_size").agg(F.count(F.lit(1)).alias("n")).collect()
     histogram = {r["_size"] // grain: r["n"] for r in counts}
     plan = plan_patterns(histogram, CAPACITY // grain)
     if not plan:
         plan = []
     scaled = [({s * grain: n for s, n in p.items()}, times) for p, times in plan]
-    order = ["doc_id", "row_no", "start"] if place is None else ["row_no", "doc_id", "start"]
     # ranked within each size; a size that a third of the pieces has is spread by ranges
     ranked = number_rows(
-        pieces.select("_size", "doc_id", "row_no", "start", "length", "ids_crc32", "doc_tokens"),
+        pieces.select("_size", *ranks, "length", "ids_crc32", "doc_tokens"),
         ["_size"],
-        order,
+        ranks,
         out="_rank",
     )
     placed = materialize(ranked.join(_slots(spark, scaled), ["_size", "_rank"]), "placed-pieces")
     sequence = ["_pattern", "_nth"]
-    firsts = placed.groupBy(*sequence).agg(F.min(F.struct(*order)).alias("_first"))
+    firsts = placed.groupBy(*sequence).agg(F.min(F.struct(*ranks)).alias("_first"))
     numbered = number_rows(firsts, [], ["_first", *sequence], out="sequence_id").drop("_first")
     # at most CAPACITY pieces share a sequence
     before = Window.partitionBy(*sequence).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
@@ -289,26 +295,9 @@ def pack(
     )
 
 
-def written_place(docs: DataFrame) -> Column:
-    """A number per row that grows in the order in which ``docs`` was written, or else is computed.
-
-    Spark packs files into partitions by size, so the order of a table read
-    from files is that of the files' names and of the rows in each.
-    """
-    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
-        return F.monotonically_increasing_id()
-    files = sorted(r[0] for r in docs.select("_metadata.file_name").distinct().collect())
-    if not files:
-        return F.monotonically_increasing_id()
-    at = F.array_position(F.array(*map(F.lit, files)), F.col("_metadata.file_name")) - 1
-    return F.shiftleft(at.cast("long"), 33) + F.col("_metadata.row_index")
-
-
-def pack_documents(docs: DataFrame, place: Column | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, order: DataFrame | None = None) -> DataFrame:
     """:func:`pack` with the 50k byte-level vocabulary."""
     import public_tokenizers
 
     added = added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added, place=place)
-
-
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added, order=order)

@@ -1,20 +1,27 @@
 """URL filters by association rules.
 
 Hand-written rules (host and path prefix, longest wins) decide first. For the
-rest, Spark's FP-growth mines combinations of URL tokens from labelled pages;
-rules that imply a label with enough support and confidence are kept if no
-shorter rule says the same as surely. Each mined rule is filed under its rarest
-token only, so a page meets the few rules filed under its own tokens, and a
-common token brings no crowd.
+rest, a host that holds a seed word is blocked; seed words are given, not mined.
+What is mined is what else the urls of such hosts have in common: Spark's
+FP-growth finds combinations of up to three other tokens (words of host and
+path, query names) on pages of seeded hosts, all pages are counted against
+them, and combinations that imply a block with enough support and confidence
+become rules that also reach hosts without a seed word. Each rule is filed
+under its rarest token only, so a page meets the few rules filed under its own
+tokens, and a common token brings no crowd.
 
-The support is a number of pages, the same at every size: how many pages show
-that a combination is no chance does not depend on the table. That a seed word
-of a host blocks is known from the labelling itself, so these rules need no
-support.
+Evidence must not come from one site: a rule needs pages of ``SUPPORT_HOSTS``
+hosts, and a quarter of the hosts, chosen by hash, takes no part in mining; a
+combination that is not as sure there is dropped. Pages that a hand-written
+rule blocks for another reason (its region) count for neither side.
+
+Long urls do not multiply combinations: tokens that occur on the same pages are
+one, and a page with more than ``BASKET`` tokens is given to FP-growth in parts
+that together hold all its threes. Supports are counted afterwards, so parts
+lose none and count none twice.
 
-Labels for mining: a page with a seed word in its host is unwanted, others are
-not. Pages that a hand-written rule blocks for another reason (its region) are
-left out, as they say nothing about tokens.
+The support is a number of pages, the same at every size: how many pages show
+that a combination is no chance does not depend on the table.
 
 Results for odd input: a url that is null or has no ``://`` has empty host and
 path and no tokens, and is allowed; ties between rules of equal length cannot
@@ -42,20 +49,21 @@ RULES = (
 # fixed values: words in host names that mark unwanted sites
 SEEDS = ("casino", "bet", "bets", "pills", "spam", "adult", "xxx", "porn", "ads", "track", "loan", "viagra")
 
-SUPPORT_ROWS = 10  # labelled pages a combination must occur in, however many there are
+SUPPORT_ROWS = 10  # pages of seeded hosts a combination must occur on, however many there are
+SUPPORT_HOSTS = 3  # and their hosts
 CONFIDENCE = 0.95
-BLOCK, ALLOW = "=block", "=allow"  # labels as items
+BASKET, _GROUP = 12, 4  # tokens of a basket; a longer page is cut into groups, three of which make a basket
 
 
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; else empty."""
-    host = F.regexp_extract(url, r"^.*?://([^/?#]*)", 1)
+    host = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
     return F.coalesce(F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
     """What follows the host up to ``?``, ``#`` or the end; else empty."""
-    return F.coalesce(F.regexp_extract(url, r"^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
+    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> Column:
@@ -105,44 +113,89 @@ def seed_labels(rows: DataFrame, seeds=SEEDS) -> DataFrame:
     return rows.withColumn("label", F.when(seeded, "block").when(~by_hand, "allow"))
 
 
+def _baskets(tokens: Column) -> Column:
+    """``tokens`` if they are few, else parts of them such that any three share one."""
+    n_groups = F.ceil(F.size(tokens) / _GROUP).cast("int")
+    group = lambda g: F.slice(tokens, g * _GROUP + 1, _GROUP)
+    numbers = F.sequence(F.lit(0), n_groups - 1)
+    threes = F.flatten(
+        F.transform(
+            F.filter(numbers, lambda i: i < n_groups - 2),
+            lambda i: F.flatten(
+                F.transform(
+                    F.filter(numbers, lambda j: (j > i) & (j < n_groups - 1)),
+                    lambda j: F.transform(
+                        F.filter(numbers, lambda k: k > j), lambda k: F.concat(group(i), group(j), group(k))
+                    ),
+                )
+            ),
+        )
+    )
+    return F.when(F.size(tokens) > BASKET, threes).otherwise(F.array(tokens))
+
+
+def combinations(rows: DataFrame, support_rows: int = SUPPORT_ROWS) -> DataFrame:
+    """(tokens): up to three tokens that FP-growth finds together on enough bad ones of rows (_row, tokens, bad)."""
+    each = rows.select("_row", "bad", F.explode("tokens").alias("token"))
+    # tokens on the same rows, bad or not, have one signature; the first of them stands for all
+    signed = each.groupBy("token").agg(
+        F.count_if("bad").alias("often"),
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.xxhash64("_row").cast("decimal(38,0)")).alias("mark"),
+    )
+    first = signed.filter(F.col("often") >= support_rows).groupBy("n", "mark").agg(F.min("token").alias("token"))
+    frequent = materialize(first.select("token"), "frequent-tokens")
+    kept = each.filter("bad").join(frequent, "token").groupBy("_row").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    baskets = materialize(kept.select(F.explode(_baskets(F.col("tokens"))).alias("items")), "url-baskets")
+    total = baskets.count()
+    if not total:
+        return kept.select("tokens").limit(0)
+    found = FPGrowth(itemsCol="items", minSupport=min(1.0, support_rows / total)).fit(baskets).freqItemsets
+    return found.filter(F.size("items") <= 3).select(F.sort_array("items").alias("tokens"))
+
+
 def mine(
-    labelled: DataFrame, support_rows: int = SUPPORT_ROWS, confidence: float = CONFIDENCE, seeds=()
+    labelled: DataFrame,
+    support_rows: int = SUPPORT_ROWS,
+    confidence: float = CONFIDENCE,
+    support_hosts: int = SUPPORT_HOSTS,
+    seeds=(),
 ) -> DataFrame:
-    """(tokens, label, confidence, support): pruned rules from rows (tokens, label) by FP-growth.
+    """(tokens, confidence, support, hosts): pruned rules for a block, from rows (_row, host, tokens, label).
 
-    Pages with a word of ``seeds`` in the host are labelled block, so each such
-    word that occurs is a rule, however rare. A rule that a shorter one implies with no less confidence is dropped. The
-    longest combination has three tokens and the label.
+    A rule that a shorter one implies with no less confidence is dropped.
     """
-    items = F.concat("tokens", F.array(F.concat(F.lit("="), F.col("label"))))
-    baskets = labelled.filter(F.col("label").isNotNull()).select(items.alias("items"))
-    total = baskets.count()
     words = F.array(*[F.lit(f"word:{s}") for s in seeds]).cast("array<string>")
-    known = (
-        labelled.filter("label = 'block'")
-        .select(F.explode(F.array_intersect("tokens", words)).alias("_word"))
-        .groupBy("_word")
-        .agg(F.count(F.lit(1)).alias("support"))
-        .select(F.array("_word").alias("tokens"), F.lit("block").alias("label"), F.lit(1.0).alias("confidence"), "support")
+    rows = labelled.filter(F.col("label").isNotNull()).select(
+        "_row",
+        "host",
+        (F.col("label") == "block").alias("bad"),
+        F.array_except("tokens", words).alias("tokens"),
+        (F.pmod(F.xxhash64("host"), F.lit(4)) == 0).alias("held"),
     )
-    if total < support_rows:
-        return known
-    least = support_rows / total
-    sets = materialize(
-        FPGrowth(itemsCol="items", minSupport=least).fit(baskets).freqItemsets.filter(F.size("items") <= 4), "itemsets"
+    rows = materialize(rows, "labelled-urls")
+    found = materialize(filed(combinations(rows.filter(~F.col("held")), support_rows)), "url-combinations")
+    each = rows.select("*", F.explode("tokens").alias("_key"))
+    met = each.join(sized(found.withColumnRenamed("tokens", "_needs"), "url-combinations"), "_key").filter(
+        F.size(F.array_except("_needs", "tokens")) == 0
     )
-    marks = F.array(F.lit(BLOCK), F.lit(ALLOW))
-    plain = sets.filter(~F.arrays_overlap("items", marks)).select(F.sort_array("items").alias("tokens"), F.col("freq").alias("n"))
-    with_label = sets.filter(F.arrays_overlap("items", marks) & (F.size("items") >= 2)).select(
-        F.sort_array(F.array_except("items", marks)).alias("tokens"),
-        F.when(F.array_contains("items", BLOCK), "block").otherwise("allow").alias("label"),
-        F.col("freq").alias("support"),
+    learned, held = ~F.col("held"), F.col("held")
+    counts = met.groupBy(F.col("_needs").alias("tokens")).agg(
+        F.count_if(learned & F.col("bad")).alias("support"),
+        F.count_if(learned).alias("n"),
+        F.count_if(held & F.col("bad")).alias("held_bad"),
+        F.count_if(held).alias("held_n"),
+        F.count_distinct(F.when(learned & F.col("bad"), F.col("host"))).alias("hosts"),
     )
-    sure = with_label.join(plain, "tokens").select(
-        "tokens", "label", (F.col("support") / F.col("n")).alias("confidence"), "support"
+    sure = counts.select(
+        "tokens", (F.col("support") / F.greatest("n", F.lit(1))).alias("confidence"), "support", "hosts", "held_bad", "held_n"
+    ).filter(
+        (F.col("support") >= support_rows)
+        & (F.col("hosts") >= support_hosts)
+        & (F.col("confidence") >= confidence)
+        & (F.col("held_bad") >= confidence * F.col("held_n"))
     )
-    sure = sure.filter(F.col("confidence") >= confidence).unionByName(known).dropDuplicates(["tokens", "label"])
-    sure = materialize(sure, "url-rules")
+    sure = materialize(sure.drop("held_bad", "held_n"), "url-rules")
     # shorter rules each rule contains: drop one token, or all but one
     size = F.size("tokens")
     part = F.explode(
@@ -153,17 +206,17 @@ def mine(
             )
         )
     )
-    shorter = sure.select(F.col("tokens").alias("_part"), F.col("label").alias("_label"), F.col("confidence").alias("_c"))
+    shorter = sure.select(F.col("tokens").alias("_part"), F.col("confidence").alias("_c"))
     implied = (
         sure.filter(size > 1)
-        .select("tokens", "label", "confidence", part.alias("_part"))
+        .select("tokens", "confidence", part.alias("_part"))
         .filter(F.size("_part") < size)
         .join(shorter, "_part")
-        .filter((F.col("label") == F.col("_label")) & (F.col("confidence") <= F.col("_c")))
-        .select("tokens", "label")
+        .filter(F.col("confidence") <= F.col("_c"))
+        .select("tokens")
         .distinct()
     )
-    return sure.join(implied, ["tokens", "label"], "left_anti")
+    return sure.join(implied, "tokens", "left_anti")
 
 
 def filed(rules: DataFrame) -> DataFrame:
@@ -177,10 +230,10 @@ def filed(rules: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
-    """page_id, host, path, rule, verdict, mined_block, mined_allow of every page.
+    """page_id, host, path, rule, verdict, seeded and mined (rules that fit) of every page.
 
-    A page that no hand-written rule fits is blocked if its surest mined rule
-    (then the better supported) says so.
+    A page that no hand-written rule fits is blocked if its host holds a seed
+    word or a mined rule fits it.
     """
     rows = materialize(
         seed_labels(judged(pages, rules), seeds).withColumn("_row", F.monotonically_increasing_id()), "url-tokens"
@@ -188,22 +241,19 @@ def judge(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
     mined = materialize(filed(mine(rows, seeds=seeds)), "url-index")
     open_rows = rows.filter(F.col("_by").isNull()).select("_row", "tokens", F.explode("tokens").alias("_key"))
     fits = (
-        open_rows.join(sized(mined.withColumnRenamed("tokens", "_needs"), "url-index"), "_key")
+        open_rows.join(sized(mined.select(F.col("tokens").alias("_needs"), "_key"), "url-index"), "_key")
         .filter(F.size(F.array_except("_needs", "tokens")) == 0)
-        .select("_row", "label", "confidence", "support")
-    )
-    best = fits.groupBy("_row").agg(
-        F.max(F.struct("confidence", "support", "label")).alias("_best"),
-        F.count_if(F.col("label") == "block").alias("mined_block"),
-        F.count_if(F.col("label") == "allow").alias("mined_allow"),
+        .groupBy("_row")
+        .agg(F.count(F.lit(1)).alias("mined"))
     )
-    verdict = F.coalesce(F.col("_by.verdict"), F.when(F.col("_best.label") == "block", "block").otherwise("allow"))
-    return rows.join(best, "_row", "left").select(
+    seeded = F.coalesce(F.col("label") == "block", F.lit(False))
+    own = F.when(seeded | F.col("mined").isNotNull(), "block").otherwise("allow")
+    return rows.join(fits, "_row", "left").select(
         "page_id",
         "host",
         "path",
         F.col("_by.rule").alias("rule"),
-        verdict.alias("verdict"),
-        F.coalesce("mined_block", F.lit(0)).cast("long").alias("mined_block"),
-        F.coalesce("mined_allow", F.lit(0)).cast("long").alias("mined_allow"),
+        F.coalesce(F.col("_by.verdict"), own).alias("verdict"),
+        seeded.alias("seeded"),
+        F.coalesce("mined", F.lit(0)).cast("long").alias("mined"),
     )

@@ -1,3 +1,9 @@
+import itertools
+import random
+from collections import Counter
+
+from pyspark.sql import functions as F
+
 import re
 
 from epochwright.llm import licenses, pseudonyms, url_rules
@@ -140,11 +146,72 @@ def test_url_rules_against_brute_force(spark):
     assert empty.count() == 0
 
 
+def brute_rules(rows, support, hosts, confidence):
+    """Every combination of up to three tokens of a blocked page, counted over all pages."""
+    held = {h: r for h, r in rows["held"].items()}
+    wanted = {c for t, _, bad in rows["pages"] if bad for n in (1, 2, 3) for c in itertools.combinations(sorted(t), n)}
+    sure = {}
+    for c in wanted:
+        fits = [(h, bad) for t, h, bad in rows["pages"] if set(c) <= set(t)]
+        here, there = [x for x in fits if not held[x[0]]], [x for x in fits if held[x[0]]]
+        good = [h for h, bad in here if bad]
+        if len(good) >= support and len(set(good)) >= hosts and len(good) >= confidence * len(here):
+            if sum(bad for _, bad in there) >= confidence * len(there):
+                sure[c] = len(good) / len(here)
+    return sure
+
+
 def test_mined_rules_against_counting(spark):
-    baskets = [(["a", "b"], "block")] * 30 + [(["a", "c"], "allow")] * 30 + [(["b", "c"], "block")] * 25 + [(["d"], None)] * 9
-    frame = spark.createDataFrame(baskets, "tokens array<string>, label string")
-    mined = {(tuple(r["tokens"]), r["label"]): r["support"] for r in url_rules.mine(frame, 10, 0.9).collect()}
-    assert mined == {(("b",), "block"): 55, (("a", "c"), "allow"): 30}
+    rng = random.Random(6)
+    pages = []
+    for i in range(900):
+        tokens = {f"t{rng.randrange(8)}" for _ in range(4)}
+        if i % 3 == 0:
+            tokens |= {"win", "prize"}
+        bad = {"win", "t1"} <= tokens or rng.random() < 0.02
+        pages.append((sorted(tokens), f"h{i % 23}", bad))
+    rows = [(i, h, t, "block" if bad else "allow") for i, (t, h, bad) in enumerate(pages)] + [(-1, "h0", ["win"], None)]
+    frame = spark.createDataFrame(rows, "_row long, host string, tokens array<string>, label string")
+    held = {r["host"]: r["held"] for r in frame.select("host", (F.pmod(F.xxhash64("host"), F.lit(4)) == 0).alias("held")).collect()}
+    want = brute_rules({"pages": pages, "held": held}, 10, 3, 0.9)
+    got = {tuple(r["tokens"]): r["confidence"] for r in url_rules.mine(frame, 10, 0.9, 3).collect()}
+    assert ("prize", "t1") in want and ("t1", "win") in want  # one and the same pages: a single token stands for both
+    assert set(got) <= set(want) and ("prize", "t1") in got
+    for c in want:  # every right combination is a rule, or a shorter or equal one says the same
+        plain = {"prize" if t == "win" else t for t in c}
+        assert any(set(g) <= plain and got[g] >= want[c] - 1e-12 for g in got), c
+
+
+def test_mined_combinations_decide_hosts_without_a_seed(spark):
+    urls = [f"http://{w}-{i % 9}.example.org/win/x/claim?prize={i}" for i in range(90) for w in ("casino", "free-bets")]
+    urls += [f"http://plain{i % 5}.example.org/win/{i}" for i in range(60)]
+    urls += [f"http://plain{i % 5}.example.org/claim/{i}" for i in range(60)]
+    new = ["http://other.example.org/win/claim?q=1", "http://fresh.example.org/claim/win/"]
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(urls + new)], "page_id long, url string")
+    got = {r["page_id"]: r for r in url_rules.judge(rows).collect()}
+    for i in range(len(urls), len(urls) + 2):
+        assert got[i]["verdict"] == "block" and got[i]["mined"] > 0 and not got[i]["seeded"]
+    assert {got[i]["verdict"] for i in range(180, 300)} == {"allow"}
+
+
+def test_long_paths_give_few_combinations(spark):
+    path = "/".join(f"w{chr(97 + i)}" for i in range(25))
+    same = [(i, path.split("/"), True) for i in range(30)]
+    frame = spark.createDataFrame(same, "_row long, tokens array<string>, bad boolean")
+    assert url_rules.combinations(frame).count() == 1  # tokens of the same pages are one
+    rng = random.Random(2)
+    varied = [(i, rng.sample(path.split("/"), 16), True) for i in range(40)]
+    frame = spark.createDataFrame(varied, "_row long, tokens array<string>, bad boolean")
+    found = {tuple(r["tokens"]) for r in url_rules.combinations(frame, 10).collect()}
+    counts = Counter(c for _, t, _ in varied for n in (1, 2, 3) for c in itertools.combinations(sorted(t), n))
+    assert {c for c, n in counts.items() if n >= 10} <= found and len(found) < 4000
+
+
+def test_hosts_over_a_line_break(spark):
+    rows = spark.createDataFrame([(1, "a\nb://X.example.com/en/q\nr?z"), (2, "no\nscheme")], "page_id long, url string")
+    got = {r["page_id"]: r for r in url_rules.judge(rows).collect()}
+    assert (got[1]["host"], got[1]["path"], got[1]["rule"]) == ("x.example.com", "/en/q\nr", "example.com/en/")
+    assert (got[2]["host"], got[2]["path"], got[2]["rule"]) == ("", "", None)
 
 
 def test_card_or_account_before_other_signs():
