@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +47,6 @@ EXCEPTIONS = (
 SAMPLE_TOXIC, SAMPLE_CLEAN = 8_000, 16_000  # labelled rows to learn from, about
 MIN_WEIGHT = 1.5  # least log odds, at the low end
 MIN_ROWS = 3  # toxic rows a word must be in
-MAX_TERMS = 5_000
 
 _TABLE = str.maketrans({**LOOKALIKES, **{chr(0xFF41 + i): chr(97 + i) for i in range(26)}, **dict.fromkeys(HIDDEN)})
 _ODD = re.compile("[" + "".join(LOOKALIKES) + HIDDEN + "ａ-ｚ]")
@@ -102,7 +103,10 @@ def hits(text: str, machine) -> list[tuple[int, int, float]]:
         else:
             found.append((begin, end, weight))
     if covered:
-        found = [h for h in found if not any(b <= h[0] and h[1] <= e for b, e in covered)]
+        covered.sort()
+        begins = [b for b, _ in covered]
+        reach = list(accumulate((e for _, e in covered), max))  # of all phrases that begin so early
+        found = [h for h in found if h[0] < begins[0] or reach[bisect_right(begins, h[0]) - 1] < h[1]]
     return found
 
 
@@ -166,24 +170,34 @@ def _sample(docs: DataFrame, labels: DataFrame, learn_from: Column) -> DataFrame
     chosen = known.filter(draw(1) < share).select("doc_id", "toxic", F.floor(draw(2) * 10).alias("part"))
     # the sample's size is bounded by the two parameters, so it may be broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return materialize(texts.join(F.broadcast(chosen), "doc_id"), "toxicity-sample")
+    joined = texts.join(F.broadcast(chosen), "doc_id")
+    # one text for each id, however many rows share it
+    once = joined.groupBy("doc_id", "toxic", "part").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return materialize(once, "toxicity-sample")
+
+
+def _folder(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in parts:
+        folded = pa.array([fold(t) for t in part.column("text").to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([part.column("toxic"), folded], names=["toxic", "text"])
 
 
 def lexicon(rows: DataFrame) -> dict[str, float]:
-    """Words of labelled rows (text, toxic) with their weights."""
+    """Words of labelled rows (text, toxic), as they are once folded, with their weights."""
+    rows = map_once(rows.select("toxic", "text"), _folder, "toxic long, text string", "folded-sample")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
         return {}
-    words = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")
+    words = F.explode(F.array_distinct(F.split("text", r"[^\p{L}]+"))).alias("word")
     counts = rows.select("toxic", words).groupBy("word").agg(
         F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")
     )
     odds = F.log((F.col("bad") + 0.5) / (toxic + 1)) - F.log((F.col("good") + 0.5) / (clean + 1))
     low = odds - 1.96 * F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
     kept = counts.filter((F.col("bad") >= MIN_ROWS) & (F.length("word") >= 3)).select("word", low.alias("weight"))
-    kept = kept.filter(F.col("weight") >= MIN_WEIGHT).orderBy(F.desc("weight"), "word").limit(MAX_TERMS)
-    return {fold(r["word"]): round(r["weight"], 4) for r in kept.collect()}
+    # bounded by the sample: each word is in at least MIN_ROWS of its toxic rows
+    return {r["word"]: round(r["weight"], 4) for r in kept.filter(F.col("weight") >= MIN_WEIGHT).collect()}
 
 
 def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:

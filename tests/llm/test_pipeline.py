@@ -38,7 +38,7 @@ def test_queries_are_registered(pipeline):
 
     names = set(queries())
     assert "pipeline" in names
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
 
 
 def test_sequences_follow_the_mix(pipeline, spark, documents, tmp_path):

@@ -72,3 +72,23 @@ def test_nothing_to_learn_from(nothing, spark, odd):
     assert toxicity.scores(nothing, model).count() == 0
     assert {r["score"] for r in toxicity.scores(odd, model).collect()} == {0.0}
     assert np.allclose(toxicity.probability(np.zeros((2, 4)), model), 0)
+
+
+def test_disguised_words_teach_the_plain_word(documents, spark):
+    rows = [(i, ("z0unds here " if i % 2 else "wret​ch th3re ") + f"plain text {'abcdefghij'[i % 10]}") for i in range(0, 200)]
+    rows += [(1000 + i, f"here there plain text {'abcdefghij'[i % 10]}") for i in range(200)]
+    labels = spark.createDataFrame([(d, int(d < 1000)) for d, _ in rows], "doc_id long, toxic int")
+    model = toxicity.learn(documents(rows), labels, F.lit(True))
+    assert {"zounds", "wretch"} <= set(model.weights) and not {"z", "unds", "wret"} & set(model.weights)
+
+
+def test_one_id_teaches_one_text(documents, spark):
+    docs = documents([(7, f"text {i % 40}") for i in range(900)] + [(i, "other") for i in range(20, 40)])
+    labels = spark.createDataFrame([(7, 1), *[(i, 0) for i in range(20, 40)]], "doc_id long, toxic int")
+    assert toxicity._sample(docs, labels, F.lit(True)).groupBy("doc_id").count().filter("count > 1").isEmpty()
+
+
+def test_many_exceptions_in_a_long_text():
+    model = toxicity.Model({"trash": 2.0})
+    text = "trash can trash bin " * 20_000 + "trash"
+    assert len(toxicity.hits(text, toxicity.automaton(model))) == 1
