@@ -78,6 +78,20 @@ def write_file(path: str, content: bytes) -> None:
     filesystem.move(aside, name)
 
 
+def spoil_files(files: DataFrame) -> DataFrame:
+    """``path, how`` rows: a file is cut to three quarters (``cut``) or overwritten (``junk``); lists them."""
+
+    def spoil(frames):
+        for pdf in frames:
+            for path, how in zip(pdf["path"], pdf["how"]):
+                with edf._open(path) as handle:
+                    content = handle.read()
+                write_file(path, content[: len(content) * 3 // 4] if how == "cut" else b"not a recording")
+            yield pdf
+
+    return files.mapInPandas(spoil, "path string, how string")
+
+
 def digitize(values: np.ndarray) -> np.ndarray:
     """Samples in [-1, 1] to 16 bits."""
     return (np.rint((np.clip(values, -1.0, 1.0) + 1.0) * 32767.5) - 32768).astype("<i2")

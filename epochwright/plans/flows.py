@@ -6,9 +6,12 @@ its result. Nothing but counts and at most a few metric rows reaches the driver.
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +38,7 @@ from epochwright.session import materialize, sized
 from epochwright.settings import Settings
 from epochwright.sinks import tables as sinks
 from epochwright.sources import tables as sources
-from epochwright.sources.edf import read_edf, read_listed, read_slices
+from epochwright.sources.edf import file_facts, file_rejects, read_edf, read_listed, read_slices
 
 MODELS = ["trees", "raw"]
 _FILE = ["path"]  # recordings are keyed by file until an epoch is complete
@@ -91,16 +94,8 @@ def _reader_of(paths: DataFrame, options: dict) -> Callable:
     return lambda mode, **more: read_listed(paths, mode, **{**options, **more})
 
 
-def epochs_from_files(
-    spark: SparkSession, manifest: DataFrame, settings: Settings, **edf_options
-) -> DataFrame:
-    """The epoch table of every recording in ``manifest`` (UDF2).
-
-    Exactly the files that the manifest names are read, and one that is missing
-    or unreadable is an error. The signal is scanned twice, for statistics and
-    for the planned epochs, and never shuffled or joined: recording facts ride
-    on the small plan rows.
-    """
+def planned_epochs(manifest: DataFrame, settings: Settings, **edf_options) -> DataFrame:
+    """Trimmed, labelled epochs of every recording in ``manifest``, with where they lie and the recording's statistics."""
     dataset = settings.dataset
     manifest = materialize(manifest, "manifest")
     signals = _reader_of(manifest.select(F.col("psg_path").alias("path")), edf_options)
@@ -120,16 +115,108 @@ def epochs_from_files(
     )
     # annotations take effect in time order, not in file order
     in_time = ["onset", "duration", "ann_no"]
-    plan = plan_epochs(owned, recordings, dataset, _FILE, [*S.REC, "mean", "std"], in_time)
+    return plan_epochs(owned, recordings, dataset, _FILE, [*S.REC, "mean", "std"], in_time)
+
+
+def epochs_from_files(
+    spark: SparkSession, manifest: DataFrame, settings: Settings, **edf_options
+) -> DataFrame:
+    """The epoch table of every recording in ``manifest`` (UDF2).
+
+    Exactly the files that the manifest names are read, and one that is missing
+    or unreadable is an error. The signal is scanned twice, for statistics and
+    for the planned epochs, and never shuffled or joined: recording facts ride
+    on the small plan rows.
+    """
+    plan = planned_epochs(manifest, settings, **edf_options)
     return _epoch_rows(plan, settings).select(*S.EPOCH_SCHEMA.names)
 
 
-def build_epochs(spark: SparkSession, settings: Settings, **edf_options) -> DataFrame:
-    """Manifest and files to the epoch store; returns epochs and percent per stage (AGG2, SRC8)."""
-    manifest = sources.read_manifest(spark, settings.paths.manifest)
-    epochs = epochs_from_files(spark, manifest, settings, **edf_options)
-    sinks.write_epochs(epochs, settings.paths.epochs)
-    return nights.stage_counts(sources.read_epochs(spark, settings.paths.epochs))
+def usable_recordings(manifest: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """The recordings whose files can be read, and the faulty files of the others.
+
+    Rejects: ``subject_id, night, path, reason, detail``; a recording may have two.
+    """
+    dataset = settings.dataset
+    owned = lambda side: manifest.select(*S.REC, F.col(side).alias("path"))
+    signals = file_rejects(owned("psg_path"), dataset.channel, dataset.sample_rate)
+    texts = file_rejects(owned("hypnogram_path"))
+    found = owned("psg_path").join(signals, "path").unionByName(owned("hypnogram_path").join(texts, "path"))
+    rejects = materialize(found.select(*S.REC, "path", "reason", "detail"), "file-rejects")
+    return manifest.join(rejects.select(*S.REC).distinct(), S.REC, "left_anti"), rejects
+
+
+_BUILT = (
+    "subject_id string, night int, psg_path string, psg_size bigint, psg_modified bigint, "
+    "hypnogram_path string, hypnogram_size bigint, hypnogram_modified bigint, settings string"
+)
+
+
+def _files_wanted(manifest: DataFrame, settings: Settings) -> DataFrame:
+    """What the store would be built from: each recording's files with size and time, and a digest of the settings."""
+    both = F.explode(F.array("psg_path", "hypnogram_path")).alias("path")
+    facts = materialize(file_facts(manifest.select(both)), "file-facts")
+    side = lambda s: facts.select(
+        F.col("path").alias(f"{s}_path"), F.col("size").alias(f"{s}_size"), F.col("modified").alias(f"{s}_modified")
+    )
+    chosen = json.dumps([asdict(settings.dataset), asdict(settings.bands)], sort_keys=True)
+    rows = manifest.join(side("psg"), "psg_path").join(side("hypnogram"), "hypnogram_path")
+    names = [field.split()[0] for field in _BUILT.split(", ")[:-1]]
+    return rows.select(*names, F.lit(hashlib.md5(chosen.encode()).hexdigest()).alias("settings"))
+
+
+def stale_subjects(spark: SparkSession, wanted: DataFrame, settings: Settings) -> DataFrame | None:
+    """SRC11: subjects whose files or settings differ from what the store was built from; None if all must be built.
+
+    All must be built if there is no store, or if it holds subjects that are not wanted any more.
+    """
+    try:
+        built = spark.read.schema(_BUILT).parquet(settings.paths.built)
+        sources.read_epochs(spark, settings.paths.epochs)
+    except (AnalysisException, FileNotFoundError):
+        return None
+    if not built.join(wanted, "subject_id", "left_anti").isEmpty():
+        return None
+    fresh, known = F.struct(*wanted.columns).alias("_w"), F.struct(*wanted.columns).alias("_b")
+    pairs = wanted.select(fresh, *S.REC).join(built.select(known, *S.REC), S.REC, "full_outer")
+    differing = pairs.filter(~F.col("_w").eqNullSafe(F.col("_b"))).select("subject_id").distinct()
+    return materialize(differing, "stale-subjects")
+
+
+def build_epochs(
+    spark: SparkSession, settings: Settings, on_bad: str = "error", rebuild: bool = False, **edf_options
+) -> DataFrame:
+    """Manifest and files to the epoch store; returns epochs and percent per stage (AGG2, SRC8).
+
+    Only subjects whose files have changed since the last build are read and
+    written again, unless ``rebuild`` asks for all. A bad file is an error, or with ``on_bad="skip"`` a
+    row of the rejects beside the store, and its recording is left out.
+    """
+    if on_bad not in ("error", "skip"):
+        raise ValueError(f"on_bad must be 'error' or 'skip', got {on_bad!r}")
+    paths = settings.paths
+    manifest = materialize(sources.read_manifest(spark, paths.manifest), "manifest")
+    if on_bad == "skip":
+        manifest, rejects = usable_recordings(manifest, settings)
+        rejects.write.mode("overwrite").json(paths.rejects)
+    wanted = materialize(_files_wanted(manifest, settings), "files-wanted")
+    stale = None if rebuild else stale_subjects(spark, wanted, settings)
+    plan = None
+    if stale is not None and not stale.isEmpty():
+        changed = manifest.join(stale, "subject_id", "left_semi")
+        plan = materialize(planned_epochs(changed, settings, **edf_options), "plan")
+        stored = sources.read_epochs(spark, paths.epochs).select("subject_id").distinct()
+        left = stale.join(plan.select("subject_id").distinct(), "subject_id", "left_anti")
+        if not left.join(stored, "subject_id", "left_semi").isEmpty():
+            stale = plan = None  # a subject has no epoch any more: its folder has to go
+    if stale is None:
+        # the record of the last build goes first: a build that breaks off is then not taken for whole
+        wanted.limit(0).write.mode("overwrite").parquet(paths.built)
+        sinks.write_epochs(epochs_from_files(spark, manifest, settings, **edf_options), paths.epochs)
+    elif plan is not None:
+        sinks.write_epochs(_epoch_rows(plan, settings), paths.epochs, only_these=True)
+    wanted.write.mode("overwrite").parquet(paths.built)
+    return nights.stage_counts(sources.read_epochs(spark, paths.epochs))
 
 
 def make_split(
@@ -301,6 +388,32 @@ def _name_key(path: str) -> Column:
     return recording_key(F.substring_index(path, "/", -1))
 
 
+def _spelled(path: str) -> Column:
+    """One spelling of a path: local ones without ``file:``, no doubled slashes."""
+    return F.regexp_replace(F.regexp_replace(path, "^file:/*", "/"), "(?<!:)/{2,}", "/")
+
+
+def paired_annotations(pairs: DataFrame, headers: DataFrame, options: dict) -> DataFrame:
+    """Annotations of the files that ``pairs`` names, with the ``path`` of their signal file.
+
+    Nothing is lost silently: an annotation file that is not there and a
+    signal file that is not staged are errors that name it, and so are two
+    annotation files for one signal file.
+    """
+    named = materialize(
+        pairs.select(F.col("hypnogram_path").alias("path"), _spelled("psg_path").alias("_signal")).distinct(), "pairs"
+    )
+    staged = headers.select(F.col("path").alias("_path"), _spelled("path").alias("_signal"))
+    lost = named.join(staged, "_signal", "left_anti").select(F.col("_signal").alias("psg_path"), "path")
+    checks.raise_on(lost, "pairs name signal files that are not staged")
+    twice = named.groupBy("_signal").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    checks.raise_on(twice, "more than one annotation file for a signal file")
+    checks.raise_on(file_rejects(named), "annotation files that cannot be read")
+    owners = named.withColumnRenamed("path", "hypnogram_path").join(staged, "_signal")
+    texts = read_listed(named, "annotations", **options).withColumnRenamed("path", "hypnogram_path")
+    return texts.join(owners, "hypnogram_path").drop("_signal").withColumnRenamed("_path", "path")
+
+
 def stage_recordings(
     spark: SparkSession,
     settings: Settings,
@@ -336,18 +449,16 @@ def stage_recordings(
     )
     epochs = _epoch_rows(plan, settings)
     expert = None
-    if annotation_path is not None:
+    if annotation_path is not None or pairs is not None:
         grid = headers.select(
             "path", quotient(F.col("n_samples"), dataset.epoch_samples).alias("n_epochs")
         )
-        raw = read_edf(spark, annotation_path, "annotations", glob=annotation_glob, **edf_options)
-        raw = raw.withColumnRenamed("path", "hypnogram_path")
         if pairs is not None:
-            owned = raw.join(
-                pairs.select("hypnogram_path", F.col("psg_path").alias("path")), "hypnogram_path"
-            )
+            owned = paired_annotations(pairs, headers, edf_options)
         else:
-            owned = raw.withColumn("_key", _name_key("hypnogram_path")).join(
+            raw = read_edf(spark, annotation_path, "annotations", glob=annotation_glob, **edf_options)
+            owned = raw.withColumnRenamed("path", "hypnogram_path")
+            owned = owned.withColumn("_key", _name_key("hypnogram_path")).join(
                 grid.select("path", _name_key("path").alias("_key")), "_key"
             )
         annotations = row_index(owned, _FILE, ["onset", "duration", "ann_no"], "ann_idx")

@@ -844,3 +844,26 @@ SELECT file_no, n AS n_epochs, n_epochs AS n_scored_epochs, round(asleep / 60.0:
        round(onset / 60.0::DOUBLE, 6) AS sleep_onset_min, round(accuracy::DOUBLE, 6) AS accuracy,
        round(macro_f1::DOUBLE, 6) AS macro_f1, round(cohen_kappa, 6) + 0.0 AS cohen_kappa
 FROM nights JOIN head ON g = file_no"""
+
+# --- files that cannot be used, and stores built again --------------------------------------------------
+
+SQL["q_file_rejects"] = """
+SELECT DISTINCT vec_id // 50 AS file_no,
+       CASE (vec_id // 50) % 4 WHEN 0 THEN 'missing' WHEN 1 THEN 'unreadable' WHEN 2 THEN 'truncated' END AS reason
+FROM embeddings"""
+
+SQL["q_build_again"] = """
+WITH stats AS (SELECT vec_id // 50 AS file_no, count(*) * 64 AS n FROM embeddings GROUP BY 1),
+plan AS (
+  SELECT e.vec_id // 50 AS file_no, CASE WHEN e.vec_id // 50 = 0 THEN 4 ELSE e.label % 5 END AS stage,
+         row_number() OVER (PARTITION BY e.vec_id // 50 ORDER BY e.vec_id) - 1 AS plan_idx
+  FROM embeddings e JOIN stats s ON s.file_no = e.vec_id // 50
+  WHERE (e.vec_id % 50) * 100 + 100 <= s.n),
+bounds AS (
+  SELECT file_no, min(plan_idx) FILTER (WHERE stage <> 0) - 2 AS lo,
+         max(plan_idx) FILTER (WHERE stage <> 0) + 2 AS hi
+  FROM plan GROUP BY 1)
+SELECT 'SC' || file_no AS subject_id, stage::INTEGER AS stage, count(*) AS n
+FROM plan JOIN bounds USING (file_no)
+WHERE lo IS NULL OR plan_idx BETWEEN lo AND hi
+GROUP BY 1, 2"""

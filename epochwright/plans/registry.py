@@ -18,12 +18,12 @@ from epochwright.models.trees import TreeModel, portable_score, train_trees
 from epochwright.operators import agreement as agree
 from epochwright.operators import blocks, checks, cohort, discovery, nights, planning
 from epochwright.plans import bindings as B
-from epochwright.plans import flows
+from epochwright.plans import derived, flows
 from epochwright.session import materialize, scratch_path, sized
 from epochwright.settings import RawModelSettings, TreeSettings
 from epochwright.sinks import tables as sinks
 from epochwright.sources import tables as sources
-from epochwright.sources.edf import read_edf
+from epochwright.sources.edf import file_rejects, read_edf
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -752,6 +752,45 @@ def file_checks(spark, sf):
     )
 
 
+@query("q_file_rejects")
+def rejected_files(spark, sf):
+    """SRC4, FLT15, FLT16: by file number, one left out, one overwritten, one cut short, one as it should be."""
+    folder = B.signal_files(spark, sf)
+    number = F.col("file_no").cast("string")
+    files = B.vector_records(spark, sf).select("file_no").distinct().select(
+        "file_no", F.concat(F.lit(f"{folder}/rec"), number, F.lit(S.SIGNAL_SUFFIX)).alias("path")
+    )
+    how = F.when(F.col("file_no") % 4 == 1, "junk").when(F.col("file_no") % 4 == 2, "cut")
+    spoiled = files.select("path", how.alias("how")).filter("how is not null")
+    derived.spoil_files(spoiled).write.format("noop").mode("overwrite").save()
+    lost = F.concat(F.lit(f"{folder}/lost/rec"), number, F.lit(S.SIGNAL_SUFFIX))
+    named = files.select("file_no", F.when(F.col("file_no") % 4 == 0, lost).otherwise(F.col("path")).alias("path"))
+    named = materialize(named, "named-files")
+    rejects = file_rejects(named, B.FILE_SETTINGS.dataset.channel, 100)
+    return named.join(rejects, "path", "left").select("file_no", "reason")
+
+
+@query("q_build_again")
+def build_again(spark, sf):
+    """SRC11, SNK1, SNK2, AGG2: a store built, one annotation file changed, and the store built again."""
+    folder, recordings = B.recording_files(spark, sf)
+    home = scratch_path(spark, "study")
+    settings = replace(B.FILE_SETTINGS, paths=replace(B.FILE_SETTINGS.paths, processed_dir=home))
+    recordings.orderBy(*S.REC).write.option("header", True).csv(settings.paths.manifest)
+    flows.build_epochs(spark, settings)
+    first = B.vector_records(spark, sf).filter("file_no = 0").select(
+        F.concat(F.lit("rec0"), F.lit(S.ANNOTATION_SUFFIX)).alias("file"),
+        "record",
+        F.col("record").cast("double").alias("onset"),
+        F.lit(1.0).alias("duration"),
+        F.lit("Sleep stage R").alias("description"),
+    )
+    derived.write_annotation_files(first, folder).write.format("noop").mode("overwrite").save()
+    flows.build_epochs(spark, settings)
+    epochs = sources.read_epochs(spark, settings.paths.epochs)
+    return epochs.groupBy("subject_id", "stage").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("q_file_signal")
 def file_signal(spark, sf):
     """SRC2, FN3: every record of every file, three records to a block."""

@@ -31,6 +31,14 @@ class PathSettings:
     def epochs(self) -> str:
         return f"{self.processed_dir}/epochs.parquet"
 
+    @property
+    def built(self) -> str:
+        return f"{self.processed_dir}/built.parquet"
+
+    @property
+    def rejects(self) -> str:
+        return f"{self.processed_dir}/rejects.json"
+
     @property
     def splits(self) -> str:
         return f"{self.processed_dir}/splits.json"

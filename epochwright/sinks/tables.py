@@ -29,9 +29,11 @@ def write_manifest(recordings: DataFrame, raw_dir: str, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_epochs(epochs: DataFrame, path: str) -> None:
+def write_epochs(epochs: DataFrame, path: str, only_these: bool = False) -> None:
     """SNK2: the epoch store, one folder per subject, replaced as a whole.
 
+    With ``only_these``, the folders of other subjects than those in ``epochs`` stay.
+
     REBALANCE gathers a subject's rows to avoid small files, and lets Spark
     split a subject that is too big for one task, which a plain repartition by
     subject would not. Sorting by night and epoch makes row groups skippable.
@@ -41,6 +43,7 @@ def write_epochs(epochs: DataFrame, path: str) -> None:
         .hint("rebalance", "subject_id")
         .sortWithinPartitions("subject_id", "night", "epoch_idx")
         .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic" if only_these else "static")
         .partitionBy("subject_id")
         .parquet(path)
     )

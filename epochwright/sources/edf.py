@@ -66,6 +66,7 @@ ANNOTATION_LABEL = "EDF Annotations"
 MICROVOLTS = {"uV": 1.0, "µV": 1.0, "mV": 1e3, "V": 1e6}
 
 _MAIN_BYTES = sum(width for _, width in MAIN_HEADER)
+_RECORDS_AT = slice(236, 244)  # where the main header declares the number of data records
 _SIGNAL_BYTES = sum(width for _, width in SIGNAL_HEADER)
 _LEAST_SPLIT = 1024 * 1024
 _READ_BYTES = 4 * 1024 * 1024  # one read, and one Arrow batch, of a file
@@ -463,6 +464,79 @@ def read_listed(paths: DataFrame, mode: str, **options) -> DataFrame:
     return spread.mapInArrow(read, SCHEMAS[mode])
 
 
+def file_facts(paths: DataFrame) -> DataFrame:
+    """``path, size, modified`` of the files that ``paths`` names, null where there is none; none is opened."""
+
+    def look(batches):
+        for batch in batches:
+            rows = []
+            for path in batch.column("path").to_pylist():
+                info = _info(path)
+                rows.append(
+                    {"path": path, "size": info.size if info else None, "modified": info.mtime_ns if info else None}
+                )
+            yield pa.RecordBatch.from_pylist(rows, schema=_FACTS)
+
+    return paths.select("path").distinct().mapInArrow(look, "path string, size bigint, modified bigint")
+
+
+def _info(path: str | None):
+    """Facts about a file, or None if there is no such file."""
+    if path is None:
+        return None
+    filesystem, name = resolve(path)
+    info = filesystem.get_file_info(name)
+    return info if info.type == fs.FileType.File else None
+
+
+def _fault(path: str | None, channel: str | None, sample_rate: int | None) -> tuple[str, str] | None:
+    """Why a file cannot be used: (reason, detail), or None if it can."""
+    info = _info(path)
+    if info is None:
+        return "missing", "no such file"
+    try:
+        with _open(path) as handle:
+            main = handle.read(_MAIN_BYTES)
+            handle.seek(0)
+            header = read_header(handle, info.size)
+        declared = int(main[_RECORDS_AT])
+    except (ValueError, IndexError, OSError) as error:
+        return "unreadable", str(error)
+    needed = header.offset + declared * 2 * header.record_samples
+    if declared >= 0 and needed > info.size:
+        return "truncated", f"{info.size} of {needed} bytes"
+    labels = [s["label"] for s in header.signals]
+    if channel is not None and channel not in labels:
+        return "channel", f"available: {', '.join(labels)}"
+    if channel is not None and sample_rate is not None:
+        samples = header.signals[labels.index(channel)]["samples"]
+        rate = int(np.rint(samples / header.record_sec)) if header.record_sec else 0
+        if rate != sample_rate:
+            return "rate", f"{rate} Hz, expected {sample_rate}"
+    return None
+
+
+def file_rejects(paths: DataFrame, channel: str | None = None, sample_rate: int | None = None) -> DataFrame:
+    """SRC4, FLT7, FLT15, FLT16: ``path, reason, detail`` of the files named that cannot be used.
+
+    Reasons: missing, unreadable, truncated, channel, rate. Only headers are
+    read, by tasks; a bad file is a row here, not an error.
+    """
+
+    def judge(batches):
+        for batch in batches:
+            rows = []
+            for path in batch.column("path").to_pylist():
+                fault = _fault(path, channel, sample_rate)
+                if fault:
+                    rows.append({"path": path, "reason": fault[0], "detail": fault[1]})
+            yield pa.RecordBatch.from_pylist(rows, schema=_REJECTS)
+
+    return paths.select("path").distinct().mapInArrow(judge, "path string, reason string, detail string")
+
+
+_FACTS = pa.schema([("path", pa.string()), ("size", pa.int64()), ("modified", pa.int64())])
+_REJECTS = pa.schema([("path", pa.string()), ("reason", pa.string()), ("detail", pa.string())])
 _RANGES = pa.schema([("path", pa.string()), ("size", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
 
 
