@@ -1,14 +1,18 @@
 """Document fingerprints: a Merkle tree over sections and paragraphs, in DataFrame functions only.
 
 Sections are what stands between empty lines, paragraphs the lines of a
-section, so a text can be put together again from its tree. A paragraph's hash
-is its SHA-256, a section's that of its paragraphs' hashes, the root's that of
-its sections' hashes: equal roots mean equal texts, and where two trees differ
-only the branches below differing hashes have to be looked at. Each paragraph
-also keeps short hashes of its runs of four words; the likeness of two
-fingerprints is the share of runs they have in common.
+section. Below a paragraph the tree is cut by content: a run ends with a word
+whose CRC-32 is divisible by 4, a stretch with a run whose hash begins with 0.
+So a word put in or taken out changes its own run, the stretch around it and
+what stands above, and no other node, wherever in the paragraph it is. (A word
+keeps the blanks behind it; in scripts without blanks each sign is one.)
 
-A fingerprint is written ``root/section:paragraph.runs:paragraph.runs/section...``.
+A run's hash is its SHA-256, every other node's that of its children's hashes:
+equal roots mean equal texts, and where two trees differ only the branches below
+differing hashes have to be looked at. The leaves are the runs; the likeness of
+two fingerprints is the share of leaves they have in common.
+
+A fingerprint is written ``root/section:paragraph;stretch.runs;stretch.runs:paragraph.../section...``.
 
 Results for odd input: a null text is an empty one (a tree of one empty
 paragraph); equal texts have equal fingerprints and likeness 1; two texts
@@ -27,54 +31,89 @@ from epochwright.llm.common import text_or_empty
 from epochwright.operators.indexing import number_rows
 from epochwright.session import materialize, sized
 
-RUN = r"(?:\S+\s*){1,4}|\s+"
+UNIT = (
+    r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]\s*"
+    r"|[^\s\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]+\s*|\s+"
+)
+WORDS_A_RUN = 4  # on average
 _NO_ID = -(2**63)  # stands for a null doc_id in joins
 
 
-def paragraph_tree(text: Column) -> Column:
-    """array<array<struct<hash, runs>>>: paragraphs by section."""
-    return F.transform(
-        F.split(text, "\n\n"),
-        lambda section: F.transform(
-            F.split(section, "\n"),
-            lambda paragraph: F.struct(
-                F.sha2(paragraph, 256).alias("hash"),
-                F.transform(
-                    F.regexp_extract_all(paragraph, F.lit(RUN), F.lit(0)), lambda run: F.hash(run)
-                ).alias("runs"),
-            ),
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, also where ``use`` goes through its elements."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def grouped(items: Column, ends) -> Column:
+    """Consecutive items as an array of arrays, each ending with an item of which ``ends`` is true, or the last."""
+
+    def cut(xs: Column) -> Column:
+        places = F.when(F.size(xs) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.size(xs)))
+        last = F.filter(places, lambda i: (i == F.size(xs)) | ends(F.get(xs, i - 1)))
+        return _once(last, lambda at: F.transform(at, lambda end, j: part(xs, at, end, j)))
+
+    def part(xs: Column, at: Column, end: Column, j: Column) -> Column:
+        before = F.coalesce(F.get(at, j - 1), F.lit(0))
+        return F.slice(xs, before + 1, end - before)
+
+    return _once(items, cut)
+
+
+def _hash_of(hashes: Column) -> Column:
+    return F.sha2(F.array_join(hashes, ","), 256)
+
+
+def _paragraph(text: Column) -> Column:
+    words = grouped(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)), lambda w: F.crc32(w) % WORDS_A_RUN == 0)
+    runs = F.transform(words, lambda run: F.sha2(F.array_join(run, ""), 256))
+    stretches = F.transform(
+        grouped(runs, lambda h: h.startswith("0")), lambda part: F.struct(_hash_of(part).alias("hash"), part.alias("runs"))
+    )
+    return _once(
+        stretches,
+        lambda parts: F.struct(
+            _hash_of(F.transform(parts, lambda p: p["hash"])).alias("hash"), parts.alias("stretches")
         ),
     )
 
 
+def paragraph_tree(text: Column) -> Column:
+    """array<array<struct<hash, stretches: array<struct<hash, runs>>>>>: paragraphs by section."""
+    return F.transform(F.split(text, "\n\n"), lambda section: F.transform(F.split(section, "\n"), _paragraph))
+
+
 def section_hashes(tree: Column) -> Column:
-    return F.transform(
-        tree, lambda section: F.sha2(F.array_join(F.transform(section, lambda p: p["hash"]), ","), 256)
-    )
+    return F.transform(tree, lambda section: _hash_of(F.transform(section, lambda p: p["hash"])))
 
 
 def root_hash(sections: Column) -> Column:
-    return F.sha2(F.array_join(sections, ","), 256)
+    return _hash_of(sections)
 
 
 def runs_of(tree: Column) -> Column:
-    """All short hashes of a tree, each once."""
-    return F.array_distinct(F.flatten(F.transform(F.flatten(tree), lambda p: p["runs"])))
+    """The leaves of a tree as short hashes, each once."""
+    stretches = F.flatten(F.transform(F.flatten(tree), lambda p: p["stretches"]))
+    return F.array_distinct(F.transform(F.flatten(F.transform(stretches, lambda s: s["runs"])), lambda r: F.hash(r)))
 
 
 def written(root: Column, sections: Column, tree: Column) -> Column:
     """The fingerprint as text: hashes of the branches shortened to 16 digits, runs to 8."""
-    runs = lambda p: F.array_join(
-        F.transform(p["runs"], lambda r: F.substring(F.hex(r.cast("long") + 2**32), -8, 8)), ""
+    short = lambda h, n: F.substring(h, 1, n)
+    stretches = lambda p: F.array_join(
+        F.transform(
+            p["stretches"],
+            lambda t: F.concat(
+                F.lit(";"), short(t["hash"], 16), F.lit("."), F.array_join(F.transform(t["runs"], lambda r: short(r, 8)), "")
+            ),
+        ),
+        "",
     )
     section = lambda s, i: F.concat(
         F.lit("/"),
-        F.substring(F.get(sections, i), 1, 16),
-        F.array_join(
-            F.transform(s, lambda p: F.concat(F.lit(":"), F.substring(p["hash"], 1, 16), F.lit("."), runs(p))), ""
-        ),
+        short(F.get(sections, i), 16),
+        F.array_join(F.transform(s, lambda p: F.concat(F.lit(":"), short(p["hash"], 16), stretches(p))), ""),
     )
-    return F.lower(F.concat(root, F.array_join(F.transform(tree, section), "")))
+    return F.concat(root, F.array_join(F.transform(tree, section), ""))
 
 
 def likeness(root_a: Column, runs_a: Column, root_b: Column, runs_b: Column) -> Column:
@@ -85,30 +124,48 @@ def likeness(root_a: Column, runs_a: Column, root_b: Column, runs_b: Column) ->
     return F.when(root_a == root_b, F.lit(1.0)).otherwise(share.cast("double"))
 
 
-def changed_paragraphs(tree_a: Column, tree_b: Column) -> Column:
-    """Positions (section, paragraph) in the first tree whose paragraph the second does not hold.
+def changed_stretches(tree_a: Column, tree_b: Column) -> Column:
+    """Positions (section, paragraph, stretch) in the first tree of stretches that the second does not hold.
 
-    Sections of equal hash are passed over as wholes; only differing branches
-    are opened.
+    Goes down from the sections: branches whose hash the second tree holds are
+    passed over as wholes, only differing ones are opened.
     """
-    known = F.flatten(F.transform(tree_b, lambda s: F.transform(s, lambda p: p["hash"])))
-    same = section_hashes(tree_b)
-    here = section_hashes(tree_a)
-    return F.flatten(
-        F.transform(
-            tree_a,
-            lambda s, i: F.when(
-                F.array_contains(same, F.get(here, i)), F.array().cast("array<struct<section:int,paragraph:int>>")
-            ).otherwise(
-                F.transform(
-                    F.filter(
-                        F.transform(s, lambda p, j: F.struct(i.alias("section"), j.alias("paragraph"), p["hash"].alias("h"))),
-                        lambda p: ~F.array_contains(known, p["h"]),
-                    ),
-                    lambda p: F.struct(p["section"].alias("section"), p["paragraph"].alias("paragraph")),
-                )
+    place = "array<struct<section:int,paragraph:int,stretch:int>>"
+    nothing = F.array().cast(place)
+    hashes = lambda nodes: F.transform(nodes, lambda n: n["hash"])
+    below = lambda tree: F.flatten(F.transform(F.flatten(tree), lambda p: p["stretches"]))
+
+    def walk(new: Column) -> Column:
+        here = section_hashes(tree_a)
+        kept = section_hashes(tree_b)
+        return F.flatten(
+            F.transform(
+                tree_a,
+                lambda s, i: F.when(F.array_contains(kept, F.get(here, i)), nothing).otherwise(
+                    F.flatten(F.transform(s, lambda p, j: in_paragraph(p, i, j, new)))
+                ),
+            )
+        )
+
+    def in_paragraph(p: Column, i: Column, j: Column, new: Column) -> Column:
+        places = F.filter(
+            F.transform(
+                p["stretches"],
+                lambda t, k: F.when(
+                    F.array_contains(new["stretches"], t["hash"]),
+                    F.struct(i.alias("section"), j.alias("paragraph"), k.alias("stretch")),
+                ),
             ),
+            lambda at: at.isNotNull(),
         )
+        return F.when(F.array_contains(new["paragraphs"], p["hash"]), places.cast(place)).otherwise(nothing)
+
+    return _once(
+        F.struct(
+            F.array_except(hashes(F.flatten(tree_a)), hashes(F.flatten(tree_b))).alias("paragraphs"),
+            F.array_except(hashes(below(tree_a)), hashes(below(tree_b))).alias("stretches"),
+        ),
+        walk,
     )
 
 
@@ -211,5 +268,5 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
         written(col("_edited_root"), col("_edited_sections"), col("_edited_tree")).alias("edited_fingerprint"),
         likeness(col("_root"), col("_runs"), col("_edited_root"), col("_edited_runs")).alias("near_edited"),
         likeness(col("_root"), col("_runs"), col("_next_root"), col("_next_runs")).alias("near_next"),
-        F.size(changed_paragraphs(col("_edited_tree"), col("_tree"))).cast("long").alias("changed_paragraphs"),
+        F.size(changed_stretches(col("_edited_tree"), col("_tree"))).cast("long").alias("changed_stretches"),
     )

@@ -8,8 +8,16 @@ key can go back. Nothing is looked up or stored, so documents are worked on
 apart from each other.
 
 Kinds: card numbers (check digit), account numbers with a country code (check
-digits), telephone numbers, social security numbers, network addresses,
-dates, the local parts of mail addresses, and long hexadecimal secrets.
+digits), telephone numbers, social security numbers, network addresses of both
+versions, dates, the local parts of mail addresses, and long hexadecimal
+secrets.
+
+What counts as equal: a telephone number is its national number, however it is
+spaced and whether or not the country code is written, which stays. A date
+keeps its order, its separator and the widths of its day and month (``1/2/2024``
+becomes a date of one-digit day and month), so dates are linked within one
+format. Of the longer network addresses all spellings are linked; pseudonym and
+way back are in the shortest spelling, in the case of the text.
 
 Results for odd input: a null text stays null, an empty one empty; text outside
 matches is untouched; repeated rows get equal results; extra columns stay out;
@@ -27,6 +35,7 @@ import re
 from collections.abc import Iterator
 from datetime import date, timedelta
 from functools import lru_cache
+from ipaddress import IPv6Address
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,9 +53,13 @@ PATTERNS = {
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)",
     "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\w)"
-    r"|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w)",
+    r"|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w)"
+    r"|(?<![\w.+-])(?:\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})(?![\w-]|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "address": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)",
+    "address": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"
+    r"|(?<![\w:.])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\w:])"
+    r"|(?<![\w:.])(?=[0-9a-fA-F:]*\d)[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){0,6}::(?:[0-9a-fA-F]{1,4}:){0,6}"
+    r"[0-9a-fA-F]{1,4}(?![\w:])",
     "date": r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-])|(?<![\w/])\d{1,2}/\d{1,2}/\d{4}(?![\w/])"
     r"|(?<![\w.])\d{1,2}\.\d{1,2}\.\d{4}(?!\w|\.\d)",
 }
@@ -66,6 +79,12 @@ _IBAN_SIGNS = {
     )
     for country in countries.split()
 }
+# fixed values: country codes of telephone numbers with one and with two digits; all others have three
+_CALLING = (
+    "1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48",
+    "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84",
+    "86", "90", "91", "92", "93", "94", "95", "98",
+)
 _MAY = re.compile(r"\d|@")
 
 
@@ -161,18 +180,25 @@ def _permute_date(permute: Permutation, text: str, back: bool) -> str | None:
     at = (day - _FIRST_DAY).days
     if not 0 <= at < _DAYS:
         return None
-    if sign == "/":
-        # day and month can be told apart only above 12: each reading is permuted within itself
-        first = int(a) <= 12
-        while True:
-            at = permute(at, _DAYS, back)
-            new = _FIRST_DAY + timedelta(at)
-            if first or new.day > 12:
-                break
-        pair = (new.month, new.day) if first else (new.day, new.month)
-        return f"{pair[0]:02d}/{pair[1]:02d}/{new.year:04d}"
-    new = _FIRST_DAY + timedelta(permute(at, _DAYS, back))
-    return new.isoformat() if sign == "-" else f"{new.day:02d}.{new.month:02d}.{new.year:04d}"
+    if sign == "-":
+        return (_FIRST_DAY + timedelta(permute(at, _DAYS, back))).isoformat()
+    # with slashes, day and month can be told apart only above 12: each reading is permuted within itself
+    month_first = sign == "/" and int(a) <= 12
+    while True:
+        at = permute(at, _DAYS, back)
+        new = _FIRST_DAY + timedelta(at)
+        pair = (new.month, new.day) if month_first else (new.day, new.month)
+        if _has_widths(pair, (len(a), len(b))) and (month_first or sign == "." or new.day > 12):
+            return f"{pair[0]:0{len(a)}d}{sign}{pair[1]:0{len(b)}d}{sign}{new.year:04d}"
+
+
+def _has_widths(pair: tuple[int, int], widths: tuple[int, int]) -> bool:
+    """Whether two numbers are written with these widths: zeros are put before both of them or neither."""
+    return widths == (2, 2) or all(len(str(v)) == w for v, w in zip(pair, widths))
+
+
+def _calling_code(digits: str) -> str:
+    return next((c for c in _CALLING if digits.startswith(c)), digits[:3])
 
 
 def replaced(kind: str, text: str, key: bytes, back: bool = False) -> str | None:
@@ -197,8 +223,7 @@ def replaced(kind: str, text: str, key: bytes, back: bool = False) -> str | None
         new = _permute_text(permute, plain[4:], back)
         return _fill(text, f"{plain[:2]}{98 - _iban_rest(new, plain[:2]):02d}{new}")
     if kind == "phone":
-        country = re.match(r"\+\d{1,3}(?=[ .(-])", text)
-        keep = re.sub(r"\D", "", country.group()) if country else ""
+        keep = _calling_code(digits) if text[0] == "+" else ""
         rest = digits[len(keep) :]
         return _fill(text, keep + _permute_number(permute, rest, back)) if 6 <= len(rest) else None
     if kind == "ssn":
@@ -208,6 +233,13 @@ def replaced(kind: str, text: str, key: bytes, back: bool = False) -> str | None
             digits = _permute_number(permute, digits, back)
             if digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000":
                 return _fill(text, digits)
+    if kind == "address" and ":" in text:
+        try:
+            value = int(IPv6Address(text))
+        except ValueError:
+            return None
+        new = str(IPv6Address(Permutation(key, "address6")(value, 2**128, back)))
+        return new.upper() if text.upper() == text and re.search("[A-F]", text) else new
     if kind == "address":
         parts = [int(p) for p in text.split(".")]
         if max(parts) > 255 or any(len(p) > 1 and p[0] == "0" for p in text.split(".")):

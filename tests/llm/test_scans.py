@@ -41,6 +41,32 @@ def test_round_trip_and_formats():
     assert pseudonyms.pseudonymise(PRIVATE, b"other")[0] != new
 
 
+def test_spellings_of_one_value_stay_linked():
+    phones = ["+15551234567", "+1 555 123 4567", "+1 (555) 123-4567", "(555) 123-4567", "555-123-4567", "555.123.4567"]
+    new = [pseudonyms.pseudonymise("call " + p + " now", KEY)[0][5:-4] for p in phones]
+    assert len({re.sub(r"\D", "", n)[-10:] for n in new}) == 1 and not set(new) & set(phones)
+    assert [re.sub(r"\d", "0", n) for n in new] == [re.sub(r"\d", "0", p) for p in phones]
+    assert new[0].startswith("+1") and pseudonyms.pseudonymise("+353 1 234 5678", KEY)[0].startswith("+353 ")
+    hosts = ["2001:db8::8a2e:370:7334", "2001:0db8:0:0:0:8a2e:0370:7334", "2001:DB8::8A2E:370:7334"]
+    new = [pseudonyms.pseudonymise(h, KEY)[0] for h in hosts]
+    assert new[0] == new[1] == new[2].lower() != hosts[0]
+    assert [pseudonyms.pseudonymise(n, KEY, back=True)[0].lower() for n in new] == [hosts[0]] * 3
+
+
+def test_dates_keep_their_widths():
+    for text in ("1/2/2024", "15.3.2024", "01/02/2024", "25/3/2024", "12/5/2024", "3/15/2024", "9.9.1999", "2024-01-02"):
+        new, _ = pseudonyms.pseudonymise(text, KEY)
+        assert new != text and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", text)
+        assert pseudonyms.pseudonymise(new, KEY, back=True)[0] == text
+    days = [f"{m}/{d}/2024" for m in range(1, 10) for d in range(1, 10)]
+    assert len({pseudonyms.pseudonymise(d, KEY)[0] for d in days}) == len(days)
+
+
+def test_what_only_looks_like_a_number_or_address_stays():
+    text = "std::vector a::b f::g 12:30:45 1.555.123.4567 x555-123-4567 555-123.4567 2025-555-123-4567"
+    assert pseudonyms.pseudonymise(text, KEY)[0] == text
+
+
 def test_values_that_fail_their_check_stay():
     text = "4111111111111112 999.1.1.1 1.2.3.4.5 2023-02-30 000-12-3456 DE00 3704 0044 0532 0130 00 version 3.11.2"
     assert pseudonyms.pseudonymise(text, KEY)[0] == text
