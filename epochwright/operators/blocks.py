@@ -7,7 +7,10 @@ block by division and slicing is an equi-join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epochwright import schema as S
@@ -43,23 +46,66 @@ def block_stats(blocks: DataFrame, keys: list[str] = S.REC) -> DataFrame:
 def merge_moments(parts: DataFrame, keys: list[str] = S.REC) -> DataFrame:
     """AGG1 from partial statistics ``n``, ``mean``, ``m2`` of any pieces of a recording.
 
-    The overall mean comes first, then deviations about it: exact for signals
-    with a large offset, where sums of squares would cancel.
+    States are merged pairwise about their common mean, first inside each task,
+    so one exchange moves a state per recording and task; a hot recording has
+    no more states than there are tasks. Nothing cancels for signals with a
+    large offset, as sums of squares would.
     """
-    parts = materialize(parts.select(*keys, "n", F.col("mean").alias("_mean"), "m2"), "moments")
-    means = parts.groupBy(*keys).agg(
-        F.sum("n").alias("n_samples"),
-        (F.sum(F.col("n") * F.col("_mean")) / F.sum("n")).alias("mean"),
+    parts = parts.select(*keys, F.col("n").cast("long"), F.col("mean").cast("double"), F.col("m2").cast("double"))
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    states = parts.mapInArrow(_merge_inside(keys), parts.schema).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("n", "mean", "m2"))).alias("_states")
     )
-    shift = F.col("_mean") - F.col("mean")
-    spread = F.sum(F.col("m2") + F.col("n") * shift * shift)
-    return (
-        parts.join(sized(means, "means"), keys)
-        .groupBy(*keys, "n_samples", "mean")
-        .agg(F.sqrt(spread / F.first("n_samples")).alias("std"))
+    merged = states.select(*keys, F.aggregate("_states", zero, _merged).alias("_s"))
+    return merged.select(
+        *keys,
+        F.col("_s.n").alias("n_samples"),
+        F.col("_s.mean").alias("mean"),
+        F.sqrt(F.col("_s.m2") / F.col("_s.n")).alias("std"),
     )
 
 
+def _merged(a: Column, b: Column) -> Column:
+    n, shift = a["n"] + b["n"], b["mean"] - a["mean"]
+    share = b["n"] / n
+    return F.struct(
+        n.alias("n"),
+        (a["mean"] + shift * share).alias("mean"),
+        (a["m2"] + b["m2"] + shift * shift * a["n"] * share).alias("m2"),
+    )
+
+
+_KEYS_HELD = 65_536  # recordings whose states a task holds at once
+
+
+def _merge_inside(keys: list[str]):
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[int, float, float]] = {}
+        schema = None
+        for part in parts:
+            schema = part.schema
+            columns = [part.column(i).to_pylist() for i in range(part.num_columns)]
+            for *key, n, mean, m2 in zip(*columns):
+                if not n:
+                    continue
+                n0, mean0, m20 = held.get(tuple(key), (0, 0.0, 0.0))
+                shift, total = mean - mean0, n0 + n
+                held[tuple(key)] = (
+                    total, mean0 + shift * (n / total), m20 + m2 + shift * shift * n0 * (n / total)
+                )
+            if len(held) >= _KEYS_HELD:
+                yield states(held, schema)
+                held = {}
+        if held:
+            yield states(held, schema)
+
+    def states(held, schema):
+        rows = [(*key, *state) for key, state in held.items()]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return batches
+
+
 def normalize_samples(samples: DataFrame, value: str, keys: list[str] = S.REC) -> DataFrame:
     """J2 + FN1 over one row per sample: adds ``mean``, ``std`` and ``z``.
 

@@ -311,6 +311,9 @@ def evaluate(
     counted = agreement(scored, "stage", "pred")
     report = sinks.metrics_report(counted, scored, model)
     sinks.write_document(report, f"{settings.paths.reports_dir}/metrics_{model}.json")
+    sinks.write_document(
+        sinks.test_subjects(scored, model), f"{settings.paths.reports_dir}/metrics_{model}_subjects.json"
+    )
     night = nights.hypnogram(
         nights.first_night(scored), "stage", "pred", settings.dataset.epoch_sec
     )

@@ -458,10 +458,9 @@ SELECT (SELECT count(*) FROM (SELECT subject_id FROM split GROUP BY 1 HAVING cou
 SQL["q_split_document"] = f"""
 WITH {SPLIT}
 SELECT 42::BIGINT AS seed, 0.15::DOUBLE AS val_frac, 0.15::DOUBLE AS test_frac,
-       list(subject_id ORDER BY subject_id) FILTER (WHERE split = 'train') AS train,
-       list(subject_id ORDER BY subject_id) FILTER (WHERE split = 'val') AS val,
-       list(subject_id ORDER BY subject_id) FILTER (WHERE split = 'test') AS test
-FROM split"""
+       split, shard, count(*) AS n_ids, list(subject_id ORDER BY subject_id) AS ids
+FROM (SELECT *, ((row_number() OVER (PARTITION BY split ORDER BY subject_id) - 1) // 10000)::BIGINT AS shard FROM split)
+GROUP BY split, shard"""
 
 SQL["q_split_table"] = SQL["q_split"]
 
@@ -544,8 +543,12 @@ SELECT 'rule' AS model, n_epochs, round(accuracy, 6) AS accuracy, round(macro_f1
        (SELECT round(f1, 6) FROM scores WHERE stage = 2) AS n2_f1,
        (SELECT true_n::BIGINT FROM scores WHERE stage = 4) AS rem_support,
        (SELECT list(n ORDER BY t, p) FROM cm) AS cells, 'W,N1,N2,N3,REM' AS class_names,
-       (SELECT list(DISTINCT subject_id ORDER BY subject_id) FROM p) AS test_subjects
-FROM head"""
+       (SELECT count(DISTINCT subject_id) FROM p) AS n_test_subjects, shard, test_subjects
+FROM head, (
+  SELECT shard, list(subject_id ORDER BY subject_id) AS test_subjects
+  FROM (SELECT subject_id, ((row_number() OVER (ORDER BY subject_id) - 1) // 10000)::BIGINT AS shard
+        FROM (SELECT DISTINCT subject_id FROM p))
+  GROUP BY shard)"""
 
 SQL["q_compare_models"] = f"""
 WITH {STAGES}, {ORDERS},

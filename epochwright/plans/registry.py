@@ -353,7 +353,7 @@ def split_document(spark, sf):
     path = scratch_path(spark, "splits-document")
     sinks.write_document(sinks.split_document(_splits(spark, sf), SEED, VAL, TEST), path)
     document = sources.read_split_document(spark, path)
-    return document.select("seed", "val_frac", "test_frac", *S.SPLITS)
+    return document.select(*S.SPLIT_DOC_SCHEMA.names)
 
 
 @query("q_split_table")
@@ -467,7 +467,10 @@ def metrics_doc(spark, sf):
     path = scratch_path(spark, "metrics")
     report = sinks.metrics_report(_counted(spark, sf), orders, "rule")
     sinks.write_document(report, path)
-    read = spark.read.schema(report.schema).json(path)
+    listed = sinks.test_subjects(orders, "rule")
+    sinks.write_document(listed, f"{path}-subjects")
+    ids = spark.read.schema(listed.schema).json(f"{path}-subjects").withColumnRenamed("ids", "test_subjects")
+    read = spark.read.schema(report.schema).json(path).join(ids, "model")
     return read.select(
         "model",
         "n_epochs",
@@ -478,6 +481,8 @@ def metrics_doc(spark, sf):
         F.col("per_stage.REM.support").alias("rem_support"),
         F.flatten("confusion_matrix").alias("cells"),
         F.array_join("class_names", ",").alias("class_names"),
+        "n_test_subjects",
+        "shard",
         "test_subjects",
     )
 

@@ -74,6 +74,10 @@ SPLIT_DOC_SCHEMA = T.StructType(
         T.StructField("seed", T.LongType()),
         T.StructField("val_frac", T.DoubleType()),
         T.StructField("test_frac", T.DoubleType()),
+        T.StructField("split", T.StringType()),
+        T.StructField("shard", T.LongType()),
+        T.StructField("n_ids", T.LongType()),
+        T.StructField("ids", T.ArrayType(T.StringType())),
     ]
-    + [T.StructField(name, T.ArrayType(T.StringType())) for name in SPLITS]
 )
+IDS_PER_SHARD = 10_000

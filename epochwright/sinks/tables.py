@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epochwright import schema as S
+from epochwright.functions.arrays import quotient
 from epochwright.operators.agreement import metrics_document
 from epochwright.operators.checks import require_rows
 from epochwright.operators.cohort import warn_if_not_test
+from epochwright.operators.indexing import number_rows
 from epochwright.settings import DatasetSettings
 
 
@@ -55,20 +57,30 @@ def write_splits(splits: DataFrame, path: str) -> None:
 
 
 def split_document(splits: DataFrame, seed: int, val_frac: float, test_frac: float) -> DataFrame:
-    """SNK3 + SRT5: one row with a sorted id list per split, as the document's form demands.
+    """SNK3 + SRT5: rows with the seed, the fractions and a sorted shard of a split's ids.
 
-    A subject takes a few bytes of the row, whatever it has recorded; the
-    steps themselves read the table form (:func:`write_splits`).
+    A split's shards, in their order, are its sorted list of ids. The steps
+    themselves read the table form (:func:`write_splits`).
     """
-    ids = [
-        F.array_sort(F.collect_list(F.when(F.col("split") == s, F.col("subject_id")))).alias(s)
-        for s in S.SPLITS
-    ]
-    return splits.agg(*ids).select(
+    return id_shards(splits, ["split"]).select(
         F.lit(seed).cast("long").alias("seed"),
         F.lit(float(val_frac)).alias("val_frac"),
         F.lit(float(test_frac)).alias("test_frac"),
-        *S.SPLITS,
+        "split",
+        "shard",
+        "n_ids",
+        "ids",
+    )
+
+
+def id_shards(subjects: DataFrame, keys: list[str], per_shard: int = S.IDS_PER_SHARD) -> DataFrame:
+    """Sorted lists of at most ``per_shard`` distinct ids: ``keys``, ``shard``, ``n_ids``, ``ids``."""
+    ids = subjects.select(*keys, "subject_id").distinct()
+    placed = number_rows(ids, keys, ["subject_id"], out="_at")
+    return (
+        placed.groupBy(*keys, quotient(F.col("_at"), per_shard).cast("long").alias("shard"))
+        .agg(F.array_sort(F.collect_list("subject_id")).alias("ids"))
+        .withColumn("n_ids", F.size("ids").cast("long"))
     )
 
 
@@ -78,13 +90,15 @@ def write_document(document: DataFrame, path: str) -> None:
 
 
 def metrics_report(counted: DataFrame, subjects: DataFrame, model: str) -> DataFrame:
-    """SNK4: the metrics document with model name and sorted test subjects."""
-    ids = subjects.select("subject_id").distinct()
-    listed = ids.agg(F.array_sort(F.collect_list("subject_id")).alias("test_subjects"))
+    """SNK4: the metrics document with model name and number of test subjects; :func:`test_subjects` lists them."""
     tag = F.lit(model).alias("model")
-    return metrics_document(counted).select("*", tag).join(
-        F.broadcast(listed.select("test_subjects", tag)), "model"
-    )
+    number = subjects.agg(F.count_distinct("subject_id").alias("n_test_subjects")).select(tag, "n_test_subjects")
+    return metrics_document(counted).select("*", tag).join(number, "model")
+
+
+def test_subjects(subjects: DataFrame, model: str) -> DataFrame:
+    """SNK4: the sorted test subjects of a metrics document, in shards."""
+    return id_shards(subjects.withColumn("model", F.lit(model)), ["model"])
 
 
 def write_export(rows: DataFrame, path: str) -> None:

@@ -28,9 +28,9 @@ def read_epochs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_split_document(spark: SparkSession, path: str) -> DataFrame:
-    """SRC9: the one-row split document."""
+    """SRC9: the split document, a row per shard of ids."""
     return read_or_explain(
-        spark.read.schema(S.SPLIT_DOC_SCHEMA).option("multiLine", True).json,
+        spark.read.schema(S.SPLIT_DOC_SCHEMA).json,
         path,
         "splits",
         "make_split",
@@ -39,12 +39,7 @@ def read_split_document(spark: SparkSession, path: str) -> DataFrame:
 
 def splits_of_document(document: DataFrame) -> DataFrame:
     """SRC9: the document as ``(subject_id, split)`` rows."""
-    sides = F.array(
-        *[F.struct(F.lit(s).alias("split"), F.col(s).alias("ids")) for s in S.SPLITS]
-    )
-    return document.select(F.explode(sides).alias("_s")).select(
-        F.explode("_s.ids").alias("subject_id"), F.col("_s.split").alias("split")
-    )
+    return document.select(F.explode("ids").alias("subject_id"), "split")
 
 
 def read_splits(spark: SparkSession, path: str) -> DataFrame:

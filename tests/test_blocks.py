@@ -84,3 +84,20 @@ def test_normalize_samples(spark):
     )
     got = {(r["rec"], r["v"]): r["z"] for r in blocks.normalize_samples(df, "v", REC).collect()}
     assert got[("a", 1.0)] == pytest.approx(-1.0) and got[("b", 5.0)] == 0.0
+
+
+def test_moments_in_one_exchange_at_a_large_offset(spark):
+    rng = np.random.default_rng(5)
+    pieces = {("a", 1): [1e9 + rng.normal(0, 0.5, n) for n in (1000, 1, 37, 4000)], ("b", 2): [rng.normal(-3, 2, 50)]}
+    rows = [
+        (*rec, len(p), float(p.mean()), float(np.square(p - p.mean()).sum())) for rec, all_ in pieces.items() for p in all_
+    ]
+    parts = spark.createDataFrame(rows, "subject_id string, night int, n long, mean double, m2 double").repartition(4)
+    keys = ["subject_id", "night"]
+    merged = blocks.merge_moments(parts, keys)
+    for r in merged.collect():
+        whole = np.concatenate(pieces[r["subject_id"], r["night"]])
+        assert r["n_samples"] == len(whole)
+        np.testing.assert_allclose([r["mean"], r["std"]], [whole.mean(), (whole - whole.mean()).std()], rtol=1e-7)
+    plan = blocks.merge_moments(parts.coalesce(2), keys)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "Join" not in plan

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from epochwright.operators import indexing
 from epochwright.operators.indexing import number_rows, row_index, running_total
 from epochwright.session import materialize
+from epochwright.sinks.tables import id_shards
 
 
 def _skewed(spark, n=3000):
@@ -86,3 +87,14 @@ def test_number_rows_spreads_a_hot_key(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     hot = written[0].filter("k = 0").select(F.shiftright("_at", 33).alias("p")).groupBy("p").count().collect()
     assert len(hot) > 1 and max(r["count"] for r in hot) < 26_000
+
+
+def test_id_shards_are_one_sorted_list(spark):
+    ids = [f"S{i:03d}" for i in range(103)]
+    rows = [(i, "train" if i < "S070" else "test") for i in ids for _ in range(2)]
+    shards = id_shards(spark.createDataFrame(rows, "subject_id string, split string").repartition(5), ["split"], 8).collect()
+    for split in ("train", "test"):
+        own = sorted((r for r in shards if r["split"] == split), key=lambda r: r["shard"])
+        assert [r["shard"] for r in own] == list(range(len(own))) and all(r["n_ids"] == len(r["ids"]) for r in own)
+        assert all(r["n_ids"] == 8 for r in own[:-1])
+        assert [i for r in own for i in r["ids"]] == sorted({i for i, s in rows if s == split})
