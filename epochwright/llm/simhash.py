@@ -10,6 +10,13 @@ band cannot split a shard any more (many fingerprints agree in it), the tree
 goes on with distances over all bits, and fingerprints within ``radius`` of a
 boundary are put on both sides, so every pair meets in some shard.
 
+The first trees are fitted on a bounded sample, so with more fingerprints their
+shards hold more. Shards that hold too many are divided again, each by a small
+tree of its own, level by level, until all are small. A shard that its tree
+cannot divide (fingerprints crowded within a few bits) is not compared: each of
+its fingerprints is filed under itself and under its 64 neighbours at one bit.
+Two within two bits share such a place, and all at one place are within two.
+
 Shards are searched by the same rule down to small blocks, which are compared
 in one vector operation. A shard yields a forest of links, not all its pairs.
 
@@ -40,6 +47,9 @@ SHINGLE = 3
 SEED = 42
 SAMPLE_ROWS = 65_536  # fingerprints the trees are fitted on, at most about
 SHARD_ROWS = 4_096  # fingerprints a shard should hold
+CROWDED = 4  # times that number, from which on a shard is divided again
+LEAST = 16  # sampled fingerprints a leaf should hold, so that its true size is near the expected
+FANOUT = 64  # leaves of a tree that divides one shard again, at most about
 BLOCK = 256  # fingerprints compared in one step
 _PIECE = 1 << 20
 _SPACES = re.compile(rb"[\x20\x09-\x0d]")
@@ -106,7 +116,11 @@ class Trees:
     reach: np.ndarray
     near: np.ndarray
     far: np.ndarray
-    shards: int
+    bands: list[int]  # of each shard
+
+    @property
+    def shards(self) -> int:
+        return len(self.bands)
 
 
 def _split(points: np.ndarray, mask: np.uint64, vantages: np.ndarray) -> tuple | None:
@@ -122,11 +136,17 @@ def _split(points: np.ndarray, mask: np.uint64, vantages: np.ndarray) -> tuple |
     return best
 
 
-def grow(sample: np.ndarray, shard_size: int, radius: int = RADIUS, seed: int = 7) -> Trees:
-    """Trees over a sample: a node is split until it holds ``shard_size`` sample points or all are equal."""
+def grow(
+    sample: np.ndarray, shard_size: int, radius: int = RADIUS, seed: int = 7, masks: list[int] | None = None
+) -> Trees:
+    """Trees over a sample, one per mask (default: all bands).
+
+    A node is split until it holds ``shard_size`` sample points or all are equal.
+    """
     rng = np.random.default_rng(seed)
-    nodes, roots, shards = [], [], 0
-    for band in bands(radius):
+    nodes, roots, owners = [], [], []
+    masks = bands(radius) if masks is None else masks
+    for band in masks:
         at = len(roots)
         roots.append(None)
         todo = [(np.unique(sample), True, None, None)]
@@ -143,8 +163,8 @@ def grow(sample: np.ndarray, shard_size: int, radius: int = RADIUS, seed: int =
                     if split is not None and int((split[3] < split[2] + reach).sum()) > 0.9 * len(points):
                         split = None  # nearly all would be on both sides
             if split is None:
-                child = -1 - shards
-                shards += 1
+                child = -1 - len(owners)
+                owners.append(at)
             else:
                 _, v, bound, d = split
                 child = len(nodes)
@@ -158,7 +178,7 @@ def grow(sample: np.ndarray, shard_size: int, radius: int = RADIUS, seed: int =
     column = lambda i, kind: np.array([n[i] for n in nodes], dtype=kind)
     return Trees(
         roots, column(0, np.uint64), column(1, np.uint64), column(2, np.int64), column(3, np.int64),
-        column(4, np.int64), column(5, np.int64), shards,
+        column(4, np.int64), column(5, np.int64), owners,
     )
 
 
@@ -223,17 +243,132 @@ def linked(points: np.ndarray, radius: int = RADIUS) -> np.ndarray:
 
 
 def _sharder(trees: Trees):
+    owner = np.array(trees.bands, dtype=np.int32)
+
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             points = part.column("fp").to_numpy().view(np.uint64)
             rows, shards = route(points, trees)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shards), pa.array(points[rows].view(np.int64))], names=["shard", "fp"]
+                [pa.array(owner[shards]), pa.array(shards), pa.array(points[rows].view(np.int64))],
+                names=["band", "shard", "fp"],
             )
 
     return batches
 
 
+_TREE = "band int, shard long, root long, " + ", ".join(
+    f"{name} array<long>" for name in ("vantage", "mask", "bound", "reach", "near", "far")
+)
+
+
+def _tree_of_shard(shard_rows: int):
+    """Grows the tree of one crowded shard from its sample, as a row of arrays."""
+
+    def grown(table: pa.Table) -> pa.Table:
+        band, n = table.column("band")[0].as_py(), table.column("n")[0].as_py()
+        points = np.unique(table.column("fp").to_numpy()).view(np.uint64)
+        tree = grow(points, max(LEAST, len(points) * shard_rows // n), masks=[bands(RADIUS)[band]])
+        row = {"band": pa.array([band], pa.int32()), "shard": table.column("shard")[:1], "root": [tree.roots[0]]}
+        for name in ("vantage", "mask", "bound", "reach", "near", "far"):
+            row[name] = pa.array([getattr(tree, name).astype(np.int64).tolist()], pa.list_(pa.int64()))
+        return pa.table(row)
+
+    return grown
+
+
+def _divided(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Routes packs of fingerprints of one shard, each beside that shard's tree."""
+    for part in parts:
+        for row in part.to_pylist():
+            sides = [np.array(row[k], dtype=np.int64) for k in ("vantage", "mask", "bound", "reach", "near", "far")]
+            tree = Trees([row["root"]], sides[0].view(np.uint64), sides[1].view(np.uint64), *sides[2:], [])
+            points = np.array(row["fps"], dtype=np.int64)
+            rows, leaves = route(points.view(np.uint64), tree)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(rows), row["band"], np.int32)),
+                    pa.array(np.full(len(rows), row["shard"], np.int64)),
+                    pa.array(leaves),
+                    pa.array(points[rows]),
+                    pa.array(np.full(len(rows), row["n"], np.int64)),
+                ],
+                names=["band", "shard", "leaf", "fp", "came"],
+            )
+
+
+def _draw(number: int, share):
+    """True for about ``share`` of the fingerprints; a lost task draws the same again."""
+    return F.xxhash64("fp", F.lit(number)) < (share * 2.0**64 - 2.0**63)
+
+
+def divide(routed: DataFrame, sizes: DataFrame, shard_rows: int, level: int) -> DataFrame:
+    """(band, shard, fp, came) of the shards in ``sizes``, each divided by a tree of its own.
+
+    ``came`` is the number of fingerprints of the shard divided. Its sample is
+    bounded by ``FANOUT`` leaves of ``LEAST``; its fingerprints are dealt into
+    packs of about ``shard_rows``, so no task meets a whole shard.
+    """
+    rows = routed.drop("came").join(sizes, "shard")
+    chosen = rows.filter(_draw(level, F.lit(1.0 * FANOUT * LEAST) / F.col("n"))).select("band", "shard", "n", "fp")
+    grown = chosen.groupBy("shard").applyInArrow(_tree_of_shard(shard_rows), _TREE)
+    grown = materialize(grown, "shard-trees")
+    packs = (
+        rows.withColumn("pack", F.pmod(F.xxhash64("fp", F.lit(-level)), F.ceil(F.col("n") / shard_rows)))
+        .groupBy("shard", "pack", "n")
+        .agg(F.collect_list("fp").alias("fps"))
+    )
+    kind = "band int, shard long, leaf long, fp long, came long"
+    parts = packs.join(grown, "shard").mapInArrow(_divided, kind)
+    # a hash names the new shard; should two names meet, more is compared, nothing lost
+    return parts.select("band", F.xxhash64("shard", "leaf", F.lit(level)).alias("shard"), "fp", "came")
+
+
+def shards(
+    prints: DataFrame, sample_rows: int = SAMPLE_ROWS, shard_rows: int = SHARD_ROWS
+) -> tuple[DataFrame, DataFrame]:
+    """((shard, fp), (fp)): shards of at most ``CROWDED * shard_rows``, and what no tree could divide.
+
+    Each pair within the radius meets in a shard or is among the second.
+    Every level at least halves a shard, or takes it as not to be divided.
+    """
+    share = min(1.0, sample_rows / max(1, prints.count()))
+    chosen = prints.filter(_draw(1, F.lit(share)) | F.lit(share >= 1)).select("fp").collect()
+    sample = np.array([r.fp for r in chosen], dtype=np.int64).view(np.uint64)
+    trees = grow(sample, max(LEAST, int(shard_rows * share)))
+    routed = prints.select("fp").mapInArrow(_sharder(trees), "band int, shard long, fp long")
+    routed = routed.withColumn("came", F.lit(None).cast("long"))
+    small, crowds, level = [], [], 1
+    while True:
+        routed = materialize(routed, "shards")
+        sizes = materialize(routed.groupBy("shard").agg(F.count("fp").alias("n"), F.max("came").alias("came")), "sizes")
+        much = F.col("n") > CROWDED * shard_rows
+        if sizes.filter(much).isEmpty():
+            small.append(routed.select("shard", "fp"))
+            break
+        halved = F.col("n") <= F.coalesce(F.col("came"), F.col("n") * 2) / 2
+        small.append(routed.join(sizes.filter(~much).select("shard"), "shard").select("shard", "fp"))
+        crowds.append(routed.join(sizes.filter(much & ~halved).select("shard"), "shard").select("fp"))
+        level += 1
+        routed = divide(routed, sizes.filter(much & halved).select("shard", "n"), shard_rows, level)
+    crowd = crowds[0] if crowds else routed.select("fp").limit(0)
+    for more in crowds[1:]:
+        crowd = crowd.unionByName(more)
+    whole = small[0]
+    for more in small[1:]:
+        whole = whole.unionByName(more)
+    return whole, crowd.distinct()
+
+
+def crowd_links(crowd: DataFrame) -> DataFrame:
+    """(a, b): links that connect all within two bits, by places at one bit; a place holds at most 65."""
+    around = F.expr("array_append(transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)), fp)")
+    places = crowd.select("fp", F.explode(around).alias("place"))
+    met = places.groupBy("place").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
+    pairs = met.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b"))
+    return pairs.filter("a <> b").distinct()
+
+
 def _shard_links(table: pa.Table) -> pa.Table:
     points = np.unique(table.column("fp").to_numpy()).view(np.uint64)
     roots = linked(points)
@@ -244,17 +379,12 @@ def _shard_links(table: pa.Table) -> pa.Table:
 def links(prints: DataFrame, sample_rows: int = SAMPLE_ROWS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(a, b): a set of links between distinct fingerprints that connects all within the radius.
 
-    The trees are fitted on a bounded sample (``sample_rows`` fingerprints);
-    every fingerprint is then routed and compared.
+    The first trees are fitted on a bounded sample (about ``sample_rows``
+    fingerprints); every fingerprint is then routed and compared.
     """
-    total = prints.count()
-    share = min(1.0, sample_rows / max(1, total))
-    # a hash of the value chooses the sample, so a lost task chooses the same again
-    chosen = prints.filter(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000))
-    sample = np.array([r.fp for r in chosen.select("fp").collect()], dtype=np.int64).view(np.uint64)
-    trees = grow(sample, max(16, int(shard_rows * share)))
-    routed = prints.select("fp").mapInArrow(_sharder(trees), "shard long, fp long")
-    return routed.groupBy("shard").applyInArrow(_shard_links, "a long, b long")
+    whole, crowd = shards(prints, sample_rows, shard_rows)
+    found = whole.groupBy("shard").applyInArrow(_shard_links, "a long, b long")
+    return found.unionByName(crowd_links(crowd))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import xxhash
 
 from epochwright.llm import exact_dedup, simhash
@@ -124,6 +125,47 @@ def test_components_of_links_by_spark(spark):
     assert got == expected
 
 
+def components_of(frame, **limits):
+    return {r["node"]: r["component"] for r in simhash.components(simhash.links(frame, **limits)).collect()}
+
+
+def signed_frame(spark, points):
+    return spark.createDataFrame(pd.DataFrame({"fp": points.view(np.int64)}))
+
+
+def test_shards_stay_small_whatever_the_sample(spark):
+    rng = np.random.default_rng(3)
+    points = rng.integers(0, 2**64, 50_000, dtype=np.uint64)
+    near = points[:600] ^ (np.uint64(1) << rng.integers(0, 64, 600, dtype=np.uint64))
+    near ^= np.uint64(1) << rng.integers(0, 64, 600, dtype=np.uint64)
+    frame = signed_frame(spark, np.unique(np.concatenate([points, near])))
+    whole, crowd = simhash.shards(frame, sample_rows=64, shard_rows=256)
+    assert crowd.isEmpty() and whole.groupBy("shard").count().agg({"count": "max"}).first()[0] <= 4 * 256
+    got = components_of(frame, sample_rows=64, shard_rows=256)
+    for a, b in zip(points[:600].view(np.int64), near.view(np.int64)):
+        assert a == b or got[int(a)] == got[int(b)] == min(a, b)
+    assert len(got) <= 1200
+
+
+def test_crowded_fingerprints_are_linked_by_their_neighbours(spark):
+    # 600 of the 2,080 at two or fewer bits from one centre, and 300 some bits further
+    rng = np.random.default_rng(4)
+    bit = lambda: np.uint64(1) << np.uint64(rng.integers(0, 64))
+    ball = [np.uint64(2**40 + 99) ^ bit() ^ bit() for _ in range(600)]
+    ball += [b ^ bit() ^ bit() ^ bit() for b in ball[:300]]
+    points = np.unique(np.array(ball, dtype=np.uint64))
+    signed = [int(p) for p in points.view(np.int64)]
+    by_root = {}
+    for p, root in zip(signed, classes(points, 2)):
+        by_root.setdefault(root, []).append(p)
+    expected = {p: min(v) for v in by_root.values() if len(v) > 1 for p in v}
+    frame = signed_frame(spark, points)
+    assert not simhash.shards(frame, shard_rows=8)[1].isEmpty()
+    assert components_of(frame, shard_rows=8) == expected
+    only = simhash.crowd_links(frame)
+    assert {r["node"]: r["component"] for r in simhash.components(only).collect()} == expected
+
+
 def test_near_duplicates_of_odd_rows(odd, nothing):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
