@@ -758,6 +758,11 @@ digital AS (
 SQL["q_file_signal"] = f"""
 WITH {_DIGITAL} SELECT file_no, sample, round(value, 6) + 0.0 AS value FROM digital"""
 
+SQL["q_file_stretch"] = f"""
+WITH {_DIGITAL}
+SELECT file_no, count(*) AS n_samples, round(min(value), 6) + 0.0 AS low, round(max(value), 6) + 0.0 AS high
+FROM digital WHERE sample // 64 * 64 >= 500 AND sample // 64 * 64 < 2000 GROUP BY 1"""
+
 SQL["q_file_stats"] = f"""
 WITH {_DIGITAL}
 SELECT file_no, count(*) AS n_samples, round(avg(value), 6) + 0.0 AS mean,

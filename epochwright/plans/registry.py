@@ -813,6 +813,18 @@ def file_signal(spark, sf):
     )
 
 
+@query("q_file_stretch")
+def file_stretch(spark, sf):
+    """SRC2, FLT11: a stretch of samples of every file; the bounds are the scan's."""
+    folder = B.signal_files(spark, sf)
+    rows = read_edf(spark, folder, "signal", channel=B.FILE_SETTINGS.dataset.channel, pushFilters=True)
+    wanted = rows.filter((F.col("start_sample") >= 500) & (F.col("start_sample") < 2000))
+    values = wanted.select(B.file_number(F.col("path")).alias("file_no"), F.explode("samples").alias("_value"))
+    return values.groupBy("file_no").agg(
+        F.count("_value").alias("n_samples"), r6(F.min("_value"), "low"), r6(F.max("_value"), "high")
+    )
+
+
 @query("q_file_stats")
 def file_stats(spark, sf):
     """AGG1 over files: partial statistics at the scan, merged."""

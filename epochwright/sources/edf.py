@@ -15,6 +15,11 @@ independent byte ranges: planning only lists files and sizes, ranges of large
 files become separate partitions and small files share one. A task reads the
 header of its file, then just the records that begin in its range.
 
+With ``option("pushFilters", "true")`` filters are taken over from Spark: on ``path`` no other file is
+opened, on ``block_idx`` and ``start_sample`` no other record is read, on ``channel`` other rows of the
+header are left out. It is off by default, as Spark keeps what was pushed with the loaded table: load
+such a frame anew for each filter, and do not use it in two branches of a plan.
+
 Options: ``channel``; ``recordsPerBlock`` (data records per block row, 1);
 ``splitBytes`` (largest partition, 64 MB); ``minPartitions``; ``glob`` (file name pattern, ``*.edf``).
 
@@ -34,7 +39,22 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    EqualNullSafe,
+    EqualTo,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    IsNotNull,
+    LessThan,
+    LessThanOrEqual,
+    StringContains,
+    StringEndsWith,
+    StringStartsWith,
+)
 
 # --- fixed values: layout published with the format ------------------------
 MAIN_HEADER = [
@@ -200,6 +220,20 @@ def _open(path: str):
     return filesystem.open_input_file(name)
 
 
+# what a filter asks of a text, and which bounds it sets for a whole number
+_TEXT_TESTS = {
+    EqualTo: lambda text, wanted: text == wanted,
+    EqualNullSafe: lambda text, wanted: text == wanted,
+    In: lambda text, wanted: text in wanted,
+    StringStartsWith: str.startswith,
+    StringEndsWith: str.endswith,
+    StringContains: lambda text, wanted: wanted in text,
+}
+_LOWEST = {EqualTo: 0, EqualNullSafe: 0, GreaterThanOrEqual: 0, GreaterThan: 1}
+_HIGHEST = {EqualTo: 0, EqualNullSafe: 0, LessThanOrEqual: 0, LessThan: -1}
+_NO_BOUNDS = (0, 2**62)
+
+
 class EdfReader(DataSourceReader):
     def __init__(self, options: dict, mode: str):
         self.mode = mode
@@ -209,11 +243,38 @@ class EdfReader(DataSourceReader):
         self.per_block = int(options.get("recordsperblock", 1))
         self.split_bytes = int(options.get("splitbytes", 64 * 1024 * 1024))
         self.min_partitions = int(options.get("minpartitions", 1))
+        self.push = options.get("pushfilters", "false").lower() == "true"
+        self.text_tests: list[tuple[str, type, object]] = []
+        self.bounds = {"block_idx": _NO_BOUNDS, "start_sample": _NO_BOUNDS}
         if mode in ("signal", "moments") and not self.channel:
             raise ValueError(f"mode {mode!r} needs option 'channel'")
 
+    def pushFilters(self, filters):
+        """Takes what names of files and channels and places of samples decide; the rest is Spark's."""
+        if not self.push:
+            yield from filters
+            return
+        for each in filters:
+            column, value = each.attribute[0] if hasattr(each, "attribute") else None, getattr(each, "value", None)
+            if column in ("path", "channel") and type(each) in _TEXT_TESTS:
+                self.text_tests.append((column, type(each), value))
+            elif column in self.bounds and type(each) in _LOWEST | _HIGHEST and type(value) is int:
+                low, high = self.bounds[column]
+                if type(each) in _LOWEST:
+                    low = max(low, value + _LOWEST[type(each)])
+                if type(each) in _HIGHEST:
+                    high = min(high, value + _HIGHEST[type(each)])
+                self.bounds[column] = (low, high)
+            elif not (column in ("path", "channel", *self.bounds) and isinstance(each, IsNotNull)):
+                yield each
+
+    def _wanted(self, column: str, text: str) -> bool:
+        return all(_TEXT_TESTS[kind](text, value) for of, kind, value in self.text_tests if of == column)
+
     def partitions(self):
-        files = _list_files(self.path, self.pattern)
+        if self.mode in ("signal", "moments") and not self._wanted("channel", self.channel):
+            return [FileRanges([])]
+        files = [f for f in _list_files(self.path, self.pattern) if self._wanted("path", f[0])]
         # small inputs are still spread over the cores, down to _LEAST_SPLIT
         even = sum(size for _, size in files) // self.min_partitions
         split_bytes = min(self.split_bytes, max(even, _LEAST_SPLIT))
@@ -228,7 +289,7 @@ class EdfReader(DataSourceReader):
                     room = split_bytes
                 packed[-1].ranges.append((path, size, begin, end))
                 room -= cost
-        return packed
+        return packed or [FileRanges([])]
 
     def read(self, partition):
         rows = {
@@ -247,7 +308,7 @@ class EdfReader(DataSourceReader):
 
     def _header(self, path, handle, header, begin, end):
         for signal in header.signals:
-            if signal["label"] != ANNOTATION_LABEL:
+            if signal["label"] != ANNOTATION_LABEL and self._wanted("channel", signal["label"]):
                 rate = signal["samples"] / header.record_sec if header.record_sec else 0.0
                 yield (
                     path,
@@ -298,6 +359,9 @@ class EdfReader(DataSourceReader):
         index = labels.index(self.channel)
         signal, place = header.signals[index], header.position(index)
         owned = self._owned(header, begin, end, self.per_block)
+        width = max(1, self.per_block * signal["samples"])
+        (low, high), (first, last) = self.bounds["block_idx"], self.bounds["start_sample"]
+        owned = range(max(owned.start, low, -(-first // width)), min(owned.stop, high + 1, last // width + 1))
         at_once = max(1, _READ_BYTES // (2 * header.record_samples * self.per_block))
         for start in range(owned.start, owned.stop, at_once):
             blocks = range(start, min(start + at_once, owned.stop))
@@ -543,6 +607,8 @@ _RANGES = pa.schema([("path", pa.string()), ("size", pa.int64()), ("begin", pa.i
 def read_edf(spark: SparkSession, path: str, mode: str, **options):
     """``path`` (file or folder) in one of the modes above."""
     spark.dataSource.register(EdfDataSource)
+    # a source that takes filters over is refused without this setting
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     reader = spark.read.format("edf").option("mode", mode)
     reader = reader.option("minPartitions", spark.sparkContext.defaultParallelism)
     return reader.options(**options).load(path)

@@ -57,6 +57,100 @@ def test_signal_is_the_same_for_any_split(spark, tmp_path, split_bytes, per_bloc
         assert df.rdd.getNumPartitions() > 20
 
 
+class _Counted:
+    """An open file that counts the bytes read from it."""
+
+    def __init__(self, handle, read):
+        self.handle, self.done = handle, read
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *error):
+        self.handle.close()
+
+    def seek(self, place):
+        self.handle.seek(place)
+
+    def read(self, size):
+        self.done.append(size)
+        return self.handle.read(size)
+
+
+def _two_files(tmp_path):
+    for i in range(2):
+        content = [("EOG", "uV", FULL, _signal(400, 50, 7)), (CHANNEL, "uV", FULL, _signal(400, 100, i))]
+        _write(tmp_path / f"f{i}-PSG.edf", derived.edf_bytes(1.0, content))
+
+
+def test_filters_are_pushed_into_the_scan(spark, tmp_path):
+    _two_files(tmp_path)
+    load = lambda **more: edf.read_edf(
+        spark, str(tmp_path), "signal", channel=CHANNEL, splitBytes=9_000, recordsPerBlock=3, **more
+    )
+    everything = load(pushFilters=True).collect()
+    assert len(everything) == 2 * 134
+    path = everything[0]["path"]
+    cases = [
+        (F.col("path") == path, lambda r: r["path"] == path),
+        (F.col("path").isin(path, "nowhere"), lambda r: r["path"] == path),
+        (F.col("path").endswith("f1-PSG.edf"), lambda r: r["path"].endswith("f1-PSG.edf")),
+        (F.col("path").contains("f0"), lambda r: "f0" in r["path"]),
+        (F.col("channel") == "EOG", lambda r: False),
+        (F.col("block_idx") == 7, lambda r: r["block_idx"] == 7),
+        (F.col("block_idx").between(100, 110), lambda r: 100 <= r["block_idx"] <= 110),
+        ((F.col("start_sample") > 300) & (F.col("start_sample") < 1200), lambda r: 300 < r["start_sample"] < 1200),
+        ((F.col("start_sample") >= 299) & (F.col("start_sample") <= 900), lambda r: 299 <= r["start_sample"] <= 900),
+        (F.col("start_sample") > 10**9, lambda r: False),
+        (F.col("block_idx") < 0, lambda r: False),
+        (F.col("block_idx").isin(3, 5), lambda r: r["block_idx"] in (3, 5)),
+        (F.col("path").like("%f_-PSG%") & (F.size("samples") < 300), lambda r: len(r["samples"]) < 300),
+    ]
+    for condition, wanted in cases:
+        got = load(pushFilters=True).filter(condition).collect()
+        key = lambda r: (r["path"], r["block_idx"])
+        assert sorted(got, key=key) == sorted(filter(wanted, everything), key=key), condition
+    header = edf.read_edf(spark, str(tmp_path), "header", pushFilters=True)
+    assert [r["channel"] for r in header.filter(F.col("channel") == "EOG").collect()] == ["EOG", "EOG"]
+
+
+def test_a_frame_without_the_option_may_be_used_twice(spark, tmp_path):
+    _two_files(tmp_path)
+    signal = edf.read_edf(spark, str(tmp_path), "signal", channel=CHANNEL)
+    few = signal.filter("start_sample < 1000")
+    assert (few.count(), signal.count(), few.unionByName(signal).count()) == (20, 800, 820)
+
+
+def test_pushed_filters_show_in_the_plan(spark, tmp_path, capsys):
+    _two_files(tmp_path)
+    signal = edf.read_edf(spark, str(tmp_path), "signal", channel=CHANNEL, pushFilters=True)
+    signal.filter((F.col("path") == "x") & (F.col("start_sample") >= 5)).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "EqualTo(path,x)" in plan and "GreaterThanOrEqual(start_sample,5)" in plan
+    assert " Filter" not in plan  # nothing is left for Spark to do
+
+
+def test_filters_spare_bytes(tmp_path, monkeypatch):
+    _two_files(tmp_path)
+    counts, real = [], edf._open
+    monkeypatch.setattr(edf, "_open", lambda path: _Counted(real(path), counts))
+
+    def volume(*filters):
+        counts.clear()
+        reader = edf.EdfReader({"path": str(tmp_path), "channel": CHANNEL, "pushfilters": "True"}, "signal")
+        assert list(reader.pushFilters(list(filters))) == []
+        rows = sum(len(b) for p in reader.partitions() for b in reader.read(p))
+        return rows, sum(counts)
+
+    all_rows, all_bytes = volume()
+    name = edf._list_files(str(tmp_path), "*.edf")[0][0]
+    one_rows, one_bytes = volume(edf.EqualTo(("path",), name))
+    few_rows, few_bytes = volume(edf.LessThan(("start_sample",), 1000))
+    assert (all_rows, one_rows, few_rows) == (800, 400, 20)
+    assert one_bytes * 2 == all_bytes
+    assert few_bytes == all_bytes - 780 * 2 * 150  # headers, and ten records of each file
+
+
 @pytest.mark.parametrize("unit, factor", [("uV", 1.0), ("mV", 1e3), ("V", 1e6)])
 def test_units(spark, tmp_path, unit, factor):
     digital = _signal(2, 10)
