@@ -232,18 +232,26 @@ def _predictor(net: Network):
 
 
 def sample(labelled: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> tuple[list[str], list[str]]:
-    """About ``per_lang`` labelled rows of each language, chosen by hash, a stretch of each."""
+    """About ``per_lang`` different labelled rows of each language, chosen by hash, a stretch of each.
+
+    A row is known by its doc_id and text together, so rows that share an id, or
+    have none, are drawn one by one, and copies count once. At most twice the
+    wanted number of rows is taken, those with the lowest hash.
+    """
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = rows.withColumn("_row", F.xxhash64("doc_id", "text"))
+    different = F.approx_count_distinct("_row").alias("n")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(different).collect()}
     texts, labels = [], []
     if counts:
         share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, per_lang / n)])
-        draw = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) / 1_000_000
-        place = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.greatest(F.length("text") - STRETCH, F.lit(1)))
-        chosen = rows.filter(draw < share[F.col("lang")]).select(
-            "lang", F.substring("text", (place + 1).cast("int"), F.lit(STRETCH)).alias("text")
+        draw = F.xxhash64("_row", F.lit(1))
+        place = F.pmod(F.xxhash64("_row", F.lit(2)), F.greatest(F.length("text") - STRETCH, F.lit(1)))
+        chosen = rows.filter(draw < share[F.col("lang")] * 2.0**64 - 2.0**63).select(
+            "lang", draw.alias("_draw"), F.substring("text", (place + 1).cast("int"), F.lit(STRETCH)).alias("text")
         )
-        for r in chosen.sort("lang", "text").collect():
+        lowest = chosen.distinct().sort("_draw", "lang", "text").limit(2 * per_lang * len(counts))
+        for r in sorted(lowest.collect(), key=lambda r: (r["lang"], r["text"])):
             texts.append(r["text"])
             labels.append(r["lang"])
     return texts, labels

@@ -64,6 +64,17 @@ def test_held_out_accuracy_and_odd_rows(documents):
     assert by[1003]["lang_pred"] == "yy" and by[None]["lang_pred"] == "zz" and not by[None]["held_out"]
 
 
+def test_sample_is_bounded_where_ids_repeat(documents):
+    rng = random.Random(5)
+    rows = [(None if i % 2 else 7, prose("xx", 30, rng), "xx") for i in range(400)]
+    rows += [(7, "always the same", "yy")] * 300 + [(i, prose("yy", 30, rng), "yy") for i in range(60)]
+    texts, labels = langid.sample(documents(rows), per_lang=20)
+    assert 5 <= labels.count("xx") <= 45 and 5 <= labels.count("yy") <= 45
+    assert len(set(texts)) == len(texts) <= 80
+    everything = langid.sample(documents(rows), per_lang=10_000)[0]
+    assert len(everything) == 461 and everything.count("always the same") == 1
+
+
 def test_nothing_to_learn_from(documents, nothing):
     assert langid.identify(nothing, F.lit(False)).count() == 0
     assert {r["lang_pred"] for r in langid.identify(documents([(1, "abc", None)]), F.lit(False)).collect()} == {"und"}
