@@ -263,3 +263,14 @@ def expert_grid(
     return winning_stages(intervals, recordings, keys).select(
         *keys, "stretch", F.posexplode("stages").alias("_at", "expert")
     ).select(*keys, (F.col("stretch") * (1 << _STRETCH_BITS) + F.col("_at")).cast("int").alias("epoch_idx"), "expert")
+
+
+def with_expert(predicted: DataFrame, grid: DataFrame, on: list[str]) -> DataFrame:
+    """J6: predictions joined with the expert stages of the same epochs.
+
+    Both sides are made by multiplying few rows (recordings, annotations) into
+    epochs. The planner does not see that, takes a side for as small as what it
+    is made of, and would send all its epochs through the driver to every task.
+    So the join is asked to sort both sides, each task a part of the epochs.
+    """
+    return predicted.hint("merge").join(grid, on)

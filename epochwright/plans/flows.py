@@ -33,7 +33,7 @@ from epochwright.operators.agreement import (
 )
 from epochwright.operators.blocks import grid_plan, merge_moments
 from epochwright.operators.indexing import row_index
-from epochwright.operators.planning import expert_grid, plan_epochs
+from epochwright.operators.planning import expert_grid, plan_epochs, with_expert
 from epochwright.session import materialize, sized
 from epochwright.settings import Settings
 from epochwright.sinks import tables as sinks
@@ -370,7 +370,7 @@ def stage_epochs(
         checks.raise_on(
             checks.unmatched_epochs(scored, expert, at), "expert and predicted epochs differ"
         )
-        scored = scored.join(expert, at)
+        scored = with_expert(scored, expert, at)
         counted = agreement(scored_only(scored, "expert"), "expert", "pred", keys)
         metrics = metrics_document(counted, keys).withColumn("model", F.lit(model))
         metrics = metrics.withColumn("n_scored_epochs", F.col("n_epochs"))

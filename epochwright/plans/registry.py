@@ -168,7 +168,7 @@ def expert_predictions(spark, sf):
     predicted = blocks.grid_plan(length, 3000, B.USER).select(
         "user_id", "epoch_idx", pred.alias("pred")
     )
-    return predicted.join(grid, ["user_id", "epoch_idx"])
+    return planning.with_expert(predicted, grid, [*B.USER, "epoch_idx"])
 
 
 @query("q_too_short")

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from epochwright.operators import planning
+from epochwright.operators import blocks, planning
 from epochwright.settings import DatasetSettings
 
 REC = ["rec"]
@@ -168,3 +168,22 @@ def test_aligned_pieces_cover_once(spark, first, last):
     pieces = spark.range(1).select(planning._aligned_pieces(F.lit(first), F.lit(last)).alias("p")).first()["p"]
     covered = sorted(e for p in pieces for e in range(p["first"], p["last"] + 1))
     assert covered == list(range(first, last + 1)) and len(pieces) <= 24
+
+
+def test_epochs_with_their_expert_are_not_broadcast(spark, tmp_path):
+    notes = spark.createDataFrame(
+        [("a", 0, 30.0, 60.0, W), ("b", 0, 0.0, 30.0, R), (None, 0, 0.0, 30.0, R)],
+        "rec string, ann_idx int, onset double, duration double, description string",
+    )
+    recs = spark.createDataFrame([("a", 50_000), ("b", 2), (None, 1)], "rec string, n_epochs int")
+    recs.write.parquet(str(tmp_path / "recs"))  # of a written table the planner knows the size
+    recs = spark.read.parquet(str(tmp_path / "recs"))
+    grid = planning.expert_grid(notes, recs, DatasetSettings(), REC)
+    few = recs.withColumn("n_samples", F.col("n_epochs").cast("long") * 10)
+    predicted = blocks.grid_plan(few, 10, REC).select("rec", "epoch_idx", (F.col("epoch_idx") % 5).alias("pred"))
+    joined = planning.with_expert(predicted, grid, [*REC, "epoch_idx"])
+    # three recordings look small, their epochs are not
+    plan = joined._jdf.queryExecution().sparkPlan().toString()
+    assert next(line for line in plan.splitlines() if "Join" in line).strip("+- ").startswith("SortMergeJoin")
+    got = {(r["rec"], r["epoch_idx"]): (r["pred"], r["expert"]) for r in joined.collect()}
+    assert len(got) == 50_002 and got["a", 1] == (1, 0) and got["a", 49_999] == (4, -1) and got["b", 0] == (0, 4)
