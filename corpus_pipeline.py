@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from epochwright.llm import exact_dedup, minhash, mixing, packing, toxicity
+from epochwright.llm import exact_dedup, mixing, near_copies, packing, toxicity
 from epochwright.llm.common import crc_of, table
 from epochwright.session import materialize
 
@@ -27,7 +27,7 @@ def exact_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of texts with 0.8 or more of their five-word shingles in common."""
-    return minhash.drop_near_copies(docs)
+    return near_copies.drop_near_copies(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Trained scores, MinHash and patterns from a linear program have no SQL; tests compare with brute force.
+#: Trained scores, SimHash and patterns from a linear program have no SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 

@@ -257,9 +257,8 @@ def block_links(
     return cells.join(hashed, "node").groupBy("cell").applyInArrow(_cell_links(similarity), "a string, b string")
 
 
-def links(docs: DataFrame, signed: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def verified(docs: DataFrame, members: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): links that connect all texts which share a key and are at least so similar."""
-    members = key_members(signed)
     pairs = candidates(members)
     texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")))
     known = similarities(texts, pairs, shingle)
@@ -281,7 +280,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     lowest = materialize(
         made.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("keys").alias("keys")), "nodes"
     )
-    labels = components(links(docs, lowest.select("node", "keys"), shingle, similarity))
+    members = key_members(lowest.select("node", "keys"))
+    return decided(made, lowest, components(verified(docs, members, shingle, similarity)))
+
+
+def decided(made: DataFrame, lowest: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, component_id, row_key and kept of the rows in ``made`` (with ``node``), by the components of their texts.
+
+    ``lowest`` holds the smallest doc_id (``low``) of each text.
+    """
     named = labels.join(lowest.select("node", "low"), "node")
     smallest = named.groupBy("component").agg(F.min("low").alias("component_id"))
     linked = materialize(named.join(smallest, "component").select(F.col("node").alias("_node"), "component_id"), "linked")
